@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leanspan.sources.tables import table
 
-from . import docpairs, encoding, leakage, mixing, parsecheck, splitting
+from . import credentials, docpairs, encoding, leakage, mixing, parsecheck, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,14 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.drop_templates(docpairs.extract_pairs(table(spark, d, "symbols"), table(spark, d, "chunks"), table(spark, d, "files")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.find_secrets(table(spark, d, "chunks"), table(spark, d, "files")).select("chunk_id", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redact(table(spark, d, "chunks"), table(spark, d, "files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return parsecheck.unparsed(table(spark, d, "files"))
 
@@ -70,7 +78,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_rates, p5_found, p5_pieces, p6_found, p6_items, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_redacted, p4_found, p4_rates, p5_found, p5_pieces, p6_found, p6_items, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
 
 
 _WS = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
