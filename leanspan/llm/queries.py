@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leanspan.sources.tables import table
 
-from . import credentials, docpairs, encoding, leakage, mixing, parsecheck, splitting
+from . import credentials, docpairs, encoding, leakage, mixing, parsecheck, provenance, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,21 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.drop_templates(docpairs.extract_pairs(table(spark, d, "symbols"), table(spark, d, "chunks"), table(spark, d, "files")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.find_not_handwritten(table(spark, d, "files")).select("file_id").distinct()
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are not hand-written, by repository and kind, beside all files of the repository."""
+    files = table(spark, d, "files")
+    found = provenance.find_not_handwritten(files).select("file_id", "kind").dropDuplicates(["file_id"])
+    return files.select("repository", F.col("id").alias("file_id")).join(found, "file_id", "left").groupBy("repository", F.coalesce("kind", F.lit("handwritten")).alias("kind")).agg(F.count("*").alias("files"))
+
+
+def p2_validation(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.validation(table(spark, d, "files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find_secrets(table(spark, d, "chunks"), table(spark, d, "files")).select("chunk_id", "line_no").distinct()
 
@@ -78,7 +93,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_redacted, p4_found, p4_rates, p5_found, p5_pieces, p6_found, p6_items, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_kinds, p2_validation, p3_found, p3_redacted, p4_found, p4_rates, p5_found, p5_pieces, p6_found, p6_items, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
 
 
 _WS = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
