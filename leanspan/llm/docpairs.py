@@ -94,8 +94,11 @@ class SourceFile:
         if lang.name != "python":
             kinds = lang.kinds
             for m in lang.regex.finditer(text):
-                if text[m.start()] == "/" and kinds[m.lastindex] in (None, "newline") and text[m.start() + 1: m.start() + 2] in "/*":
-                    self.comments.append((m.start(), m.end()))
+                k = m.lastindex
+                if kinds[k] is None or kinds[k] == "newline":
+                    a = m.start(k)
+                    if text.startswith(("//", "/*"), a):
+                        self.comments.append((a, m.end(k)))
 
     def _alone(self, at: int) -> bool:
         return not self.text[self.text.rfind("\n", 0, at) + 1: at].strip(" \t\f﻿")
@@ -187,7 +190,7 @@ class SourceFile:
                 depth += 1
             elif kind == "close":
                 depth -= 1
-            elif kind == "op" and m.group() == ":" and not depth:
+            elif kind == "op" and m[m.lastindex] == ":" and not depth:
                 at = m.end()
                 break
         if at is None:
@@ -196,13 +199,14 @@ class SourceFile:
             kind = self.lang.kinds[m.lastindex]
             if kind is None or kind == "newline":
                 continue
-            s = _PY_STRING.match(m.group())
+            token = m[m.lastindex]
+            s = _PY_STRING.match(token)
             if kind != self.lang.grammar.classes["STR"] or not s or set(s[1].lower()) - {"r", "u"}:
                 return None
             rest = text[m.end(): text.find("\n", m.end()) if text.find("\n", m.end()) >= 0 else len(text)]
             if rest.strip() and not rest.strip().startswith(("#", ";")):
                 return None
-            body = m.group()[len(s[1]) + len(s[2]): -len(s[2])]
+            body = token[len(s[1]) + len(s[2]): -len(s[2])]
             return body.strip()
         return None
 

@@ -68,9 +68,9 @@ atom = ident | NUM | STR+ | '...' | 'None' | 'True' | 'False' | @(paren) | @[lis
 ident = NAME | 'match' | 'case' | 'type' ;
 paren = (star_named (',' star_named)* ','?)? | named comp_for | yield_expr ;
 list = (star_named (',' star_named)* ','?)? | named comp_for ;
-star_named = '*' operand (binop operand)* | named ;
+!star_named = '*' operand (binop operand)* | named ;
 braces = (dict_item (',' dict_item)* ','?)? | expr ':' expr comp_for | star_named (',' star_named)* ','? | named comp_for ;
-dict_item = '**' disjunction | expr ':' expr ;
+!dict_item = '**' disjunction | expr ':' expr ;
 comp_for = ('async'? 'for' star_targets 'in' disjunction ('if' disjunction_named)*)+ ;
 disjunction_named = (ident ':=')? expr_nocond ;
 expr_nocond = disjunction | 'lambda' lambda_params ':' expr ;
@@ -134,7 +134,8 @@ tail = '.' (name | PRIVATE) | '?.' ( name | PRIVATE | @(args) | @[test] | TPL )
 primary = ident | 'this' | 'super' | 'null' | 'true' | 'false' | NUM | STR | TPL | REGEX | @(test) | @[array] | @{object} | function | class_decl
   | 'new' ( '.' name | operand ) | 'import' ( @(args) | '.' name ) | JSX ;
 args = (('...'? assign) (',' '...'? assign)* ','?)? ;
-array = ','* (('...'? assign) (','+ '...'? assign)* ','*)? ;
+array = ','* (array_item (','+ array_item)* ','*)? ;
+!array_item = '...'? assign ;
 object = NL* (property NL* (',' NL* property NL*)* ','? NL*)? ;
 !property = '...' assign | ident ('=' assign)? | prop_name ':' assign | ('get' | 'set')? 'async'? '*'? prop_name type_params? @(params) return_type? @{block_items} ;
 ident = NAME | 'async' | 'of' | 'get' | 'set' | 'static' | 'as' | 'from' | 'type' | 'let' | 'using' | 'defer' | 'accessor' | 'with' | 'assert' | 'yield' | 'await' | 'abstract' | typed_ident ;
@@ -236,7 +237,7 @@ literal_type = 'struct' @{fields} | @[array_len] type | @[nothing] type | 'map'
 args = ((expr | type) '...'? (',' (expr | type) '...'?)* ','?)? ;
 index = expr | type_list | expr? ':' expr? (':' expr)? ;
 composite = (element (',' element)* ','?)? ;
-element = ( (expr | @{composite}) ':' )? (expr | @{composite}) ;
+!element = ( (expr | @{composite}) ':' )? (expr | @{composite}) ;
 """
 
 JAVA = r"""
@@ -270,7 +271,8 @@ class_body = (member | ';')* ;
 throws = 'throws' types ;
 declarators = declarator (',' declarator)* ;
 declarator = ident dims ('=' (expr | @{array_init}))? ;
-array_init = ((expr | @{array_init}) (',' (expr | @{array_init}))*)? ','? ;
+array_init = (array_item (',' array_item)*)? ','? ;
+!array_item = expr | @{array_init} ;
 enum_body = (enum_item (',' enum_item)*)? ','? (';' (member | ';')*)? ;
 enum_item = annotation* ident @(args)? @{class_body}? ;
 params = (param (',' param)*)? ;
@@ -384,7 +386,7 @@ literal = NUM | STR | CHAR | 'true' | 'false' ;
 struct_fields = (struct_field (',' struct_field)* ','?)? ;
 struct_field = attrs ( (ident | NUM) (':' expr)? | '..' expr? ) ;
 args = (expr_item (',' expr_item)* ','?)? ;
-expr_item = attrs expr ;
+!expr_item = attrs expr ;
 tuple = inner_attr* (expr_item (',' expr_item)* ','?)? ;
 array = inner_attr* ( (expr_item (',' expr_item)* ','?)? | expr ';' expr ) ;
 index = expr ;
@@ -451,7 +453,7 @@ template_args = '<' (template_arg (',' template_arg)*)? '>' ;
 template_arg = type_id | expr_one '...'? ;
 init = expr_one | @{init_list} ;
 init_list = (init_item '...'? (',' init_item '...'?)* ','?)? ;
-init_item = ('.' ident)* '='? init | ('.' ident)+ @{init_list} | @[index] '=' init ;
+!init_item = ('.' ident)* '='? init | ('.' ident)+ @{init_list} | @[index] '=' init ;
 block = ( statement )* ;
 !statement = ';' | @{block} | 'if' ('constexpr' | '!'? 'consteval')? @(condition)? statement ('else' statement)? | 'while' @(condition) statement | 'do' statement 'while' @(condition) ';' | 'for' @(for_head) statement
   | 'switch' @(condition) statement | 'case' expr_one ('...' expr_one)? ':' statement? | 'default' ':' statement? | 'return' (expr | @{init_list})? ';' | 'co_return' expr? ';' | ('break' | 'continue') ';' | 'goto' ident ';'

@@ -21,24 +21,24 @@ _C_COMMENT = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
 #: class names of the grammar, by the group of the lexer that finds them
 _SPECS = {
     "script": dict(
-        skip=r"[ \t\f\v\xa0  ]+|" + _C_COMMENT, hash=r"\A#![^\n]*",
+        blank=r"[ \t\f\v\r\xa0\u2028\u2029\ufeff]*", skip=_C_COMMENT, hash=r"\A#![^\n]*",
         regex=r"(?:\A|(?<=[=(,:\[!&|?{};+\-*%~^<>\n])|(?<=return)|(?<=typeof)|(?<=case))[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*",
         name=r"(?:[^\W\d]|[$\\])[\w$\\]*", number=r"(?:" + _NUM_C.replace("'", "") + r")n?(?![\w$])",
         strings=[("STR", _DQ + "|" + _SQ), ("TPL", _TEMPLATE), ("PRIVATE", r"#(?:[^\W\d]|\$)[\w$]*")], newline=True,
     ),
-    "go": dict(skip=r"[ \t\f]+|//[^\n]*|/\*(?:[^*\n]|\*(?!/))*\*/", name=_W, number=r"(?:" + _NUM_C.replace("'", "") + r")i?(?!\w)", strings=[("STR", _DQ + r"|`[^`]*`"), ("NUM", r"'(?:[^'\\\n]|\\[^\n]+?)'")], newline=True, long=r"/\*(?:[^*]|\*(?!/))*\*/"),
-    "java": dict(skip=r"\s+|" + _C_COMMENT, name=r"(?:[^\W\d]|\$)[\w$]*", number=r"(?:" + _NUM_C.replace("'", "") + r")[lLfFdD]?(?![\w$])", strings=[("STR", r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|' + _DQ), ("CHAR", r"'(?:[^'\\\n]|\\[^\n]+?)'")]),
+    "go": dict(blank=r"[ \t\f\r]*", skip=r"//[^\n]*|/\*(?:[^*\n]|\*(?!/))*\*/", name=_W, number=r"(?:" + _NUM_C.replace("'", "") + r")i?(?!\w)", strings=[("STR", _DQ + r"|`[^`]*`"), ("NUM", r"'(?:[^'\\\n]|\\[^\n]+?)'")], newline=True, long=r"/\*(?:[^*]|\*(?!/))*\*/"),
+    "java": dict(blank=r"\s*", skip=_C_COMMENT, name=r"(?:[^\W\d]|\$)[\w$]*", number=r"(?:" + _NUM_C.replace("'", "") + r")[lLfFdD]?(?![\w$])", strings=[("STR", r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|' + _DQ), ("CHAR", r"'(?:[^'\\\n]|\\[^\n]+?)'")]),
     "rust": dict(
-        skip=r"\s+|//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/)*\*/", hash=r"\A#!(?!\s*\[)[^\n]*", name=r"(?:r#)?" + _W,
+        blank=r"\s*", skip=r"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/)*\*/", hash=r"\A#!(?!\s*\[)[^\n]*", name=r"(?:r#)?" + _W,
         number=r"(?:0[xX][\da-fA-F_]+(?:[iu](?:8|16|32|64|128|size))?|0[bB][01_]+(?:[iu](?:8|16|32|64|128|size))?|0[oO][0-7_]+(?:[iu](?:8|16|32|64|128|size))?|\d[\d_]*(?:\.(?![.\w])|(?:\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?(?:[iuf](?:8|16|32|64|128|size))?))(?!\w)",
         strings=[("STR", r'(?:br|cr|r)(?P<h>#*)"(?:(?!"(?P=h))[\s\S])*"(?P=h)|[bc]?"(?:[^"\\]|\\[\s\S])*"'), ("CHAR", r"b?'(?:[^'\\\n]|\\(?:u\{[\da-fA-F_]+\}|x[\da-fA-F]{2}|.))'"), ("LIFETIME", r"'[^\W\d]\w*(?!')")],
     ),
     "cpp": dict(
-        skip=r"\s+|\\\r?\n|//(?:[^\n\\]|\\\r?\n|\\.)*|/\*(?:[^*]|\*(?!/))*\*/|(?:\A|(?<=\n))[ \t]*\#(?:[^\n\\/]|\\\r?\n|\\.|/\*(?:[^*]|\*(?!/))*\*/|/)*", name=r"(?:[^\W\d]|\$)[\w$]*", number=_NUM_C + r"\w*",
+        blank=r"\s*", skip=r"\\\r?\n|//(?:[^\n\\]|\\\r?\n|\\.)*|/\*(?:[^*]|\*(?!/))*\*/|\#(?:[^\n\\/]|\\\r?\n|\\.|/\*(?:[^*]|\*(?!/))*\*/|/)*", name=r"(?:[^\W\d]|\$)[\w$]*", number=_NUM_C + r"\w*",
         strings=[("STR", r'(?:u8|[uUL])?R"(?P<h>[^()\\\s]{0,16})\((?:(?!\)(?P=h)")[\s\S])*\)(?P=h)"|(?:u8|[uUL])?' + _DQ), ("CHAR", r"(?:u8|[uUL])?'(?:[^'\\\n]|\\[^\n']+|\\')+'")],
     ),
     "python": dict(
-        skip=r"[ \t\f]+|\\\r?\n|#[^\n]*", name=_W, number=r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?)[jJ]?(?!\w)",
+        blank=r"[ \t\f]*", skip=r"\\\r?\n|#[^\n]*", name=_W, number=r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?)[jJ]?(?!\w)",
         strings=[("STR", r'(?:[rRbBuUfFtT]{1,2})?(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*\'\'\'|' + _DQ + "|" + _SQ + ")")], newline=True,
     ),
 }
@@ -63,10 +63,11 @@ class Language:
             parts.append("(" + regex + ")")
             self.kinds.extend([kind] * re.compile(parts[-1]).groups)
 
-        if "hash" in d:
-            add(g.classes.get("HASHBANG"), d["hash"])
         if "regex" in d:
             add(g.classes["REGEX"], d["regex"])
+        front = len(parts)
+        if "hash" in d:
+            add(g.classes.get("HASHBANG"), d["hash"])
         for c, r in d["strings"][:1] if spec in ("rust", "cpp", "python") else []:
             add(g.classes[c], r)
         add(None, d["skip"])
@@ -83,8 +84,10 @@ class Language:
         add(g.error, r"/\*|\*/" if spec not in ("python", "go") else r"[`?]")
         add("op", "|".join(map(re.escape, punctuation)))
         add(None, r"\r")
-        add(g.error, r"[\s\S]")
-        self.regex = re.compile("|".join(f"{p}" for p in parts).replace("(?P<h>", "(?P<h>", 1))
+        add(g.error, r"\S")
+        # blanks belong to the token that follows; what may look at the character before them comes first
+        self.regex = re.compile("|".join([*parts[:front], d["blank"] + "(?:" + "|".join(parts[front:]) + ")"]))
+        self.chars = g.literals | self.words
         self.name_char = g.classes["NAME"]
         lit = lambda *xs: {g.literals[x] for x in xs if x in g.literals}
         cls = {g.classes[x] for x in ("NAME", "NUM", "STR", "TPL", "REGEX", "PRIVATE", "CHAR") if x in g.classes}
@@ -105,27 +108,28 @@ class Language:
         return self._python(text) if self.spec == "python" else self._brackets(text)
 
     def _brackets(self, text: str) -> str:
-        g, kinds, words, name = self.grammar, self.kinds, self.words, self.name_char
-        literals = g.literals
+        g, kinds, chars, name = self.grammar, self.kinds, self.chars, self.name_char
+        get = chars.get
         script, go = self.spec == "script", self.spec == "go"
         stack: list = []
         cur: list[str] = []
         put = cur.append
         for m in self.regex.finditer(text):
-            kind = kinds[m.lastindex]
-            if kind is None:
-                continue
+            k = m.lastindex
+            kind = kinds[k]
             if kind == "word":
-                put(words.get(m.group(), name))
+                put(get(m[k], name))
             elif kind == "op":
-                put(literals[m.group()])
+                put(chars[m[k]])
+            elif kind is None:
+                continue
             elif kind == "open":
-                stack.append((m.group(), cur))
+                stack.append((m[k], cur))
                 cur = []
                 put = cur.append
             elif kind == "close":
-                if not stack or stack[-1][0] != _CLOSE[m.group()]:
-                    raise Unbalanced(m.group())
+                if not stack or stack[-1][0] != _CLOSE[m[k]]:
+                    raise Unbalanced(m[k])
                 b, up = stack.pop()
                 if script and b == "{" and cur and cur[-1] != self.end:
                     put(self.end)
@@ -136,7 +140,7 @@ class Language:
                 if script:
                     if cur and (not stack or stack[-1][0] == "{") and (cur[-1] in self.enders or cur[-1] >= "က") and not self.before_not.match(text, m.end()):
                         put(self.end)
-                elif cur and (cur[-1] in self.enders or cur[-1] >= "က") and "\n" in m.group():
+                elif cur and (cur[-1] in self.enders or cur[-1] >= "က") and "\n" in m[k]:
                     put(self.end)
             else:
                 put(kind)
@@ -147,8 +151,8 @@ class Language:
         return "".join(cur)
 
     def _python(self, text: str) -> str:
-        g, kinds, words, name, nl = self.grammar, self.kinds, self.words, self.name_char, self.end
-        literals = g.literals
+        g, kinds, chars, name, nl = self.grammar, self.kinds, self.chars, self.name_char, self.end
+        get = chars.get
         stack: list = []  # open brackets and blocks
         indents = [0]
         cur: list[str] = []
@@ -176,29 +180,30 @@ class Language:
         if first[1] and at < len(text) and text[at] != "#":
             raise Unbalanced("indent")
         for m in self.regex.finditer(text, at):
-            kind = kinds[m.lastindex]
-            if kind is None:
-                continue
+            k = m.lastindex
+            kind = kinds[k]
             if kind == "word":
-                put(words.get(m.group(), name))
+                put(get(m[k], name))
             elif kind == "op":
-                put(literals[m.group()])
+                put(chars[m[k]])
+            elif kind is None:
+                continue
             elif kind == "newline":
                 if not depth:
                     if cur and cur[-1] != nl and cur[-1] < "က" or cur and cur[-1] >= "က" and g._group_of[cur[-1]][0] != "<":
                         put(nl)
                     if m.end() < len(text):
-                        s = m.group()
+                        s = m[k]
                         s = s[s.rindex("\n") + 1:]
                         indent(len(s.expandtabs(8)) if "\t" in s else len(s))
             elif kind == "open":
-                stack.append((m.group(), cur))
+                stack.append((m[k], cur))
                 cur = []
                 put = cur.append
                 depth += 1
             elif kind == "close":
-                if not stack or stack[-1][0] != _CLOSE[m.group()]:
-                    raise Unbalanced(m.group())
+                if not stack or stack[-1][0] != _CLOSE[m[k]]:
+                    raise Unbalanced(m[k])
                 b, up = stack.pop()
                 up.append(g.group(b, "".join(cur)))
                 cur = up
