@@ -317,7 +317,7 @@ class Finder:
             items = parse_json(text)
         elif path.lower().endswith(".xml"):
             items = parse_xml(text)
-        elif _CONFIG.search(path):
+        elif _CONFIG.search(path) or not path:
             items = parse_lines(text)
         else:
             items = ()

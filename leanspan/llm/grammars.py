@@ -156,7 +156,7 @@ overload = end ;
 implements = 'implements' type (',' type)* ;
 index_member = @[index_signature] annotation ;
 modifier_typed = 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'override' | 'declare' | 'in' | 'out' ;
-typed_op = ('as' | 'satisfies') type ;
+typed_op = ('as' | 'satisfies') type | 'as' 'const' ;
 typed_cast = '<' type '>' ;
 typed_tail = '!' | type_args ;
 annotation = ':' type ;

@@ -95,7 +95,7 @@ class Language:
             self.end = g.classes["NL"]
             words = set(self.words.values()) - lit("import export if for while do try switch case throw new typeof void delete in instanceof else finally const var let class function extends implements default enum interface await async".split()[0], *"export if for while do try switch case throw new typeof void delete in instanceof else finally const var class function extends implements enum interface".split())
             self.enders = cls | words | lit("++", "--", "!", ">")
-            self.before_not = re.compile(r"\s*(?:(?://[^\n]*\n|/\*(?:[^*]|\*(?!/))*\*/)\s*)*(?:[.,?:;=&|^%)\]{]|\*(?!\w)|[+](?!\+)|-(?!-)|/(?![/*])|[<>](?!\w)|!=|(?:in|instanceof|as|satisfies|else|catch|finally|of|extends|implements)\b(?!\s*[:(=?]))")
+            self.before_not = re.compile(r"\s*(?:(?://[^\n]*\n|/\*(?:[^*]|\*(?!/))*\*/)\s*)*(?:[.,?:;=&|^%)\]{]|\*(?!\w)|[+](?!\+)|-(?!-)|/(?![/*])|[<>](?!\w)|!=|(?:in|instanceof|as|satisfies|of|extends|implements)\b(?!\s*[:(=?]))")
         elif spec == "go":
             self.end = g.literals[";"]
             self.enders = cls | lit("break", "continue", "fallthrough", "return", "++", "--", "range") - lit("range")
