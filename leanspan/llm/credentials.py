@@ -42,7 +42,10 @@ _NOT = {"prompt", "help", "field", "fields", "encoding", "count", "max", "min",
 
 def sensitivity(path: str) -> int:
     """2: the key path names a credential; 1: it may; 0: it does not."""
-    leaf = path.rsplit("/", 1)[-1]
+    parts = path.split("/")
+    leaf = parts[-1]
+    if len(parts) > 1 and leaf.lower() in ("key", "token", "secret"):
+        leaf = f"{parts[-2]}_{leaf}"  # signing.key, auth: {token: ...}
     words = [w.lower() for w in _WORDS.findall(leaf)]
     # numbered and lettered variants of a name (passwordb, keyc) count as the name
     words = [w[:-1] if w[:-1] in _STRONG or w[:-1] in ("key", "token") and w[-1] != "s" else w for w in words]
