@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,21 +66,22 @@ def near_signatures(df: DataFrame, signature: str, distance: int = 8) -> DataFra
     """Pairs (left, right) of different signatures within a Hamming distance of at most 8, each once.
 
     Works on distinct signatures only, so copies cost nothing.  Of three blocks one
-    differs in two bits at most: the left side probes every value within two bits of
-    its block, the right side offers its own, and what meets is verified.
+    differs in two bits at most, and two words within two bits have a word within one
+    bit of both: each signature offers its blocks with none or one bit flipped (67 keys),
+    equal keys meet, and what meets is verified.
     """
     if distance > RADIUS * len(BLOCKS) + 2:
         raise ValueError("distance is more than the blocks guarantee")
     s = df.filter(F.col(signature).isNotNull()).select(F.col(signature).alias("s")).distinct()
-    probes, keys = None, None
-    for n, (at, width) in enumerate(BLOCKS):
-        flips = [0, *(1 << b for b in range(width)), *((1 << a) | (1 << b) for a, b in combinations(range(width), 2))]
-        block = F.shiftrightunsigned("s", at).bitwiseAND(F.lit((1 << width) - 1))
-        masks = F.lit(flips)
-        p = s.select(F.lit(n).alias("n"), F.explode(F.transform(masks, lambda m: block.bitwiseXOR(m.cast("long")))).alias("k"), F.col("s").alias("left"))
-        o = s.select(F.lit(n).alias("n"), block.alias("k"), F.col("s").alias("right"))
-        probes, keys = (p, o) if probes is None else (probes.unionByName(p), keys.unionByName(o))
-    hit = probes.join(keys, ["n", "k"]).filter((F.col("left") < F.col("right")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
+
+    def offer(number: int, at: int, width: int) -> Column:
+        # the block's number above its value, with the flips as constants
+        block = F.shiftrightunsigned("s", at).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(number << 32))
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(width)))]), lambda m: block.bitwiseXOR(m))
+
+    keys = s.select("s", F.explode(F.concat(*[offer(n, at, width) for n, (at, width) in enumerate(BLOCKS)])).alias("k"))
+    x, y = keys.select("k", F.col("s").alias("left")), keys.select("k", F.col("s").alias("right"))
+    hit = x.join(y, "k").filter((F.col("left") < F.col("right")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
     return hit.select("left", "right").distinct()
 
 
