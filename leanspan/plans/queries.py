@@ -17,6 +17,8 @@ from leanspan.operators import jsonops as S
 from leanspan.operators import ranking as K
 from leanspan.operators import receipts as P
 from leanspan.operators import retrieval as R
+from leanspan.operators import serving as V
+from leanspan.operators import symbols as Y
 from leanspan.sources.discovery import page_after, read_lines
 from leanspan.sources.tables import table
 from leanspan.streaming import changes as C
@@ -430,6 +432,55 @@ def outline_pack(spark: SparkSession, d: str) -> DataFrame:
     return K.outline(table(spark, d, "symbols"), 200)
 
 
+# --- structure and serving ---------------------------------------------------
+@query(None)
+def symbols_extracted(spark: SparkSession, d: str) -> DataFrame:
+    return Y.extract_symbols(table(spark, d, "files"))
+
+
+@query("with l as (select id as file_id, unnest(string_split(content, chr(10))) as text from files where content is not null), c as (select file_id, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) as name from l) select name, count(*) as calls, count(distinct file_id) as files from c where name not in (" + ", ".join(f"'{x}'" for x in sorted(Y._CONTROL)) + ") group by 1")
+def reference_counts(spark: SparkSession, d: str) -> DataFrame:
+    return Y.references(table(spark, d, "files")).groupBy("name").agg(F.count("*").alias("calls"), F.countDistinct("file_id").alias("files"))
+
+
+@query(None)
+def reference_enclosing(spark: SparkSession, d: str) -> DataFrame:
+    """Call sites with the innermost symbol around their line."""
+    r = Y.references(table(spark, d, "files")).distinct().withColumn("point_id", F.concat_ws(":", "line", "name")).withColumn("at", F.col("line"))
+    s = _distinct(spark, d, "symbols").select("file_id", F.col("start_line").alias("c"), F.col("end_line").alias("d"), F.struct("start_byte", "id").alias("tie"), F.col("id").alias("symbol_id"))
+    return J.narrowest_enclosing(r.select("file_id", "point_id", "at"), s, "file_id").select("file_id", F.col("at").alias("line"), F.regexp_extract("point_id", ":(.*)$", 1).alias("name"), "symbol_id")
+
+
+@query(None)
+def web_outline(spark: SparkSession, d: str) -> DataFrame:
+    return Y.web_outline(table(spark, d, "files"))
+
+
+_ASKED = ["run", "no_such_symbol", "PathStore.run"]
+
+
+@query(
+    f"""with n(wanted) as (values {', '.join(f"('{x}')" for x in _ASKED)}), m as (select wanted, s.id from n left join {_SYMBOLS} s on s.name = regexp_extract(wanted, '([^.]+)$', 1) and (not contains(wanted, '.') or s.parent = regexp_replace(wanted, '\.[^.]+$', '')))
+select wanted as name, case count(id) when 0 then 'not_found' when 1 then 'unique' else 'ambiguous' end as status, case when count(id) = 1 then min(id) end as symbol_id from m group by 1"""
+)
+def symbol_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return Y.resolve_symbol(_distinct(spark, d, "symbols"), spark.createDataFrame([(x,) for x in _ASKED], "name string"))
+
+
+@query("select id, case when not regexp_matches(path, '/(src|lib)/') or regexp_matches(path, '/(vendor|third_party)/') then 'path_excluded' else 'eligible' end as status from files")
+def eligibility(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files").select("id", V.eligibility("path", "content_hash", include=["**/{src,lib}/**"], exclude=EXCLUDED).alias("status"))
+
+
+@query("with r as (select id as file_id, least(70, n) as a, least(95, n) as b, content from (select *, len(string_split(content, chr(10))) - cast(content like '%' || chr(10) as int) as n from files) where n >= 70 and repository = 'atlas-monorepo') select file_id as request_id, a as first, b as last, md5(regexp_replace(array_to_string(string_split(content, chr(10))[a:b], chr(10)), chr(10) || '$', '')) as digest from r")
+def stored_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines 70 to 95 of the long files of one repository, put together from their chunks."""
+    f = table(spark, d, "files").filter("repository = 'atlas-monorepo'").select(F.col("id").alias("file_id"), T.line_count("content").alias("n")).filter("n >= 70")
+    r = f.select(F.col("file_id").alias("request_id"), "file_id", F.least(F.lit(70), "n").alias("a"), F.least(F.lit(95), "n").alias("b"))
+    e = V.stored_excerpts(table(spark, d, "chunks"), r)
+    return e.select("request_id", F.least("first", "last").alias("first"), F.col("last"), F.md5(F.regexp_replace("content", r"\n\z", "")).alias("digest"))
+
+
 # --- aggregates and accounting -----------------------------------------------
 @query(f"select kind, count(*) as n, count(distinct file_id) as files from {_SYMBOLS} group by 1")
 def symbol_kinds(spark: SparkSession, d: str) -> DataFrame:
