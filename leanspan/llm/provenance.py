@@ -8,9 +8,11 @@ plainly so by their shape; those giveaway headers are masked out of the features
 that the classifier has to learn what such files look like and also finds those that
 say nothing.  Training and validation are split by repository.
 
-A file whose score passes a threshold, which is set for recall on the validation
-repositories, is then checked exactly for evidence: a header, a notice, lock entries,
-the shape of minified code, of data or of numbered repetition.
+Two thresholds are set on the validation repositories.  A file whose score passes the
+upper one, which no validation negative comes near, is named by the score alone, unless
+its head says that it is kept by hand.  A header, a notice or lock entries are evidence
+at any score; a file that passes only the lower threshold, which is set for recall, is
+also checked for the shape of minified code, of data or of numbered repetition.
 
 Defined results: null ids and null, empty or blank contents, Markdown and HTML are
 never named; null paths count as no path; null languages are judged by path and
@@ -40,7 +42,9 @@ EPOCHS, LAMBDA = 12, 1e-4
 RECALL = 0.999  # part of the validation positives that the threshold has to keep
 FOUND_SCHEMA = "file_id long, kind string, score double"
 
-_COMMENT_LINE = re.compile(r"^\s*(?://|#(?!include|define|pragma|\[)|/?\*|<!--|--|;|@|\"\"\")")
+_COMMENT_LINE = re.compile(r"^\s*(?://|#(?!include|define|pragma|\[)|/?\*|<!--|--|;|@|[rRuU]?(?:\"\"\"|'''))")
+_DOCSTRING = re.compile(r"[rRuU]?(\"\"\"|''')")
+_LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _GENERATED = re.compile(
     r"(?i)\bcode generated\b.*\bdo not (?:edit|modify)\b|@generated\b|\bauto-?generated\b(?!\s+method)|<auto-generated|\bautomatically (?:generated|created)\b|\bmachine[- ](?:written|generated|made)\b|\bgenerated (?:on|by|from|at|with|using|automatically)\b|\bthis file (?:is|was) (?:generated|produced|created) (?:by|from|automatically)|\bdo not (?:edit|modify)\b.*\b(?:generated|regenerate|overwritten)\b|\bgenerated (?:file|code|source)s?\b.*\bdo not\b"
 )
@@ -56,15 +60,18 @@ def head_of(text: str) -> tuple[list[str], int]:
     out, at = [], 0
     body = text.lstrip("﻿")
     at = len(text) - len(body)
-    inside = False
-    for line in body.splitlines(keepends=True)[:40]:
+    inside = ""  # what ends the comment or docstring that is open
+    for m in _LINE.finditer(body):
+        line = m.group()
         s = line.strip()
         if not (inside or not s or _COMMENT_LINE.match(line) or s.startswith(("<?", "#!", "/*!"))):
             break
-        if s.startswith("/*") and "*/" not in s:
-            inside = True
-        elif inside and "*/" in s:
-            inside = False
+        if inside:
+            inside = "" if inside in s else inside
+        elif s.startswith("/*"):
+            inside = "" if "*/" in s else "*/"
+        elif d := _DOCSTRING.match(s):
+            inside = "" if d[1] in s[d.end():] else d[1]
         if s:
             out.append(s if len(s) < 600 else s[:600])
         at += len(line)
@@ -202,10 +209,10 @@ _TABLE[ord("0"): ord("9") + 1] = ord("0")
 
 
 class Classifier:
-    """Weights, offset and threshold of a linear support-vector machine."""
+    """Weights and thresholds of a linear support-vector machine: above ``sure`` the score decides alone."""
 
-    def __init__(self, weights: np.ndarray, threshold: float, report: dict[str, float]):
-        self.weights, self.threshold, self.report = weights, threshold, report
+    def __init__(self, weights: np.ndarray, threshold: float, report: dict[str, float], sure: float = float("inf")):
+        self.weights, self.threshold, self.report, self.sure = weights, threshold, report, sure
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights
@@ -242,7 +249,11 @@ def fit(x: np.ndarray, y: np.ndarray, groups: np.ndarray, seed: int = 7) -> Clas
     low = positives[int((1 - RECALL) * len(positives))]
     threshold = float(min(0.0, low - 0.25 * abs(positives.mean() - low)))
     report = {"validation": float(len(truth)), "accuracy": float(((judged > 0) == (truth > 0)).mean()), "recall": float((judged[truth > 0] > threshold).mean()), "passed_negatives": float((judged[truth < 0] > threshold).mean()) if (truth < 0).any() else 0.0}
-    return Classifier(w.astype(np.float32), threshold, report)
+    # above it, halfway from the highest negative to the middle positive, a score decides alone
+    negatives = judged[truth < 0]
+    highest, middle = float(negatives.max()) if len(negatives) else np.inf, float(np.median(positives))
+    sure = (max(highest, 0.0) + middle) / 2 if middle > highest else float("inf")
+    return Classifier(w.astype(np.float32), threshold, report, sure)
 
 
 def label(text: str, path: str, language: str | None) -> int:
@@ -253,6 +264,11 @@ def label(text: str, path: str, language: str | None) -> int:
     return 0 if any(_GENERATED.search(x) or _NOTICE.search(x) for x in head) or _VENDOR_DIR.search(path) else -1
 
 
+def by_hand(text: str) -> bool:
+    """Whether the head says that the file is kept by hand."""
+    return bool(_BY_HAND.search(" ".join(head_of(text)[0])))
+
+
 def evidence(text: str, path: str, language: str | None) -> str:
     """The exact check: what shows that the file is not hand-written, or nothing."""
     return notes(text, path) or shaped_as(text, path, language)
@@ -308,9 +324,12 @@ def find_not_handwritten(files: DataFrame, sample: int = SAMPLE, classifier: Cla
             for file, path, lang, text in zip(batch["id"], batch["path"], batch["language"], batch["content"]):
                 path = path or ""
                 score = float(features(text, path) @ c.weights) if c else 0.0
-                if c is None or score > c.threshold:
-                    if kind := evidence(text, path, lang):
-                        out.append((file, kind, round(score, 4)))
+                # what a head says is proof at any score; shapes are looked at above the threshold
+                kind = evidence(text, path, lang) if c is None or score > c.threshold else notes(text, path)
+                if not kind and c and score > c.sure and not by_hand(text):
+                    kind = "classified"
+                if kind:
+                    out.append((file, kind, round(score, 4)))
             yield pd.DataFrame(out, columns=["file_id", "kind", "score"])
 
     return _usable(files).select("id", "path", "language", "content").mapInPandas(run, FOUND_SCHEMA)
