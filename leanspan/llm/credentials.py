@@ -10,11 +10,16 @@ encoded login.  Comments and prose are read for the same forms.  Redactions are
 into the original bytes: each masked character becomes ``*``, line ends stay, and
 nothing else changes.
 
-Defined results: chunks without id or content give nothing; a null path is read as
-prose with code; null start lines count from line 1; damaged configuration is read as
-far as it goes, since a chunk may begin or end anywhere; a private key that began in an
-earlier chunk is masked but not reported again; equal deliveries count once; extra
-columns are ignored.
+The chunks of a file are put together and searched as one text, so that a chunk border
+hides nothing; places are mapped back to the chunk and line in which they begin, and a
+place that goes on is masked in the following chunks too.
+
+Defined results: chunks without id or content give nothing; chunks without a file stand
+alone, and a gap in the bytes of a file parts its text; a null path is read as prose
+with code; null start lines count from line 1; damaged configuration is read as far as
+it goes; a private key whose beginning is missing is masked but not reported; one whose
+end is missing is masked to the end of its base64 lines; equal deliveries count once;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -132,6 +137,14 @@ def _login_encoded(v: str) -> bool:
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"[A-Za-z0-9+/]{40,}")
+#: what follows BEGIN in a key whose END is missing: lines of base64 with their quotes, comment marks and line ends, after headers such as DEK-Info
+_PEM_GAP = r"(?:\\[nrt]|[\s\"'`,;>|\\]|(?<=[\s\"'`])[+*#.&](?=[\s\"'`])|//(?=[ \t]))*+"
+_PEM_OPEN = re.compile(
+    r"(?:" + _PEM_GAP + r"(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\n\\\"'`]*+|[A-Za-z0-9+/]{24,}+={0,2}))*+"
+    # a last line that is shorter: padded, at the end of the text, or with the look of base64
+    r"(?:" + _PEM_GAP + r"(?:[A-Za-z0-9+/]{2,23}={1,2}|[A-Za-z0-9+/]{1,23}(?=\s*\Z)|(?=[a-z0-9+/]*[A-Z])(?=[A-Za-z+/]*\d)(?:[A-Za-z0-9+/]{4}){1,5}(?=\\n|[\s\"'`])))?(?:" + _PEM_GAP + r"=[A-Za-z0-9+/]{4}(?![A-Za-z0-9+/=]))?"
+)
+_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="
 _URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://([^\s:/@\"'`<>]{0,80}):([^\s/@\"'`<>]{1,200})@(?=[\w\[.\-])")
 _HEADER = re.compile(r"(?i)\b(?:bearer|token)[ \t]+([A-Za-z0-9\-._~+/]{16,}=*)|\bbasic[ \t]+([A-Za-z0-9+/]{8,}={0,2})|\b(?:x-[a-z\-]*(?:key|token|secret)|private-token)[ \t]*:[ \t]*([^\s\"'`;,]{8,})")
 _PAIR = re.compile(r"(?i)(?<![\w.\-])(password|passwd|pwd|passphrase|accountkey|sharedaccesskey|sharedaccesskeyname|secret|client_secret|api_?key|access_?token|auth_?token|private_?key|secret_?key)[ \t]*=[ \t]*([^\s\"'`;,&<>]{4,})")
@@ -299,12 +312,21 @@ class Finder:
         # some letters change length in lower case; ASCII alone matters here
         self.low = low if len(low) == len(text) else re.sub("[A-Z]+", lambda m: m.group().lower(), text)
         self.found: list[tuple[int, int, str, str]] = []
-        self.covered: list[tuple[int, int]] = []
+        # disjoint intervals in order
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+
+    def cover(self, a: int, b: int) -> None:
+        i, j = bisect_left(self.ends, a), bisect_right(self.begins, b)
+        if i < j:
+            a, b = min(a, self.begins[i]), max(b, self.ends[j - 1])
+        self.begins[i:j], self.ends[i:j] = [a], [b]
 
     def add(self, a: int, b: int, key: str, kind: str) -> None:
-        if b > a and not any(x < b and a < y for x, y in self.covered):
+        k = bisect_right(self.ends, a)
+        if b > a and not (k < len(self.begins) and self.begins[k] < b):
             self.found.append((a, b, key, kind))
-            self.covered.append((a, b))
+            self.cover(a, b)
 
     def run(self) -> list[tuple[int, int, str, str]]:
         text, path = self.text, self.path
@@ -357,25 +379,36 @@ class Finder:
             if free:
                 self.add(*free[0], key, kind)
                 for a, b in free[1:]:
-                    self.covered.append((a, b))
+                    self.cover(a, b)
                     self.found.append((a, b, key, "rest"))
 
     def keys(self) -> None:
         text = self.text
-        for m in _PEM.finditer(text):
-            e = _PEM_END.search(text, m.end())
-            n = _PEM.search(text, m.end())
-            end = e.start() if e and (not n or e.start() < n.start()) else min(len(text), m.end() + 6000) if not n else n.start()
-            body = text[m.end(): end]
-            if _PEM_BODY.search(body):
+        begins, ends = list(_PEM.finditer(text)), list(_PEM_END.finditer(text))
+        stops = [e.start() for e in ends]
+        for m, n in zip(begins, [*begins[1:], None]):
+            k = bisect_left(stops, m.end())
+            e = ends[k] if k < len(ends) and (not n or stops[k] < n.start()) else None
+            end = e.start() if e else _PEM_OPEN.match(text, m.end(), n.start() if n else len(text)).end()
+            if _PEM_BODY.search(text, m.end(), end):
                 self.found.append((m.start(), end, "", "private key"))
-                self.covered.append((m.start(), e.end() if e and e.start() == end else end))
-        first = _PEM_END.search(text)
-        if first and not _PEM.search(text, 0, first.start()):
-            begin = re.search(r"(?:[A-Za-z0-9+/=]{16,}|[ \t]+|\r?\n|\\n)*$", text[: first.start()])
-            if begin and _PEM_BODY.search(begin.group()):
-                self.found.append((begin.start(), first.start(), "", "rest"))
-                self.covered.append((begin.start(), first.end()))
+                self.cover(m.start(), e.end() if e else end)
+        if ends and not (begins and begins[0].start() < stops[0]):
+            # the end of a key whose beginning is missing: the base64 lines before it
+            parts, begin = re.split(r"(\\n|\r?\n)", text[: stops[0]]), stops[0]
+            while parts:
+                part = parts.pop()
+                bare = part.strip(" \t")
+                if not part.strip() or part == "\\n" or len(bare) >= 16 and not bare.strip(_BASE64):
+                    begin -= len(part)
+                    continue
+                run = len(bare) - len(bare.rstrip(_BASE64))
+                if run >= 16 and part.endswith(bare):
+                    begin -= run
+                break
+            if _PEM_BODY.search(text, begin, stops[0]):
+                self.found.append((begin, stops[0], "", "rest"))
+                self.cover(begin, ends[0].end())
 
     def lines(self, marks: tuple[str, ...]) -> list[tuple[int, int]]:
         """The lines that hold one of the marks, in order."""
@@ -472,11 +505,75 @@ def mask(text: str, places: list[tuple[int, int, str, str]]) -> str:
     return "".join(out)
 
 
-def _with_paths(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Chunks with the path of their file; of the files only ids and paths are read."""
-    c = chunks.filter(F.col("id").isNotNull() & F.col("content").isNotNull()).select(F.col("id").alias("chunk_id"), "file_id", "content", "start_line")
+def _texts(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, path, parts: the chunks of each file, and each chunk without a file, with the file's path; of the files only ids and paths are read."""
+    byte = F.col("start_byte") if "start_byte" in chunks.columns else F.lit(None).cast("long")
+    part = F.struct(byte.alias("start_byte"), F.col("id").alias("id"), F.col("content").alias("content"), F.col("start_line").alias("start_line"))
+    c = chunks.filter(F.col("id").isNotNull() & F.col("content").isNotNull())
     p = files.filter(F.col("id").isNotNull()).select(F.col("id").alias("file_id"), "path").dropDuplicates(["file_id"])
-    return c.join(p, "file_id", "left")
+    own = c.filter(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.sort_array(F.collect_list(part)).alias("parts")).join(p, "file_id", "left")
+    alone = c.filter(F.col("file_id").isNull()).select("file_id", F.array(part).alias("parts"), F.lit(None).cast("string").alias("path"))
+    return own.select("file_id", "parts", "path").unionByName(alone)
+
+
+def _runs(parts: list) -> Iterator[list]:
+    """The chunks of a file, each once, in runs without a gap in their bytes."""
+    seen, run, end = set(), [], None
+    if any(pd.isna(p["start_byte"]) for p in parts):
+        parts = sorted(parts, key=lambda p: p["id"])
+    for p in parts:
+        if p["id"] in seen:
+            continue
+        seen.add(p["id"])
+        at = None if pd.isna(p["start_byte"]) else int(p["start_byte"])
+        if run and at is not None and end is not None and at != end:
+            yield run
+            run = []
+        run.append(p)
+        end = None if at is None else at + len(p["content"].encode("utf-8", "surrogatepass"))
+    if run:
+        yield run
+
+
+def places_of(run: list, path: str | None) -> list[tuple]:
+    """PLACE_SCHEMA rows of the chunks of one text: each place where it begins, its end cut to that chunk."""
+    text = "".join(p["content"] for p in run)
+    starts, at = [], 0
+    for p in run:
+        starts.append(at)
+        at += len(p["content"])
+    out, ends = [], {}
+    for a, b, key, kind in find(text, path):
+        if kind == "rest":
+            continue
+        k = bisect_right(starts, a) - 1
+        part = run[k]["content"]
+        if k not in ends:
+            ends[k] = [m.start() for m in re.finditer("\n", part)]
+        a, b = a - starts[k], min(b - starts[k], len(part))
+        first = 1 if pd.isna(run[k]["start_line"]) else int(run[k]["start_line"])
+        out.append((run[k]["id"], first + bisect_left(ends[k], a), key, kind, len(part[:a].encode("utf-8", "surrogatepass")), len(part[:b].encode("utf-8", "surrogatepass"))))
+    return out
+
+
+def masked_chunks(run: list, path: str | None) -> list[tuple]:
+    """(chunk, places that begin in it, content) of the chunks of one text that hold a place or a part of one."""
+    text = "".join(p["content"] for p in run)
+    places = find(text, path)
+    if not places:
+        return []
+    hidden = mask(text, places)
+    starts, at = [], 0
+    for p in run:
+        starts.append(at)
+        at += len(p["content"])
+    count: dict[int, int] = {}
+    for a, b, _, kind in places:
+        first = bisect_right(starts, a) - 1
+        count[first] = count.get(first, 0) + (kind != "rest")
+        for k in range(first + 1, bisect_left(starts, b)):
+            count.setdefault(k, 0)
+    return [(run[k]["id"], n, hidden[starts[k]: starts[k] + len(run[k]["content"])]) for k, n in sorted(count.items())]
 
 
 def find_secrets(chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -485,16 +582,12 @@ def find_secrets(chunks: DataFrame, files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for chunk, text, line, path in zip(batch["chunk_id"], batch["content"], batch["start_line"], batch["path"]):
-                places = [x for x in find(text, path) if x[3] != "rest"]
-                if places:
-                    ends = [m.start() for m in re.finditer("\n", text)]
-                    first = 1 if pd.isna(line) else int(line)
-                    for a, b, key, kind in places:
-                        out.append((chunk, first + bisect_left(ends, a), key, kind, len(text[:a].encode("utf-8", "surrogatepass")), len(text[:b].encode("utf-8", "surrogatepass"))))
+            for parts, path in zip(batch["parts"], batch["path"]):
+                for own in _runs(parts):
+                    out += places_of(own, path)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PLACE_SCHEMA.split(", ")])
 
-    return _with_paths(chunks, files).mapInPandas(run, PLACE_SCHEMA)
+    return _texts(chunks, files).mapInPandas(run, PLACE_SCHEMA)
 
 
 def redact(chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -503,10 +596,9 @@ def redact(chunks: DataFrame, files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for chunk, file, text, path in zip(batch["chunk_id"], batch["file_id"], batch["content"], batch["path"]):
-                places = find(text, path)
-                if places:
-                    out.append((chunk, None if pd.isna(file) else file, sum(x[3] != "rest" for x in places), mask(text, places)))
+            for file, parts, path in zip(batch["file_id"], batch["parts"], batch["path"]):
+                for own in _runs(parts):
+                    out += [(chunk, None if pd.isna(file) else file, n, text) for chunk, n, text in masked_chunks(own, path)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in REDACTED_SCHEMA.split(", ")]).astype({"file_id": "Int64"})
 
-    return _with_paths(chunks, files).mapInPandas(run, REDACTED_SCHEMA).dropDuplicates(["chunk_id"])
+    return _texts(chunks, files).mapInPandas(run, REDACTED_SCHEMA).dropDuplicates(["chunk_id"])

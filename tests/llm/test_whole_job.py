@@ -1,8 +1,10 @@
 """Cases in which the operators once did less than the whole job."""
 
+import random
+
 import numpy as np
 
-from leanspan.llm import provenance
+from leanspan.llm import credentials, provenance
 
 
 # --- 2 -----------------------------------------------------------------------
@@ -37,3 +39,52 @@ def test_heads_are_read_whole():
     assert provenance.evidence('"""Client stubs.\n\nCode generated by protoc. DO NOT EDIT.\n"""\nx = 1\n', "r/a.py", "python") == "generated"
     assert provenance.evidence("// line of a licence\n" * 60 + "// Code generated by protoc. DO NOT EDIT.\nlet x = 1;\n", "r/a.js", "javascript") == "generated"
     assert provenance.evidence('"""One line."""\nx = "Code generated by protoc. DO NOT EDIT."\n', "r/a.py", "python") == ""
+
+
+# --- 3 -----------------------------------------------------------------------
+_KEY = [f"{random.Random(k).randrange(1 << 380):064x}"[:60].replace("a", "Q") + "Z9+/" for k in range(160)]
+
+
+def _cut(spark, text, cuts, path):
+    """The text as chunks of one file, cut at the offsets (ASCII text)."""
+    at = [0, *cuts, len(text)]
+    rows = [(n, 1, text[a:b], 1 + text.count("\n", 0, a), a) for n, (a, b) in enumerate(zip(at, at[1:]), 1)]
+    return spark.createDataFrame(rows, "id long, file_id long, content string, start_line long, start_byte long"), spark.createDataFrame([(1, path)], "id long, path string")
+
+
+def _found(c, f):
+    return sorted((r["chunk_id"], r["line_no"]) for r in credentials.find_secrets(c, f).collect())
+
+
+def test_chunk_borders_hide_no_secret(spark):
+    text = "x: 1\nauth:\n  token: pac54299PartQ7\nurl: postgres://app:pac54299Part7@db/x\n"
+    for cut in (text.index("  token"), text.index("299Part"), text.index("pac54299Part7") + 4):
+        c, f = _cut(spark, text, [cut], "r/a.yaml")
+        assert [line for _, line in _found(c, f)] == [3, 4], cut
+        red = {r["chunk_id"]: r["content"] for r in credentials.redact(c, f).collect()}
+        whole = "".join(red.get(r["id"], r["content"]) for r in c.orderBy("id").collect())
+        assert len(whole) == len(text) and "Part" not in whole and "pac" not in whole and whole.startswith("x: 1\nauth:\n  token: ")
+
+
+def test_a_key_over_three_chunks_is_masked_whole(spark):
+    body = "\n".join(_KEY)  # more than 6,000 characters
+    text = f"a = 1\nk = \"\"\"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\"\"\"\nb = 2\n"
+    cuts = [text.index("KEY-----\n") + 9, text.index(_KEY[80])]
+    for text in (text, text.replace("-----END RSA PRIVATE KEY-----", "")):
+        c, f = _cut(spark, text, cuts, "r/a.py")
+        assert _found(c, f) == [(1, 2)]
+        red = {r["chunk_id"]: (r["places"], r["content"]) for r in credentials.redact(c, f).collect()}
+        whole = "".join(red[k][1] for k in (1, 2, 3))
+        assert [red[k][0] for k in (1, 2, 3)] == [1, 0, 0] and len(whole) == len(text)
+        assert not any(x in whole for x in _KEY) and "Z9+/" not in whole and whole.startswith("a = 1\n") and whole.endswith('"""\nb = 2\n') and "BEGIN RSA PRIVATE KEY" in whole
+
+
+def test_gaps_part_a_file_and_chunks_without_a_file_stand_alone(spark):
+    c = spark.createDataFrame([(1, 1, "auth:\n", 1, 0), (2, 1, "  token: pac54299PartQ7\n", 9, 500), (3, None, "auth:\n", 1, 0), (4, None, "  token: pac54299PartQ7\n", 2, 6)], "id long, file_id long, content string, start_line long, start_byte long")
+    assert _found(c, spark.createDataFrame([(1, "r/a.yaml")], "id long, path string")) == []
+
+
+def test_many_key_marks_take_linear_time():
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" * 20_000 + "A" * 100_000 + "!\n-----END CERTIFICATE-----\n"
+    assert len(credentials.find(text, "a.txt")) <= 1
+    assert credentials.find("QUJD" * 50_000 + "!\n-----END RSA PRIVATE KEY-----\n", "a.txt") == []
