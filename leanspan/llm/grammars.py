@@ -132,7 +132,7 @@ operand = ( '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' |
 prefixed = (typed_cast)? ( PRIVATE | primary tail* ('++' | '--')? ) ;
 tail = '.' (name | PRIVATE) | '?.' ( name | PRIVATE | @(args) | @[test] | TPL ) | @(args) | @[test] | TPL | typed_tail ;
 primary = ident | 'this' | 'super' | 'null' | 'true' | 'false' | NUM | STR | TPL | REGEX | @(test) | @[array] | @{object} | function | class_decl
-  | 'new' ( '.' name | operand ) | 'import' ( @(args) | '.' name ) | JSX ;
+  | 'new' ( '.' name | operand ) | 'import' ( @(args) | '.' name ) ;
 args = (('...'? assign) (',' '...'? assign)* ','?)? ;
 array = ','* (array_item (','+ array_item)* ','*)? ;
 !array_item = '...'? assign ;
@@ -168,7 +168,7 @@ type = 'asserts'? (ident | 'this') 'is' type | 'asserts' (ident | 'this') | unio
 union = '|'? intersection ('|' intersection)* ;
 intersection = '&'? type_operand ('&' type_operand)* ;
 type_operand = ('keyof' | 'readonly' | 'unique')* type_primary ( @[array] | @[index_type] )* | 'infer' ident ('extends' type_operand)? ;
-type_primary = 'typeof' (ident | 'this' | 'import' @(args)) ('.' (name | PRIVATE))* type_args? | type_name type_args? | 'void' | 'null' | 'this' | 'true' | 'false' | '-'? NUM | STR | TPL
+type_primary = 'typeof' (ident | 'this' | 'import' @(args)) ('.' (name | PRIVATE))* type_args? | type_name type_args? | 'void' | 'null' | 'this' | 'true' | 'false' | '-'? NUM | STR | TPL | TYPE_TPL
   | @(type_group) | @[tuple] | @{type_members} | @{mapped} | 'import' @(args) ('.' name)* type_args? ;
 type_name = ident ('.' name)* ;
 type_group = type ;

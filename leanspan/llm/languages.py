@@ -2,7 +2,9 @@
 
 A lexer is one compiled regular expression; brackets are matched while it runs, and
 a closed bracket pair is handed to the grammar at once, so that a file needs one
-pass and memory for its open brackets only.
+pass and memory for its open brackets only.  What is interpolated in a template literal
+or an f-string is lexed as a level of its own and has to derive an expression (in a
+template of types, a type); the whole literal is then one token.
 """
 
 from __future__ import annotations
@@ -17,6 +19,15 @@ _W = r"[^\W\d]\w*"
 _NUM_C = r"(?:0[xX][\da-fA-F_']+(?:\.[\da-fA-F_']*)?(?:[pP][+-]?\d+)?|0[bB][01_']+|0[oO][0-7_]+|(?:\d[\d_']*\.?(?:\d[\d_']*)?|\.\d[\d_']*)(?:[eE][+-]?[\d_]+)?)"
 _DQ, _SQ = r'"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"', r"'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^`{}\"']|" + _DQ + "|" + _SQ + r"|`(?:[^`\\]|\\[\s\S])*`|\{(?:[^`{}]|`(?:[^`\\]|\\[\s\S])*`|\{[^{}]*\})*\})*\})*`"
+_PY_QUOTED = r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*\'\'\'|' + _DQ + "|" + _SQ
+_F_PREFIX = r"(?:[rR]?[fFtT]|[fFtT][rR])"
+_F_OPEN = re.compile("(" + _F_PREFIX + r")(\"{3}|'{3}|[\"'])")
+_F_CLOSED = re.compile(_F_PREFIX + "(?:" + _PY_QUOTED + r")\Z")
+_F_SPECIAL = re.compile(r"[\\{}\n\"']")
+_TPL_SPECIAL = re.compile(r"\\[\s\S]|`|\$\{")
+_CONVERSION = re.compile(r"![rsa]\s*(?=[:}])")
+_DEBUG = re.compile(r"=\s*(?=[:}]|!(?!=))")
+_KNOWN_MOST = 100_000
 _C_COMMENT = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
 #: class names of the grammar, by the group of the lexer that finds them
 _SPECS = {
@@ -24,7 +35,7 @@ _SPECS = {
         blank=r"[ \t\f\v\r\xa0\u2028\u2029\ufeff]*", skip=_C_COMMENT, hash=r"\A#![^\n]*",
         regex=r"(?:\A|(?<=[=(,:\[!&|?{};+\-*%~^<>\n])|(?<=return)|(?<=typeof)|(?<=case))[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*",
         name=r"(?:[^\W\d]|[$\\])[\w$\\]*", number=r"(?:" + _NUM_C.replace("'", "") + r")n?(?![\w$])",
-        strings=[("STR", _DQ + "|" + _SQ), ("TPL", _TEMPLATE), ("PRIVATE", r"#(?:[^\W\d]|\$)[\w$]*")], newline=True,
+        strings=[("STR", _DQ + "|" + _SQ), ("TPL", _TEMPLATE + "|`"), ("PRIVATE", r"#(?:[^\W\d]|\$)[\w$]*")], newline=True,
     ),
     "go": dict(blank=r"[ \t\f\r]*", skip=r"//[^\n]*|/\*(?:[^*\n]|\*(?!/))*\*/", name=_W, number=r"(?:" + _NUM_C.replace("'", "") + r")i?(?!\w)", strings=[("STR", _DQ + r"|`[^`]*`"), ("NUM", r"'(?:[^'\\\n]|\\[^\n]+?)'")], newline=True, long=r"/\*(?:[^*]|\*(?!/))*\*/"),
     "java": dict(blank=r"\s*", skip=_C_COMMENT, name=r"(?:[^\W\d]|\$)[\w$]*", number=r"(?:" + _NUM_C.replace("'", "") + r")[lLfFdD]?(?![\w$])", strings=[("STR", r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|' + _DQ), ("CHAR", r"'(?:[^'\\\n]|\\[^\n]+?)'")]),
@@ -39,7 +50,7 @@ _SPECS = {
     ),
     "python": dict(
         blank=r"[ \t\f]*", skip=r"\\\r?\n|#[^\n]*", name=_W, number=r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?)[jJ]?(?!\w)",
-        strings=[("STR", r'(?:[rRbBuUfFtT]{1,2})?(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*\'\'\'|' + _DQ + "|" + _SQ + ")")], newline=True,
+        strings=[("FSTR", _F_PREFIX + "(?:" + _PY_QUOTED + r"|\"\"\"|\'\'\'|\"|\')"), ("STR", "(?:[rRbBuU]{1,2})?(?:" + _PY_QUOTED + ")")], newline=True,
     ),
 }
 _OPEN, _CLOSE = "([{", {")": "(", "]": "[", "}": "{"}
@@ -57,7 +68,8 @@ class Language:
         self.words = {x: g.literals[x] for x in g.word_literals} | ({"_": g.literals["_"]} if "_" in g.literals else {})
         punctuation = sorted((x for x in g.literals if not x[0].isalpha() and x != "_"), key=lambda x: -len(x))
         parts: list[str] = []
-        self.kinds: list = [None]  # by group: None skip, "word", "open", "close", "op", "newline", or a class's character
+        self.kinds: list = [None]  # by group: None skip, "word", "open", "close", "op", "newline", "template", "fstring", or a class's character
+        self.known: dict[tuple[str, str], bool] = {}  # (rule, level) of interpolations
 
         def add(kind, regex: str) -> None:
             parts.append("(" + regex + ")")
@@ -68,8 +80,9 @@ class Language:
         front = len(parts)
         if "hash" in d:
             add(g.classes.get("HASHBANG"), d["hash"])
-        for c, r in d["strings"][:1] if spec in ("rust", "cpp", "python") else []:
-            add(g.classes[c], r)
+        early = {"rust": 1, "cpp": 1, "python": 2}.get(spec, 0)
+        for c, r in d["strings"][:early]:
+            add("fstring" if c == "FSTR" else g.classes[c], r)
         add(None, d["skip"])
         add("word", d["name"])
         if d.get("newline"):
@@ -79,8 +92,8 @@ class Language:
         add("open", r"[(\[{]")
         add("close", r"[)\]}]")
         add(g.classes["NUM"], d["number"])
-        for c, r in d["strings"][1:] if spec in ("rust", "cpp", "python") else d["strings"]:
-            add(g.classes.get(c, g.error), r)
+        for c, r in d["strings"][early:]:
+            add("template" if c == "TPL" else g.classes.get(c, g.error), r)
         add(g.error, r"/\*|\*/" if spec not in ("python", "go") else r"[`?]")
         add("op", "|".join(map(re.escape, punctuation)))
         add(None, r"\r")
@@ -105,50 +118,173 @@ class Language:
     # -- levels ---------------------------------------------------------------
     def level(self, text: str) -> str:
         """The outermost level of a whole text; raises Unbalanced."""
-        return self._python(text) if self.spec == "python" else self._brackets(text)
+        return self._python(text) if self.spec == "python" else self._brackets(text)[0]
 
-    def _brackets(self, text: str) -> str:
+    def _brackets(self, text: str, at: int | None = 0, inside: bool = False) -> tuple[str, int]:
+        """The level from an offset to the end of the text, or of the interpolation that began there, and where it ends."""
         g, kinds, chars, name = self.grammar, self.kinds, self.chars, self.name_char
         get = chars.get
         script, go = self.spec == "script", self.spec == "go"
-        stack: list = []
+        stack: list = [("${", [])] if inside else []
         cur: list[str] = []
         put = cur.append
-        for m in self.regex.finditer(text):
+        while at is not None:
+            again = None
+            for m in self.regex.finditer(text, at):
+                k = m.lastindex
+                kind = kinds[k]
+                if kind == "word":
+                    put(get(m[k], name))
+                elif kind == "op":
+                    put(chars[m[k]])
+                elif kind is None:
+                    continue
+                elif kind == "open":
+                    stack.append((m[k], cur))
+                    cur = []
+                    put = cur.append
+                elif kind == "close":
+                    if not stack or stack[-1][0] != _CLOSE[m[k]]:
+                        if inside and len(stack) == 1 and m[k] == "}":
+                            return "".join(cur), m.end()
+                        raise Unbalanced(m[k])
+                    b, up = stack.pop()
+                    if script and b == "{" and cur and cur[-1] != self.end:
+                        put(self.end)
+                    up.append(g.group(b, "".join(cur)))
+                    cur = up
+                    put = cur.append
+                elif kind == "newline":
+                    if script:
+                        if cur and (not stack or stack[-1][0] == "{") and (cur[-1] in self.enders or cur[-1] >= "က") and not self.before_not.match(text, m.end()):
+                            put(self.end)
+                    elif cur and (cur[-1] in self.enders or cur[-1] >= "က") and "\n" in m[k]:
+                        put(self.end)
+                elif kind == "template":
+                    if "${" in m[k] or len(m[k]) == 1:
+                        c, again = self._template(text, m.start(k) + 1)
+                        put(c)
+                        break
+                    put(g.classes["TPL"])
+                else:
+                    put(kind)
+            at = again
+        if stack:
+            raise Unbalanced(stack[-1][0])
+        if (script or go) and cur and cur[-1] != self.end:
+            put(self.end)
+        return "".join(cur), len(text)
+
+    def _derives(self, rule: str, level: str) -> bool:
+        found = self.known.get((rule, level))
+        if found is None:
+            found = self.grammar.error not in level and self.grammar.derives(rule, level)
+            if len(self.known) < _KNOWN_MOST and len(level) <= 200:
+                self.known[rule, level] = found
+        return found
+
+    def _template(self, text: str, at: int) -> tuple[str, int]:
+        """The token of a template literal whose text begins at an offset, and where it ends."""
+        g = self.grammar
+        levels = []
+        while m := _TPL_SPECIAL.search(text, at):
+            at = m.end()
+            if m[0] == "`":
+                if all(self._derives("test", x) for x in levels):
+                    return g.classes["TPL"], at
+                if "TYPE_TPL" in g.classes and all(self._derives("type", x) for x in levels):
+                    return g.classes["TYPE_TPL"], at
+                return g.error, at
+            if m[0] == "${":
+                level, at = self._brackets(text, at, True)
+                levels.append(level)
+        raise Unbalanced("`")
+
+    def _fstring(self, text: str, at: int) -> tuple[str, int]:
+        """The token of an f-string that begins at an offset, and where it ends."""
+        m = _F_OPEN.match(text, at)
+        end, good = self._literal(text, m.end(), m[2], "r" in m[1].lower(), False)
+        return (self.grammar.classes["STR"] if good else self.grammar.error), end
+
+    def _literal(self, text: str, at: int, quote: str, raw: bool, spec: bool) -> tuple[int, bool]:
+        """The end of an f-string's text, or of a format specification before its }, and whether its fields are expressions."""
+        good = True
+        while m := _F_SPECIAL.search(text, at):
+            c, at = m[0], m.end()
+            if c == "\\":
+                if not raw and text.startswith("N{", at):
+                    at = text.find("}", at) + 1
+                    if not at:
+                        break
+                elif text[at: at + 1] not in ("{", "}"):
+                    at += 2 if text.startswith("\r\n", at) else 1
+            elif c == "{":
+                if not spec and text.startswith("{", at):
+                    at += 1
+                else:
+                    at, fine = self._field(text, at, quote, raw)
+                    good = good and fine
+            elif c == "}":
+                if spec:
+                    return m.start(), good
+                if text.startswith("}", at):
+                    at += 1
+                else:
+                    good = False
+            elif c == "\n":
+                if len(quote) == 1:
+                    break
+            elif text.startswith(quote, m.start()):
+                if spec:
+                    break
+                return m.start() + len(quote), good
+        raise Unbalanced(quote)
+
+    def _field(self, text: str, at: int, quote: str, raw: bool) -> tuple[int, bool]:
+        """The end of a replacement field of an f-string that begins after its {, and whether it holds an expression."""
+        g, kinds = self.grammar, self.kinds
+        stack: list = []
+        cur: list[str] = []
+        while m := self.regex.match(text, at):
             k = m.lastindex
-            kind = kinds[k]
+            kind, s = kinds[k], m.start(k)
+            at = m.end()
+            if not stack and kind is not None and (text[s] in ":}" or text[s] == "!" and not text.startswith("!=", s) or _DEBUG.match(text, s) and not text.startswith("==", s)):
+                good = self._derives("rhs", "".join(cur))
+                at = s
+                if text[at] == "=":
+                    at = _DEBUG.match(text, at).end()
+                if text[at] == "!":
+                    c = _CONVERSION.match(text, at)
+                    good = good and bool(c)
+                    at = c.end() if c else at + 1
+                if text.startswith(":", at):
+                    at, fine = self._literal(text, at + 1, quote, raw, True)
+                    good = good and fine
+                if not text.startswith("}", at):
+                    raise Unbalanced("{")
+                return at + 1, good
             if kind == "word":
-                put(get(m[k], name))
+                cur.append(self.chars.get(m[k], self.name_char))
             elif kind == "op":
-                put(chars[m[k]])
-            elif kind is None:
+                cur.append(self.chars[m[k]])
+            elif kind is None or kind == "newline":
                 continue
             elif kind == "open":
                 stack.append((m[k], cur))
                 cur = []
-                put = cur.append
             elif kind == "close":
                 if not stack or stack[-1][0] != _CLOSE[m[k]]:
                     raise Unbalanced(m[k])
                 b, up = stack.pop()
-                if script and b == "{" and cur and cur[-1] != self.end:
-                    put(self.end)
                 up.append(g.group(b, "".join(cur)))
                 cur = up
-                put = cur.append
-            elif kind == "newline":
-                if script:
-                    if cur and (not stack or stack[-1][0] == "{") and (cur[-1] in self.enders or cur[-1] >= "က") and not self.before_not.match(text, m.end()):
-                        put(self.end)
-                elif cur and (cur[-1] in self.enders or cur[-1] >= "က") and "\n" in m[k]:
-                    put(self.end)
+            elif kind == "fstring":
+                c, at = self._fstring(text, s)
+                cur.append(c)
             else:
-                put(kind)
-        if stack:
-            raise Unbalanced(stack[-1][0])
-        if (script or go) and cur and cur[-1] != self.end:
-            put(self.end)
-        return "".join(cur)
+                cur.append(kind)
+        raise Unbalanced("{")
 
     def _python(self, text: str) -> str:
         g, kinds, chars, name, nl = self.grammar, self.kinds, self.chars, self.name_char, self.end
@@ -179,38 +315,47 @@ class Language:
         at = first.end(1)
         if first[1] and at < len(text) and text[at] != "#":
             raise Unbalanced("indent")
-        for m in self.regex.finditer(text, at):
-            k = m.lastindex
-            kind = kinds[k]
-            if kind == "word":
-                put(get(m[k], name))
-            elif kind == "op":
-                put(chars[m[k]])
-            elif kind is None:
-                continue
-            elif kind == "newline":
-                if not depth:
-                    if cur and cur[-1] != nl and cur[-1] < "က" or cur and cur[-1] >= "က" and g._group_of[cur[-1]][0] != "<":
-                        put(nl)
-                    if m.end() < len(text):
-                        s = m[k]
-                        s = s[s.rindex("\n") + 1:]
-                        indent(len(s.expandtabs(8)) if "\t" in s else len(s))
-            elif kind == "open":
-                stack.append((m[k], cur))
-                cur = []
-                put = cur.append
-                depth += 1
-            elif kind == "close":
-                if not stack or stack[-1][0] != _CLOSE[m[k]]:
-                    raise Unbalanced(m[k])
-                b, up = stack.pop()
-                up.append(g.group(b, "".join(cur)))
-                cur = up
-                put = cur.append
-                depth -= 1
-            else:
-                put(kind)
+        while at is not None:
+            again = None
+            for m in self.regex.finditer(text, at):
+                k = m.lastindex
+                kind = kinds[k]
+                if kind == "word":
+                    put(get(m[k], name))
+                elif kind == "op":
+                    put(chars[m[k]])
+                elif kind is None:
+                    continue
+                elif kind == "newline":
+                    if not depth:
+                        if cur and cur[-1] != nl and cur[-1] < "က" or cur and cur[-1] >= "က" and g._group_of[cur[-1]][0] != "<":
+                            put(nl)
+                        if m.end() < len(text):
+                            s = m[k]
+                            s = s[s.rindex("\n") + 1:]
+                            indent(len(s.expandtabs(8)) if "\t" in s else len(s))
+                elif kind == "open":
+                    stack.append((m[k], cur))
+                    cur = []
+                    put = cur.append
+                    depth += 1
+                elif kind == "close":
+                    if not stack or stack[-1][0] != _CLOSE[m[k]]:
+                        raise Unbalanced(m[k])
+                    b, up = stack.pop()
+                    up.append(g.group(b, "".join(cur)))
+                    cur = up
+                    put = cur.append
+                    depth -= 1
+                elif kind == "fstring":
+                    if "{" in m[k] or "}" in m[k] or not _F_CLOSED.match(m[k]):
+                        c, again = self._fstring(text, m.start(k))
+                        put(c)
+                        break
+                    put(g.classes["STR"])
+                else:
+                    put(kind)
+            at = again
         if depth:
             raise Unbalanced(stack[-1][0])
         if cur and cur[-1] != nl and not (cur[-1] >= "က" and g._group_of[cur[-1]][0] == "<"):

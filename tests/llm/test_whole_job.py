@@ -1,10 +1,14 @@
 """Cases in which the operators once did less than the whole job."""
 
+import ast
 import random
+import warnings
 
 import numpy as np
+import pytest
 
 from leanspan.llm import credentials, provenance
+from leanspan.llm.parsecheck import parses
 
 
 # --- 2 -----------------------------------------------------------------------
@@ -88,3 +92,32 @@ def test_many_key_marks_take_linear_time():
     text = "-----BEGIN RSA PRIVATE KEY-----\n" * 20_000 + "A" * 100_000 + "!\n-----END CERTIFICATE-----\n"
     assert len(credentials.find(text, "a.txt")) <= 1
     assert credentials.find("QUJD" * 50_000 + "!\n-----END RSA PRIVATE KEY-----\n", "a.txt") == []
+
+
+# --- 4 -----------------------------------------------------------------------
+@pytest.mark.parametrize("text", [
+    'f"{a}"', 'f"{x"', 'f"{a +}"', 'f"{}"', 'f"a}b"', 'f"{{a}}"', 'f"{a!r:>{w}.{p}}"', 'f"{a!z}"', 'f"{a=}"', 'f"{a = !r}"', 'f"{d["k"]}"', 'f"{f"{f"{1}"}"}"', 'f"{lambda x: 1}"', 'f"{(lambda x: 1)}"', 'f"{a:%Y-%m}"', 'f"{a != b}"', 'f"{a:=5}"', 'f"\\N{EM DASH} {a}"',
+    'f"""{\n a\n}\n"""', 'f"{\na}"', 'rf"\\{a}"', 'f"{*a, b}"', 'f"{ {1: 2}[1] }"', 'f"{a b}"', 'f"{a:{b +}}"', 'f"{a', 'f"{!r}"', 'f"{a for a in b}"', 'f"{[a for a in b]}"', "f'{a['x']}'", 'f"{a}" + f"{b +}"',
+])
+def test_f_strings_are_judged_as_python_does(text):
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(f"x = {text}\n")
+        valid = True
+    except SyntaxError:
+        valid = False
+    assert parses(f"x = {text}\n", "python") == valid
+
+
+@pytest.mark.parametrize("name", ["javascript", "typescript"])
+def test_template_literals_hold_expressions(name):
+    for text in ("`${a}`", "`a${b}c${d}`", "`${`${`${`${`${a}`}`}`}`}`", "`${{a: {b: {c: {d: {e: 1}}}}}.a}`", "`${f(() => { return `${y}`; })}`", "`\\${a +}`", "tag`${a}`", "`${a ? '}' : \"`\"}`", "`${/}/.test(a)}`", "`${\na\n}`"):
+        assert parses(f"x = {text};\n", name), text
+    for text in ("`${a +}`", "`${}`", "`${a b}`", "`${a;}`", "`${a", "`abc", "`${`${b +}`}`"):
+        assert not parses(f"x = {text};\n", name), text
+
+
+def test_template_types_hold_types():
+    assert parses("type B<T> = T extends `${infer H}.${infer R}` ? H : never;", "typescript") and parses("type C = `${string}px`;", "typescript")
+    assert not parses("let b = `${infer H}`;", "typescript") and not parses("type C = `${string +}px`;", "typescript")
