@@ -62,8 +62,8 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 RADIUS = 2
 
 
-def near_signatures(df: DataFrame, signature: str, distance: int = 8) -> DataFrame:
-    """Pairs (left, right) of different signatures within a Hamming distance of at most 8, each once.
+def near_signatures(df: DataFrame, signature: str, distance: int = 8, within: list[str] | None = None) -> DataFrame:
+    """Pairs (left, right) of different signatures within a Hamming distance of at most 8, each once; of equal ``within`` columns only, which stand before them.
 
     Works on distinct signatures only, so copies cost nothing.  Of three blocks one
     differs in two bits at most, and two words within two bits have a word within one
@@ -72,17 +72,18 @@ def near_signatures(df: DataFrame, signature: str, distance: int = 8) -> DataFra
     """
     if distance > RADIUS * len(BLOCKS) + 2:
         raise ValueError("distance is more than the blocks guarantee")
-    s = df.filter(F.col(signature).isNotNull()).select(F.col(signature).alias("s")).distinct()
+    of = within or []
+    s = df.filter(F.col(signature).isNotNull()).select(*of, F.col(signature).alias("s")).distinct()
 
     def offer(number: int, at: int, width: int) -> Column:
         # the block's number above its value, with the flips as constants
         block = F.shiftrightunsigned("s", at).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(number << 32))
         return F.transform(F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(width)))]), lambda m: block.bitwiseXOR(m))
 
-    keys = s.select("s", F.explode(F.concat(*[offer(n, at, width) for n, (at, width) in enumerate(BLOCKS)])).alias("k"))
-    x, y = keys.select("k", F.col("s").alias("left")), keys.select("k", F.col("s").alias("right"))
-    hit = x.join(y, "k").filter((F.col("left") < F.col("right")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
-    return hit.select("left", "right").distinct()
+    keys = s.select(*of, "s", F.explode(F.concat(*[offer(n, at, width) for n, (at, width) in enumerate(BLOCKS)])).alias("k"))
+    x, y = keys.select(*of, "k", F.col("s").alias("left")), keys.select(*of, "k", F.col("s").alias("right"))
+    hit = x.join(y, [*of, "k"]).filter((F.col("left") < F.col("right")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
+    return hit.select(*of, "left", "right").distinct()
 
 
 def near_duplicate_classes(df: DataFrame, key: str, signature: str, distance: int = 8) -> DataFrame:

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import overlap_join
+from .joins import near_signatures, overlap_join
 
 EVIDENCE_MOST, RECEIPTS_MOST, TTL_HOURS = 2048, 128, 24
+NEAR_BITS = 8
 
 
 def decisions(requests: DataFrame) -> DataFrame:
-    """session, position, decision: exact, overlap or return, against everything earlier in the session.
+    """session, position, decision: exact, overlap, near_duplicate or return, against everything earlier in the session.
 
-    requests: session, position, path, a, b (lines), content_hash.  An equal hash is
-    suppressed whatever its path; an overlapping range in the same path after that.
+    requests: session, position, path, a, b (lines), content_hash, and signature (64 bits)
+    if near duplicates are to be told.  An equal hash is suppressed whatever its path; an
+    overlapping range in the same path after that; what then has a signature within 8 bits
+    of an earlier one is a near duplicate.  Near signatures meet within a session, each
+    once, with the earliest position of each.
     The first position of a hash is an aggregate that is joined back, and ranges meet in
     bands of a path, so a session that holds a third of all rows is spread over tasks.
     """
@@ -25,7 +29,14 @@ def decisions(requests: DataFrame) -> DataFrame:
     right = left.select("place", F.col("position").alias("earlier"), F.col("a").alias("c"), F.col("b").alias("d")).groupBy("place", "c", "d").agg(F.min("earlier").alias("earlier"))
     seen = overlap_join(left, right, "place").filter("earlier < position").select(F.col("place.session").alias("session"), "position").distinct().withColumn("overlap", F.lit(True))
     out = exact.join(seen, ["session", "position"], "left")
-    return out.select("session", "position", F.when(F.col("exact"), "exact").when(F.col("overlap"), "overlap").otherwise("return").alias("decision"))
+    known = F.when(F.col("exact"), "exact").when(F.col("overlap"), "overlap")
+    if "signature" not in requests.columns:
+        return out.select("session", "position", known.otherwise("return").alias("decision"))
+    signed = r.filter("signature is not null").groupBy("session", "signature").agg(F.min("position").alias("at"))
+    pairs = near_signatures(signed, "signature", NEAR_BITS, ["session"])
+    both = pairs.select("session", F.col("left").alias("signature"), F.col("right").alias("other")).unionByName(pairs.select("session", F.col("right").alias("signature"), F.col("left").alias("other")))
+    near = both.join(signed.select("session", F.col("signature").alias("other"), "at"), ["session", "other"]).select("session", "signature", "at").unionByName(signed).groupBy("session", "signature").agg(F.min("at").alias("near_position"))
+    return out.join(near, ["session", "signature"], "left").select("session", "position", known.when(F.col("near_position") < F.col("position"), "near_duplicate").otherwise("return").alias("decision"))
 
 
 def retained(receipts: DataFrame, now: str, most: int = RECEIPTS_MOST, hours: int = TTL_HOURS) -> DataFrame:

@@ -584,15 +584,26 @@ def json_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- receipts and streams ----------------------------------------------------
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks as requests of their repository's session, in the order of their ids."""
+    f = table(spark, d, "files").select(F.col("id").alias("file_id"), "repository", "path")
+    c = _distinct(spark, d, "chunks").select("id", "file_id", F.col("start_line").alias("a"), F.col("end_line").alias("b"), T.fingerprint("content").alias("content_hash"), J.simhash(T.token_terms("content")).alias("signature"))
+    return c.join(f, "file_id").select(F.col("repository").alias("session"), F.col("id").alias("position"), "path", "a", "b", "content_hash", "signature")
+
+
 @query(
     """with r as (select f.repository as session, c.id as position, f.path, c.start_line as a, c.end_line as b, substr(sha256(c.content), 1, 32) as h from (select distinct on (id) * from chunks) c join files f on f.id = c.file_id), e as (select session, h, min(position) as p from r group by 1, 2),
 o as (select distinct x.session, x.position from r x join r y on x.session = y.session and x.path = y.path and x.a <= y.b and y.a <= x.b and y.position < x.position)
 select r.session, r.position, case when e.p < r.position then 'exact' when o.position is not null then 'overlap' else 'return' end as decision from r join e on e.session = r.session and e.h = r.h left join o on o.session = r.session and o.position = r.position"""
 )
 def receipt_decisions(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "files").select(F.col("id").alias("file_id"), "repository", "path")
-    c = _distinct(spark, d, "chunks").select("id", "file_id", F.col("start_line").alias("a"), F.col("end_line").alias("b"), T.fingerprint("content").alias("content_hash"))
-    return P.decisions(c.join(f, "file_id").select(F.col("repository").alias("session"), F.col("id").alias("position"), "path", "a", "b", "content_hash"))
+    """Decisions by hash and range alone, as its SQL has them; ``receipt_near_decisions`` also tells near duplicates."""
+    return P.decisions(_requests(spark, d).drop("signature"))
+
+
+@query(None)
+def receipt_near_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return P.decisions(_requests(spark, d))
 
 
 @query(

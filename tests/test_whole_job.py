@@ -1,0 +1,23 @@
+"""Cases in which the operators once did less than the whole job."""
+
+import random
+
+from leanspan.operators import receipts as P
+
+
+def test_near_duplicates_of_a_session_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    data = []
+    for n in range(160):
+        x = None if n % 13 == 0 else signed(flip(base[rng.randrange(4)], rng.choice([0, 3, 8, 9, 12])))
+        data.append(("s%d" % rng.randrange(2), n, f"p{n if n % 5 else n // 2}", 1, 10, f"h{n if n % 7 else n // 3}", x))
+    r = spark.createDataFrame(data, "session string, position int, path string, a int, b int, content_hash string, signature long")
+    want = {}
+    for s, n, path, _, _, h, x in data:
+        before = [y for y in data if y[0] == s and y[1] < n]
+        near = x is not None and any(y[6] is not None and ((x ^ y[6]) & (1 << 64) - 1).bit_count() <= 8 for y in before)
+        want[n] = "exact" if any(y[5] == h for y in before) else "overlap" if any(y[2] == path for y in before) else "near_duplicate" if near else "return"
+    assert {x["position"]: x["decision"] for x in P.decisions(r).collect()} == want and set(want.values()) == {"exact", "overlap", "near_duplicate", "return"}
