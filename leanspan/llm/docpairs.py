@@ -20,15 +20,15 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .languages import LANGUAGES, Language, Unbalanced, language
 
 #: Words of prose that a documentation needs not to be trivial.
 MIN_WORDS = 5
-#: A description template is repeated when at least this many symbols share its hash.
-TEMPLATE_REPEATS = 20
+#: A description is a template when at least this many functions of different code share its hash, and this part of all pairs.
+TEMPLATE_REPEATS, TEMPLATE_SHARE = 20, 0.002
 
 PAIR_SCHEMA = "symbol_id long, file_id long, name string, kind string, language string, signature string, code string, description string, prose_words int, parses boolean"
 
@@ -283,12 +283,22 @@ def template_hash(description: str) -> F.Column:
     return F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(F.col(description)), r"`[^`]*`|\b\w*[0-9_]\w*\b", "#"), r"[^\p{L}#]+", " "))
 
 
-def drop_templates(pairs: DataFrame, repeats: int = TEMPLATE_REPEATS) -> DataFrame:
-    """Without the pairs whose description is repeated through the corpus, by hash counts.
+def drop_templates(pairs: DataFrame, repeats: int = TEMPLATE_REPEATS, share: float = TEMPLATE_SHARE) -> DataFrame:
+    """Without the pairs whose description is a template of the corpus.
 
-    Counts are taken over all pairs before any is dropped; only hashes and counts are
-    shuffled, pre-aggregated, and a frequent hash is one row on the counted side.
+    A description is a template when at least ``repeats`` functions of different code
+    share its hash, and at least ``share`` of all pairs.  One that gets there by copies
+    of the same code only keeps one pair of each code, that of the least symbol_id.
+    Counts are taken over all pairs before any is dropped; only hashes, counts and ids
+    are shuffled, pre-aggregated.
     """
-    hashed = pairs.withColumn("template", template_hash("description"))
-    often = hashed.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= repeats).select("template")
-    return hashed.join(often, "template", "left_anti").drop("template")
+    code = F.xxhash64(F.regexp_replace("code", r"\s+", " ")) if "code" in pairs.columns else F.col("symbol_id")
+    hashed = pairs.withColumn("template", template_hash("description")).withColumn("fingerprint", code)
+    counts = hashed.groupBy("template", "fingerprint").agg(F.count("*").alias("n"), F.min("symbol_id").alias("first"))
+    # both columns are used, so that the exchange of the counts is used again
+    total = counts.agg(F.sum("n").alias("total"), F.min("first").alias("least"))
+    w = Window.partitionBy("template")
+    grouped = counts.withColumn("codes", F.count("*").over(w)).withColumn("members", F.sum("n").over(w)).filter(F.col("members") >= repeats)
+    most = F.greatest(F.lit(float(repeats)), F.col("total") * share)
+    often = grouped.crossJoin(F.broadcast(total)).filter((F.col("members") >= most) & F.col("least").isNotNull()).select("template", "fingerprint", F.when(F.col("codes") < most, F.col("first")).alias("kept"), F.lit(True).alias("often"))
+    return hashed.join(often, ["template", "fingerprint"], "left").filter("often is null or symbol_id = kept").select(*pairs.columns)

@@ -7,10 +7,21 @@ import warnings
 import numpy as np
 import pytest
 
-from leanspan.llm import credentials, provenance
+from leanspan.llm import credentials, docpairs, provenance
 from leanspan.llm.parsecheck import parses
 
 
+# --- 1 -----------------------------------------------------------------------
+def test_copies_are_no_template_and_the_threshold_grows(spark):
+    copies = [(n, "Opens the ledger and returns its first page.", "def f():\n" + " " * (n % 3) + "    return 1") for n in range(30)]
+    template = [(100 + n, f"Returns the value {n} of the record.", f"def g{n}(): pass") for n in range(25)]
+    df = spark.createDataFrame(copies + template + [(999, "Something that is said only once.", "def h(): pass")], "symbol_id long, description string, code string")
+    kept = lambda x, **k: sorted(r["symbol_id"] for r in docpairs.drop_templates(x, **k).collect())
+    assert kept(df, repeats=20) == [0, 999]
+    # the same 25 in a larger corpus are no template
+    assert set(range(100, 125)) <= set(kept(df, repeats=20, share=0.5))
+
+
 # --- 2 -----------------------------------------------------------------------
 def _scored(score, threshold, sure):
     w = np.zeros(provenance.WIDTH, dtype=np.float32)
