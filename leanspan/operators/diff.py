@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leanspan.functions.text import path_class, source_stem
+from leanspan.functions.text import fingerprint, path_class, source_stem
 from leanspan.functions.tokens import estimate_py
 
 from .derive import latest
@@ -52,11 +52,20 @@ def symbol_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> Data
     return j.select(*keys, "old_signature", "new_signature", "old_body", "new_body", change.alias("change"))
 
 
-def renames(changes: DataFrame, kind: str = "kind", name: str = "name") -> DataFrame:
-    """old_name, new_name of removed and added symbols whose (kind, body) is unique on both sides."""
-    gone = changes.filter("change = 'removed' and old_body is not null").select(kind, F.col("old_body").alias("body"), name)
-    come = changes.filter("change = 'added' and new_body is not null").select(kind, F.col("new_body").alias("body"), name)
-    return unique_key_join(gone, come, [kind, "body"], name).filter("before <> after").select(kind, F.col("before").alias("old_name"), F.col("after").alias("new_name"))
+def body_fingerprint(content: F.Column, signature: F.Column) -> F.Column:
+    """The fingerprint of a symbol's code with blanks made one, without its signature if it begins with that; null for an empty body."""
+    one = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    text, head = one(content), F.coalesce(one(signature), F.lit(""))
+    body = F.trim(F.when(F.startswith(text, head), F.substring(text, F.length(head) + 1, F.length(text))).otherwise(text))
+    return F.when(body != "", fingerprint(body))
+
+
+def renames(changes: DataFrame, kind: str | list[str] = "kind", name: str = "name") -> DataFrame:
+    """old_name, new_name of removed and added symbols whose (kind, body) is unique on both sides; kind may be several columns."""
+    kinds = [kind] if isinstance(kind, str) else kind
+    gone = changes.filter("change = 'removed' and old_body is not null").select(*kinds, F.col("old_body").alias("body"), name)
+    come = changes.filter("change = 'added' and new_body is not null").select(*kinds, F.col("new_body").alias("body"), name)
+    return unique_key_join(gone, come, [*kinds, "body"], name).filter("before <> after").select(*kinds, F.col("before").alias("old_name"), F.col("after").alias("new_name"))
 
 
 def is_public(signature: str) -> F.Column:

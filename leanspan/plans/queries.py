@@ -278,6 +278,27 @@ def symbol_changes(spark: SparkSession, d: str) -> DataFrame:
     return X.symbol_changes(s.filter("not current"), s.filter("current"), keys).select(*keys, "change")
 
 
+def _changed_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbol changes with the fingerprint of each symbol's code after its signature, cut from its file by its bytes."""
+    f = table(spark, d, "files").select(F.col("id").alias("file_id"), "repository", "generation", F.encode(F.coalesce("content", F.lit("")), "UTF-8").alias("bytes"))
+    now = table(spark, d, "files").agg(F.max("generation").alias("now"))
+    cut = F.decode(F.substring(F.col("bytes"), F.col("start_byte").cast("int") + 1, F.greatest(F.col("end_byte") - F.col("start_byte"), F.lit(0)).cast("int")), "UTF-8")
+    s = _distinct(spark, d, "symbols").join(f, "file_id").crossJoin(F.broadcast(now))
+    s = s.select("repository", "name", "kind", F.coalesce("parent", F.lit("")).alias("parent"), "signature", X.body_fingerprint(cut, F.col("signature")).alias("body"), (F.col("generation") == F.col("now")).alias("current"))
+    return X.symbol_changes(s.filter("not current"), s.filter("current"), ["repository", "name", "kind", "parent"])
+
+
+@query(None)
+def symbol_body_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes by signature and body; ``symbol_changes`` compares signatures only, as its SQL does."""
+    return _changed_symbols(spark, d).select("repository", "name", "kind", "parent", "change")
+
+
+@query(None)
+def rename_detection(spark: SparkSession, d: str) -> DataFrame:
+    return X.renames(_changed_symbols(spark, d), ["repository", "kind"])
+
+
 @query(None)
 def owner_tests(spark: SparkSession, d: str) -> DataFrame:
     return X.owner_tests(table(spark, d, "files"))

@@ -3,6 +3,7 @@
 import random
 
 from leanspan.operators import receipts as P
+from leanspan.plans import queries as Q
 
 
 def test_near_duplicates_of_a_session_equal_brute_force(spark):
@@ -21,3 +22,22 @@ def test_near_duplicates_of_a_session_equal_brute_force(spark):
         near = x is not None and any(y[6] is not None and ((x ^ y[6]) & (1 << 64) - 1).bit_count() <= 8 for y in before)
         want[n] = "exact" if any(y[5] == h for y in before) else "overlap" if any(y[2] == path for y in before) else "near_duplicate" if near else "return"
     assert {x["position"]: x["decision"] for x in P.decisions(r).collect()} == want and set(want.values()) == {"exact", "overlap", "near_duplicate", "return"}
+
+
+def test_bodies_change_and_symbols_are_renamed(spark, tmp_path):
+    def text(*functions):
+        return "# é\n" + "".join(f"def {n}():\n    return {v}\n" for n, v in functions)
+
+    files = [(1, "r", 1, text(("same", 1), ("body", 2), ("old", 3))), (2, "r", 2, text(("same", 1), ("body", 20), ("new", 3)))]
+    symbols = []
+    for f, _, _, content in files:
+        for name in ("same", "body", "old", "new"):
+            at = content.encode().find(f"def {name}(".encode())
+            if at >= 0:
+                end = content.encode().find(b"def ", at + 1)
+                symbols.append((len(symbols), f, name, "function", None, f"def {name}():", at, end if end >= 0 else len(content.encode())))
+    spark.createDataFrame(files, "id long, repository string, generation long, content string").write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame(symbols, "id long, file_id long, name string, kind string, parent string, signature string, start_byte long, end_byte long").write.parquet(f"{tmp_path}/symbols.parquet")
+    q = Q.queries()
+    assert {r["name"]: r["change"] for r in q["symbol_body_changes"](spark, str(tmp_path)).collect()} == {"same": "unchanged", "body": "modified_body", "old": "removed", "new": "added"}
+    assert [(r["old_name"], r["new_name"]) for r in q["rename_detection"](spark, str(tmp_path)).collect()] == [("old", "new")]
