@@ -72,10 +72,10 @@ def eligibility(path: str | Column, content_hash: str | Column, include: Sequenc
 def stored_excerpts(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """request_id, file_id, first, last, content of requested lines (request_id, file_id, a, b), put together from chunks.
 
-    Requests are parameters and are broadcast; of each chunk only the wanted lines are kept.
+    Requests may be as many as the files; of each chunk only the wanted lines are kept.
     """
     c = chunks.filter("id is not null").dropDuplicates(["id"])
-    j = c.join(F.broadcast(requests), "file_id").filter("start_line <= b and a <= end_line")
+    j = c.join(requests, "file_id").filter("start_line <= b and a <= end_line")
     # cut the lines inside the chunk; parts of one line stay in order of their bytes
     lo, hi = F.greatest("a", "start_line"), F.least("b", "end_line")
     lines = F.split("content", "\n")

@@ -495,8 +495,8 @@ def eligibility(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with r as (select id as file_id, least(70, n) as a, least(95, n) as b, content from (select *, len(string_split(content, chr(10))) - cast(content like '%' || chr(10) as int) as n from files) where n >= 70 and repository = 'atlas-monorepo') select file_id as request_id, a as first, b as last, md5(regexp_replace(array_to_string(string_split(content, chr(10))[a:b], chr(10)), chr(10) || '$', '')) as digest from r")
 def stored_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """Lines 70 to 95 of the long files of one repository, put together from their chunks."""
-    f = table(spark, d, "files").filter("repository = 'atlas-monorepo'").select(F.col("id").alias("file_id"), T.line_count("content").alias("n")).filter("n >= 70")
+    """Lines 70 to 95 of all long files, put together from their chunks."""
+    f = table(spark, d, "files").select(F.col("id").alias("file_id"), T.line_count("content").alias("n")).filter("n >= 70")
     r = f.select(F.col("file_id").alias("request_id"), "file_id", F.least(F.lit(70), "n").alias("a"), F.least(F.lit(95), "n").alias("b"))
     e = V.stored_excerpts(table(spark, d, "chunks"), r)
     return e.select("request_id", F.least("first", "last").alias("first"), F.col("last"), F.md5(F.regexp_replace("content", r"\n\z", "")).alias("digest"))
@@ -647,6 +647,12 @@ def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
     return C.bursts(table(spark, d, "changes"))
 
 
+@query(None)
+def debounce_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """The bursts with duplicate deliveries counted once; ``debounce_sessions`` and ``stream_debounce`` count them as their SQL does."""
+    return C.bursts(table(spark, d, "changes"), once=True)
+
+
 @query(_BURSTS)
 def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
     return C.stream_bursts(spark, d)

@@ -26,18 +26,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def normalised(changes: DataFrame) -> DataFrame:
-    """path, repository, kind, ts; equal deliveries count once downstream."""
+    """path, repository, kind, ts; equal deliveries are all kept."""
     return changes.filter("path is not null and ts is not null").select("path", F.split("path", "/")[0].alias("repository"), F.lower(F.trim("kind")).alias("kind"), "ts")
 
 
-def bursts(changes: DataFrame, gap: str = GAP, most: int = PATHS_MOST) -> DataFrame:
-    """repository, started, ended, paths, events, action: sessions of changes without a quiet gap.
+def bursts(changes: DataFrame, gap: str = GAP, most: int = PATHS_MOST, once: bool = False) -> DataFrame:
+    """repository, started, ended, events, action: sessions of changes without a quiet gap.
 
-    An action is ``full`` when more than ``most`` paths are in a burst, else ``paths``.
-    Works on a batch and on a stream alike.
+    An action is ``full`` when more than ``most`` different paths are in a burst, else
+    ``paths``.  ``once`` counts equal deliveries (path, kind, ts) as one event.  Works on
+    a batch and on a stream alike: a stream takes no distinct count, so sets are sized.
     """
-    s = normalised(changes).groupBy("repository", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.approx_count_distinct("path", 0.01).alias("about"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
-    return s.select("repository", "started", "ended", "events", F.when(F.col("about") > most, "full").otherwise("paths").alias("action"))
+    events = F.size(F.collect_set(F.struct("path", F.coalesce("kind", F.lit("")), "ts"))).cast("long") if once else F.count("*")
+    s = normalised(changes).groupBy("repository", F.session_window("ts", gap).alias("w")).agg(events.alias("events"), F.size(F.collect_set("path")).alias("different"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
+    return s.select("repository", "started", "ended", "events", F.when(F.col("different") > most, "full").otherwise("paths").alias("action"))
 
 
 def stream_bursts(spark: SparkSession, directory: str, gap: str = GAP) -> DataFrame:
@@ -45,7 +47,7 @@ def stream_bursts(spark: SparkSession, directory: str, gap: str = GAP) -> DataFr
     schema = spark.read.parquet(f"{directory}/changes.parquet").schema
     # a stream reads a folder; the glob keeps other tables out of it
     feed = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(posixpath.join(directory, "changes.parquet*"))
-    # equal deliveries are dropped by the batch twin in the same way
+    # equal deliveries are counted as the batch twin counts them
     out = f"{shared_folder(spark)}/bursts-{uuid.uuid4().hex}"
     query = (
         bursts(feed, gap).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint")

@@ -4,6 +4,7 @@ import random
 
 from leanspan.operators import receipts as P
 from leanspan.plans import queries as Q
+from leanspan.streaming import changes as C
 
 
 def test_near_duplicates_of_a_session_equal_brute_force(spark):
@@ -41,3 +42,18 @@ def test_bodies_change_and_symbols_are_renamed(spark, tmp_path):
     q = Q.queries()
     assert {r["name"]: r["change"] for r in q["symbol_body_changes"](spark, str(tmp_path)).collect()} == {"same": "unchanged", "body": "modified_body", "old": "removed", "new": "added"}
     assert [(r["old_name"], r["new_name"]) for r in q["rename_detection"](spark, str(tmp_path)).collect()] == [("old", "new")]
+
+
+def test_excerpts_come_from_all_repositories(spark, data):
+    f = spark.read.parquet(f"{data}/files.parquet")
+    long = {r["id"] for r in f.filter("size(split(content, '\\n')) > 75").collect()}
+    got = {r["request_id"] for r in Q.queries()["stored_excerpts"](spark, data).collect()}
+    assert long <= got and f.filter(f.id.isin(list(got))).select("repository").distinct().count() > 1
+
+
+def test_bursts_count_deliveries_once_and_paths_exactly(spark):
+    c = spark.sql("select concat('r/p', id) path, 'Modified' kind, timestamp '2024-01-01 00:00:00' ts from range(1000)")
+    (r,) = C.bursts(c.unionByName(c), most=1000, once=True).collect()
+    assert (r["events"], r["action"]) == (1000, "paths")
+    for most, action in ((999, "full"), (1000, "paths"), (1001, "paths")):
+        assert [(x["events"], x["action"]) for x in C.bursts(c.unionByName(c), most=most).collect()] == [(2000, action)]
