@@ -1,24 +1,23 @@
 """Generated, minified, vendored and data files among source files (problem 2).
 
-A linear support-vector classifier separates files that nobody wrote by hand from hand-
-written ones.  Its features are hashed: character n-grams of the whole text, path
-components, and the shape of lines.  It learns from files that say of themselves what
-they are (a tool's header, a notice of a copied library, a lock file's name) or are
-plainly so by their shape; those giveaway headers are masked out of the features, so
-that the classifier has to learn what such files look like and also finds those that
-say nothing.  Training and validation are split by repository.
-
-Two thresholds are set on the validation repositories.  A file whose score passes the
-upper one, which no validation negative comes near, is named by the score alone, unless
-its head says that it is kept by hand.  A header, a notice or lock entries are evidence
-at any score; a file that passes only the lower threshold, which is set for recall, is
-also checked for the shape of minified code, of data or of numbered repetition.
+Linear support-vector classifiers read hashed character n-grams of a file's body,
+character n-grams of the comment that it begins with, and the components of its path.
+One of them decides whether a file is hand-written; one for each kind names the kind of
+a file that is not.  They learn from files that say of themselves what they are (a
+tool's header, a notice of a copied library, the entries of a lock file) or are plainly
+so by their shape.  The words that such a label rests on are masked out of the head's
+n-grams, in training and in use, and no measure of shape is a feature, so that the
+score does not repeat the rules that made the labels.  Training and validation are
+split by repository.
+
+A file is named when its score is above the threshold; the rules name none.  One exact
+check follows: a file whose head says that it is kept by hand is not named.
 
 Defined results: null ids and null, empty or blank contents, Markdown and HTML are
 never named; null paths count as no path; null languages are judged by path and
 content; very long texts are read whole; equal rows count once; with too few labelled
-files of either kind the classifier abstains and every file is checked; extra columns
-are ignored.
+files of either kind nothing can be learned, and the rules stand in for the score;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +35,11 @@ from pyspark.sql import functions as F
 
 #: Files to train and validate on, at most; those whose ids have the smallest hashes.
 SAMPLE = 3000
-GRAM, GRAM_BITS, PATH_BITS = 4, 12, 10
-WIDTH = (1 << GRAM_BITS) + (1 << PATH_BITS) + 16
+GRAM, BODY_BITS, HEAD_BITS, PATH_BITS = 4, 13, 12, 11
+WIDTH = (1 << BODY_BITS) + (1 << HEAD_BITS) + (1 << PATH_BITS) + 1
+KINDS = ("generated", "minified", "vendored", "data", "lock")
 EPOCHS, LAMBDA = 12, 1e-4
-RECALL = 0.999  # part of the validation positives that the threshold has to keep
+SHAPE_LEAST = 800  # code points that a text needs for its shape to be a label; the score has no such bound
 FOUND_SCHEMA = "file_id long, kind string, score double"
 
 _COMMENT_LINE = re.compile(r"^\s*(?://|#(?!include|define|pragma|\[)|/?\*|<!--|--|;|@|[rRuU]?(?:\"\"\"|'''))")
@@ -56,26 +56,34 @@ _LOCK_LINE = re.compile(r"(?im)\bh1:[\w+/=]{40,}|\"?(?:integrity|resolved|checks
 
 
 def head_of(text: str) -> tuple[list[str], int]:
-    """The comment lines that a file begins with, and where they end."""
-    out, at = [], 0
-    body = text.lstrip("﻿")
+    """The comment lines that a file begins with, whole, and where they end."""
+    body = text.lstrip("\ufeff")
     at = len(text) - len(body)
+    out = []
     inside = ""  # what ends the comment or docstring that is open
     for m in _LINE.finditer(body):
         line = m.group()
         s = line.strip()
         if not (inside or not s or _COMMENT_LINE.match(line) or s.startswith(("<?", "#!", "/*!"))):
             break
-        if inside:
-            inside = "" if inside in s else inside
-        elif s.startswith("/*"):
-            inside = "" if "*/" in s else "*/"
-        elif d := _DOCSTRING.match(s):
-            inside = "" if d[1] in s[d.end():] else d[1]
-        if s:
-            out.append(s if len(s) < 600 else s[:600])
-        at += len(line)
-        if len(s) > 600:
+        end = len(line)
+        if not inside:
+            if s.startswith("/*"):
+                inside = "*/"
+            elif d := _DOCSTRING.match(s):
+                inside = d[1]
+            after = line.find(s) + s.find(inside) + len(inside) if inside else 0
+        else:
+            after = 0
+        if inside and (close := line.find(inside, after)) >= 0:
+            end, inside = close + len(inside), ""
+            if not line[end:].strip():
+                end = len(line)
+        said = line[:end].strip()
+        if said:
+            out.append(said)
+        at += end
+        if end < len(line):  # code stands behind the comment's end
             break
     return out, at
 
@@ -132,6 +140,9 @@ def shape(text: str) -> dict[str, float]:
     return {"long": long_part, "literal": literal, "variety": len(shapes) / len(full), "white": white, "numbered": numbered, "lines": len(full), "mean": n / len(full), "size": n}
 
 
+RECORDS = 20  # of like form, that make a JSON text a dump
+
+
 def _dump(text: str) -> bool:
     """Whether a JSON text is mainly one long list of records or values."""
     try:
@@ -139,11 +150,10 @@ def _dump(text: str) -> bool:
     except (ValueError, RecursionError):
         records = re.findall(r"\{[^{}]*\}", text)
         keys = Counter(tuple(re.findall(r'"(\w+)"\s*:', r)) for r in records)
-        return len(records) >= 20 and max(keys.values()) > 0.9 * len(records) and sum(map(len, records)) > 0.7 * len(text)
-    for _ in range(3):
-        if isinstance(value, dict) and value:
-            value = max(value.values(), key=lambda v: len(v) if isinstance(v, (list, dict)) else 0)
-    if not isinstance(value, list) or len(value) < 20:
+        return len(records) >= RECORDS and max(keys.values()) > 0.9 * len(records) and sum(map(len, records)) > 0.7 * len(text)
+    while isinstance(value, dict) and value:
+        value = max(value.values(), key=lambda v: len(v) if isinstance(v, (list, dict)) else 0)
+    if not isinstance(value, list) or len(value) < RECORDS:
         return False
     kinds = Counter(tuple(sorted(v)) if isinstance(v, dict) else type(v).__name__ for v in value)
     return max(kinds.values()) > 0.9 * len(value)
@@ -152,16 +162,14 @@ def _dump(text: str) -> bool:
 def shaped_as(text: str, path: str, language: str | None, s: dict[str, float] | None = None) -> str:
     """minified, data or numbered, judged by the text's shape alone."""
     p = path.lower()
-    if not _CODE_EXT.search(p) or len(text) < 400:
+    if not _CODE_EXT.search(p):
         return ""
     if p.endswith(".json"):
         return "data" if _dump(text) else ""
     s = s or shape(text)
-    if s["size"] < 400:
-        return ""
     if s["white"] < 0.12 and s["long"] > 0.7 and s["literal"] < 0.6 and p.endswith((".js", ".mjs", ".cjs", ".css", ".jsx", ".ts")):
         return "minified"
-    if s["literal"] > 0.75 and s["size"] > 800 and (s["variety"] < 0.25 or s["long"] > 0.6 or s["lines"] <= 6):
+    if s["literal"] > 0.75 and (s["variety"] < 0.25 or s["long"] > 0.6 or s["lines"] <= 6):
         return "data"
     body = [x for x in text.split("\n") if x.strip()]
     if s["lines"] >= 8 and s["variety"] < 0.35 and s["numbered"] > 0.3 and _counts_up(body):
@@ -180,27 +188,36 @@ def _buckets(codes: np.ndarray, bits: int) -> np.ndarray:
     return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _grams(text: str, bits: int) -> np.ndarray:
+    """Damped counts of hashed n-grams, of length one; digits are one character."""
+    data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    if len(data) < GRAM:
+        return np.zeros(1 << bits, dtype=np.float32)
+    table = _TABLE[data].astype(np.uint64)
+    codes = table[: len(table) - GRAM + 1].copy()
+    for k in range(1, GRAM):
+        codes = codes * np.uint64(257) + table[k: len(table) - GRAM + 1 + k]
+    out = np.log1p(np.bincount(_buckets(codes, bits), minlength=1 << bits).astype(np.float32))
+    return out / float(np.linalg.norm(out))
+
+
+def masked(head: list[str]) -> str:
+    """A head without the words that labels rest on."""
+    return "\n".join(_NOTICE.sub(" ", _GENERATED.sub(" ", x)) for x in head)
+
+
 def features(text: str, path: str) -> np.ndarray:
-    """The hashed features of a file, with its head masked."""
+    """The hashed features of a file: body, masked head, path, and a constant."""
     out = np.zeros(WIDTH, dtype=np.float32)
-    _, at = head_of(text)
-    body = text[at:]
-    data = np.frombuffer(body.encode("utf-8", "replace"), dtype=np.uint8)
-    if len(data) >= GRAM:
-        # letters keep their case class only, digits are one: what counts is how the text is built
-        table = _TABLE[data].astype(np.uint64)
-        codes = table[: len(table) - GRAM + 1].copy()
-        for k in range(1, GRAM):
-            codes = codes * np.uint64(257) + table[k: len(table) - GRAM + 1 + k]
-        counts = np.bincount(_buckets(codes, GRAM_BITS), minlength=1 << GRAM_BITS).astype(np.float32)
-        grams = np.log1p(counts)
-        out[: 1 << GRAM_BITS] = grams / max(float(np.linalg.norm(grams)), 1e-9)
+    head, at = head_of(text)
+    out[: 1 << BODY_BITS] = _grams(text[at:], BODY_BITS)
+    if head:
+        out[1 << BODY_BITS: (1 << BODY_BITS) + (1 << HEAD_BITS)] = _grams(masked(head), HEAD_BITS)
     parts = [x for x in path.lower().split("/")[1:] if x]
     names = [f"d:{x}" for x in parts[:-1]] + ([f"f:{x}" for x in re.split(r"[._\-]", parts[-1]) if x] + ["e:" + parts[-1].rpartition(".")[2]] if parts else [])
     for x in names:
-        out[(1 << GRAM_BITS) + zlib.crc32(x.encode()) % (1 << PATH_BITS)] += 0.3
-    s = shape(body)
-    out[-16:-8] = [s["long"], s["literal"], min(s["variety"], 1.0), s["white"], s["numbered"], min(1.0, np.log1p(s["mean"]) / 8), min(1.0, np.log1p(s["lines"]) / 8), 1.0]
+        out[(1 << BODY_BITS) + (1 << HEAD_BITS) + zlib.crc32(x.encode()) % (1 << PATH_BITS)] += 0.25
+    out[-1] = 0.3
     return out
 
 
@@ -209,59 +226,86 @@ _TABLE[ord("0"): ord("9") + 1] = ord("0")
 
 
 class Classifier:
-    """Weights and thresholds of a linear support-vector machine: above ``sure`` the score decides alone."""
+    """Weights of the deciding machine and of one for each kind, the threshold, and figures of the validation."""
 
-    def __init__(self, weights: np.ndarray, threshold: float, report: dict[str, float], sure: float = float("inf")):
-        self.weights, self.threshold, self.report, self.sure = weights, threshold, report, sure
+    def __init__(self, weights: np.ndarray, threshold: float, report: dict[str, float], kinds: dict[str, np.ndarray] | None = None):
+        self.weights, self.threshold, self.report, self.kinds = weights, threshold, report, kinds or {}
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights
 
+    def kind(self, x: np.ndarray) -> str:
+        """The kind whose machine gives the highest score."""
+        return max(self.kinds, key=lambda k: float(x @ self.kinds[k]), default="classified")
 
-def fit(x: np.ndarray, y: np.ndarray, groups: np.ndarray, seed: int = 7) -> Classifier | None:
-    """Hinge loss with L2, by averaged stochastic subgradients; every fifth repository validates."""
-    held = groups % 5 == 0
-    if min((y > 0).sum(), (y < 0).sum()) < 5 or not (~held).any():
-        return None
-    tx, ty = x[~held], y[~held]
-    if len(set(ty.tolist())) < 2:
-        tx, ty = x, y
+
+def hinge(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
+    """Hinge loss with L2, by averaged stochastic subgradients; both classes weigh the same."""
     rng = np.random.default_rng(seed)
     w = np.zeros(x.shape[1], dtype=np.float64)
     mean = np.zeros_like(w)
-    balance = np.where(ty > 0, len(ty) / (2 * max((ty > 0).sum(), 1)), len(ty) / (2 * max((ty < 0).sum(), 1)))
+    balance = np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
     step, batch = 0, 32
     for _ in range(EPOCHS):
-        order = rng.permutation(len(ty))
+        order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             k = order[at: at + batch]
             step += 1
             rate = 2.0 / (1 + 0.01 * step)
-            wrong = ty[k] * (tx[k] @ w) < 1
-            grad = -(tx[k][wrong] * (ty[k] * balance[k])[wrong, None]).sum(0) / len(k) if wrong.any() else 0
+            wrong = y[k] * (x[k] @ w) < 1
+            grad = -(x[k][wrong] * (y[k] * balance[k])[wrong, None]).sum(0) / len(k) if wrong.any() else 0
             w = (1 - rate * LAMBDA) * w - rate * grad
             mean += w
-    w = mean / max(step, 1)
-    judged = x[held] @ w if held.any() and (y[held] > 0).any() else x @ w
-    truth = y[held] if held.any() and (y[held] > 0).any() else y
-    positives = np.sort(judged[truth > 0])
-    # the threshold keeps nearly all positives, with as much room again
-    low = positives[int((1 - RECALL) * len(positives))]
-    threshold = float(min(0.0, low - 0.25 * abs(positives.mean() - low)))
-    report = {"validation": float(len(truth)), "accuracy": float(((judged > 0) == (truth > 0)).mean()), "recall": float((judged[truth > 0] > threshold).mean()), "passed_negatives": float((judged[truth < 0] > threshold).mean()) if (truth < 0).any() else 0.0}
-    # above it, halfway from the highest negative to the middle positive, a score decides alone
-    negatives = judged[truth < 0]
-    highest, middle = float(negatives.max()) if len(negatives) else np.inf, float(np.median(positives))
-    sure = (max(highest, 0.0) + middle) / 2 if middle > highest else float("inf")
-    return Classifier(w.astype(np.float32), threshold, report, sure)
-
-
-def label(text: str, path: str, language: str | None) -> int:
-    """1 for a file that says or plainly shows that it is not hand-written, -1 for others, 0 for doubtful."""
-    if notes(text, path) or shaped_as(text, path, language):
-        return 1
-    head, _ = head_of(text)
-    return 0 if any(_GENERATED.search(x) or _NOTICE.search(x) for x in head) or _VENDOR_DIR.search(path) else -1
+    return (mean / max(step, 1)).astype(np.float32)
+
+
+def fit(x: np.ndarray, y: np.ndarray, groups: np.ndarray, kinds: np.ndarray | None = None, seed: int = 7) -> Classifier | None:
+    """Fits on four fifths of the groups (repositories) and validates on the rest.
+
+    The threshold lies between the margins, -1 and 1, where the validation files are told
+    apart best (F1); of equally good places it takes the one nearest to the boundary 0.
+    """
+    held = groups % 5 == 0
+    if min((y > 0).sum(), (y < 0).sum()) < 5 or not (~held).any():
+        return None
+    tx, ty, tk = x[~held], y[~held], None if kinds is None else kinds[~held]
+    if len(set(ty.tolist())) < 2:
+        tx, ty, tk = x, y, kinds
+    w = hinge(tx, ty, seed)
+    judge = held if held.any() and (y[held] > 0).any() else np.ones(len(y), dtype=bool)
+    score, truth = x[judge] @ w, y[judge] > 0
+    places = np.unique(np.concatenate([[0.0], np.clip(np.sort(score), -1, 1)]))
+    places = np.concatenate([places, (places[1:] + places[:-1]) / 2])
+
+    def f1(t: float) -> float:
+        hit = score > t
+        return 2 * float((hit & truth).sum()) / max(1, int(hit.sum()) + int(truth.sum()))
+
+    threshold = float(max(places, key=lambda t: (round(f1(t), 9), -abs(t))))
+    hit = score > threshold
+    report = {
+        "validation": float(len(truth)), "positives": float(truth.sum()), "accuracy": float((hit == truth).mean()), "recall": float((hit & truth).sum() / max(1, truth.sum())),
+        "precision": float((hit & truth).sum() / max(1, hit.sum())),
+    }
+    named = {}
+    if tk is not None:
+        of = ty > 0
+        for k in KINDS:
+            if (tk[of] == k).sum() >= 3:
+                named[k] = hinge(tx[of], np.where(tk[of] == k, 1, -1), seed)
+    return Classifier(w, threshold, report, named)
+
+
+def label(text: str, path: str, language: str | None) -> tuple[int, str]:
+    """(1, kind) for a file that says or plainly shows that it is not hand-written, -1 for others, 0 for doubtful."""
+    if by_hand(text):
+        return -1, ""
+    if kind := notes(text, path):
+        return 1, kind
+    if kind := shaped_as(text, path, language):
+        # the shape of a few lines proves nothing, so such a file teaches nothing
+        return (1, "generated" if kind == "numbered" else kind) if len(text) >= SHAPE_LEAST else (0, "")
+    return (0, "") if _VENDOR_DIR.search(path) else (-1, "")
 
 
 def by_hand(text: str) -> bool:
@@ -270,23 +314,22 @@ def by_hand(text: str) -> bool:
 
 
 def evidence(text: str, path: str, language: str | None) -> str:
-    """The exact check: what shows that the file is not hand-written, or nothing."""
-    return notes(text, path) or shaped_as(text, path, language)
+    """What a label rests on: the head's words, lock entries or the text's shape, which a few lines don't show."""
+    return notes(text, path) or (shaped_as(text, path, language) if len(text) >= SHAPE_LEAST else "")
 
 
 def _usable(files: DataFrame) -> DataFrame:
-    return files.filter(F.col("id").isNotNull() & (F.trim(F.coalesce("content", F.lit(""))) != "") & ~F.coalesce("language", F.lit("")).isin("markdown", "html"))
+    return files.filter(F.col("id").isNotNull() & ~F.coalesce("language", F.lit("")).isin("markdown", "html"))
 
 
 def train(files: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """Fits the classifier on at most ``sample`` files.
+    """Fits the classifiers on at most ``sample`` files.
 
-    Labels and features are made on the executors; the driver receives at most
-    ``sample`` rows of WIDTH half floats (about 30 MB) and fits in memory.
+    The sample is drawn from the id column alone; labels and features are made on the
+    executors, and the driver receives at most ``sample`` sparse rows (a few KB each).
     """
     h = F.xxhash64("id")
-    ids = _usable(files).select(h.alias("h")).orderBy("h").limit(sample)
-    top = ids.agg(F.max("h")).first()[0]
+    top = _usable(files).select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if top is None:
         return None
     repository = F.col("repository") if "repository" in files.columns else F.split("path", "/")[0]
@@ -296,23 +339,31 @@ def train(files: DataFrame, sample: int = SAMPLE) -> Classifier | None:
         for batch in batches:
             out = []
             for path, lang, text, crc in zip(batch["path"], batch["language"], batch["content"], batch["crc"]):
-                if y := label(text, path or "", lang):
-                    out.append((y, int(crc), features(text, path or "").astype(np.float16).tobytes()))
-            yield pd.DataFrame(out, columns=["y", "crc", "x"])
-
-    rows = drawn.mapInPandas(run, "y int, crc long, x binary").toPandas()
+                if not text or not text.strip():
+                    continue
+                y, kind = label(text, path or "", lang)
+                if y:
+                    x = features(text, path or "")
+                    at = np.flatnonzero(x)
+                    out.append((y, kind, int(crc), zlib.crc32(text.encode("utf-8", "replace")), at.astype(np.uint16).tobytes(), x[at].astype(np.float16).tobytes()))
+            yield pd.DataFrame(out, columns=["y", "kind", "crc", "text", "at", "x"])
+
+    rows = drawn.mapInPandas(run, "y int, kind string, crc long, text long, at binary, x binary").toPandas()
     if not len(rows):
         return None
-    rows = rows.sort_values(["crc", "y"], kind="stable")
-    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float16).reshape(len(rows), WIDTH).astype(np.float32)
-    return fit(x, rows["y"].to_numpy(), rows["crc"].to_numpy())
+    # one order for any partitioning
+    rows = rows.sort_values(["crc", "text", "y", "kind", "at"], kind="stable")
+    x = np.zeros((len(rows), WIDTH), dtype=np.float32)
+    for k, (at, value) in enumerate(zip(rows["at"], rows["x"])):
+        x[k, np.frombuffer(at, dtype=np.uint16)] = np.frombuffer(value, dtype=np.float16)
+    return fit(x, rows["y"].to_numpy(), rows["crc"].to_numpy(), rows["kind"].to_numpy(dtype=str))
 
 
 def find_not_handwritten(files: DataFrame, sample: int = SAMPLE, classifier: Classifier | None = None) -> DataFrame:
     """FOUND_SCHEMA: the files that a tool made, a minifier packed, somebody else wrote, or that hold data.
 
     One scan draws and labels the sample, another scores every file; nothing is
-    shuffled but the sample's ids.  The weights have a fixed size.
+    shuffled but the sample's ids.  The weights have a fixed size (six times WIDTH).
     """
     model = classifier or train(files, sample)
     shared = files.sparkSession.sparkContext.broadcast(model)
@@ -322,14 +373,17 @@ def find_not_handwritten(files: DataFrame, sample: int = SAMPLE, classifier: Cla
         for batch in batches:
             out = []
             for file, path, lang, text in zip(batch["id"], batch["path"], batch["language"], batch["content"]):
+                if not text or not text.strip():
+                    continue
                 path = path or ""
-                score = float(features(text, path) @ c.weights) if c else 0.0
-                # what a head says is proof at any score; shapes are looked at above the threshold
-                kind = evidence(text, path, lang) if c is None or score > c.threshold else notes(text, path)
-                if not kind and c and score > c.sure and not by_hand(text):
-                    kind = "classified"
-                if kind:
-                    out.append((file, kind, round(score, 4)))
+                if c is None:
+                    if kind := evidence(text, path, lang):
+                        out.append((file, kind, 0.0))
+                    continue
+                x = features(text, path)
+                score = float(x @ c.weights)
+                if score > c.threshold and not by_hand(text):
+                    out.append((file, c.kind(x), round(score, 4)))
             yield pd.DataFrame(out, columns=["file_id", "kind", "score"])
 
     return _usable(files).select("id", "path", "language", "content").mapInPandas(run, FOUND_SCHEMA)
@@ -339,5 +393,5 @@ def validation(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row with the classifier's figures on the held-out repositories."""
     c = train(files, sample)
     r = c.report if c else {}
-    schema = "validation long, accuracy double, recall double, passed_negatives double, threshold double"
-    return files.sparkSession.createDataFrame([(int(r["validation"]), r["accuracy"], r["recall"], r["passed_negatives"], c.threshold)] if c else [], schema)
+    schema = "validation long, positives long, accuracy double, recall double, precision double, threshold double"
+    return files.sparkSession.createDataFrame([(int(r["validation"]), int(r["positives"]), r["accuracy"], r["recall"], r["precision"], c.threshold)] if c else [], schema)

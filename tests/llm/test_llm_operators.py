@@ -89,6 +89,7 @@ def test_evidence():
     e = provenance.evidence
     assert e("# Code generated by x. DO NOT EDIT.\n" + hand, "r/a.py", "python") == "generated"
     assert e('BANNER = "Code generated by x. DO NOT EDIT."\n' + hand, "r/generated/a.py", "python") == ""
+    assert provenance.label("# This module writes: Code generated by x. DO NOT EDIT. It is maintained by hand.\n" + hand, "r/a.py", "python") == (-1, "")
     assert e("# This module was scaffolded once; it is maintained by hand since then.\n" + hand, "r/a.py", "python") == ""
     assert e("# Not generated: keep this table by hand\n" + hand, "r/a.py", "python") == ""
     assert e("# lib v1.2.3 - a small library\n# Released under the MIT license, see upstream for the full text.\n" + hand, "r/vendor/lib/a.py", "python") == "vendored"
@@ -106,7 +107,7 @@ def test_classifier_on_held_out_repositories(spark, data):
 
     files = table(spark, data.replace("sf0.001", "sf0.01"), "files")
     (r,) = provenance.validation(files).collect()
-    assert r["validation"] > 50 and r["recall"] >= 0.95 and r["accuracy"] >= 0.9
+    assert r["validation"] > 50 and r["recall"] >= 0.95 and r["precision"] >= 0.95 and r["accuracy"] >= 0.98
 
 
 def test_fit_separates_and_abstains():
