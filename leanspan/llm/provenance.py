@@ -68,11 +68,11 @@ def head_of(text: str) -> tuple[list[str], int]:
             break
         end = len(line)
         if not inside:
+            after = line.find(s)
             if s.startswith("/*"):
-                inside = "*/"
+                inside, after = "*/", after + 2
             elif d := _DOCSTRING.match(s):
-                inside = d[1]
-            after = line.find(s) + s.find(inside) + len(inside) if inside else 0
+                inside, after = d[1], after + d.end()
         else:
             after = 0
         if inside and (close := line.find(inside, after)) >= 0:
