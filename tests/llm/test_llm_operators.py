@@ -215,8 +215,15 @@ def test_split_table(spark):
 
 
 # --- 6 -----------------------------------------------------------------------
+def passages(items):
+    """The items' own passages, by plain counting."""
+    split = {i: leakage.split_head(t) for i, t in items}
+    heads = [h for h, _, _ in split.values()]
+    return {i: leakage.words_of(rest if head and heads.count(head) > 1 else whole) for i, (head, rest, whole) in split.items()}
+
+
 def _brute(items, docs):
-    own = leakage.passages_of_items(items)
+    own = passages(items)
     out = set()
     for d, text in docs:
         w = leakage.words_of(text)
@@ -239,7 +246,7 @@ def test_leaks_equal_brute_force(spark):
     for d in range(200):
         parts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 40)))]
         for _ in range(rng.randrange(0, 3)):
-            w = leakage.passages_of_items(items)[rng.randrange(40)]
+            w = passages(items)[rng.randrange(40)]
             a = rng.randrange(len(w))
             parts += ["> " + " ".join(w[a: a + rng.randrange(4, 50)]).upper(), " ".join(rng.choice(vocab) for _ in range(5))]
         docs.append((d, "\n// ".join(parts)))
@@ -249,9 +256,41 @@ def test_leaks_equal_brute_force(spark):
     b = spark.createDataFrame([*items, (None, "x"), (77, None), (78, "too short"), items[3]], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, b).collect()} == want
     assert {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, b, index_bytes=2000).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, b.filter("item_id < 12"), index_bytes=400).collect()} == {x for x in want if x[1] < 12}
     assert leakage.find_leaks(d.limit(0), b).count() == 0 and leakage.find_leaks(d, b.limit(0)).count() == 0
 
 
+def test_first_paragraphs_are_told_by_words_of_any_alphabet(spark):
+    """The same links for any size of index; paragraphs that differ are no shared instruction, whatever their script."""
+    first = ["Первая задача говорит о журнале, который закрывается слишком рано после записи.", "Вторая задача спрашивает, почему снимок теряет свои последние страницы при чтении."]
+    rest = ["the cursor leaves nine open leases behind although five were asked for today", "no other change touched the ledger so the reader looks at the snapshot first"]
+    items = [(k, f"{a}\n\n{b}") for k, (a, b) in enumerate(zip(first, rest))] + [(5 + k, f"Ответь только путями файлов.\n\n{b} again {k}") for k, b in enumerate(rest)]
+    docs = [(1, first[0] + "\n\n" + rest[0]), (2, first[1]), (3, "Ответь только путями файлов."), (4, rest[1])]
+    want = _brute(items, docs)
+    assert {(1, 0), (2, 1), (1, 5), (4, 6)} <= want and not any(d == 3 for d, _ in want)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (8_000_000, 200, 50):
+        assert {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, b, index_bytes=size).collect()} == want, size
+
+
+def test_search_loses_nothing_and_prunes():
+    rng = random.Random(4)
+    vocab = [f"w{int(rng.paretovariate(0.6))}" for _ in range(4000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(20, 90)))) for i in range(120)]
+    index = leakage.ItemIndex(items)
+    tried = 0
+    for _ in range(300):
+        i, text = rng.choice(items)
+        w = text.split(" ")
+        a = rng.randrange(len(w))
+        words = [rng.choice(vocab) for _ in range(20)] + w[a: a + len(w) // 2]
+        found = index.search(words)
+        brute = {k for k, own in enumerate(index.words) if sum(x for t in set(words) & index.term.keys() for kk, x in zip(*[y[index.top_post[index.top_at[index.term[t]]]: index.top_post[index.top_at[index.term[t] + 1]]] for y in (index.post_item, index.post_weight)]) if kk == k) >= 1 - 1e-9}
+        assert found == brute
+        tried += len(found)
+    assert 0 < tried < 300 * 30
+
+
 def test_words_ignore_markup_and_quoting():
     assert leakage.words_of("> The &#96;merge_queue&#96; <b>step</b>,\n// it’s\tDONE!") == leakage.words_of("the merge_queue step it’s done")
 
