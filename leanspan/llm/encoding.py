@@ -30,17 +30,16 @@ from pyspark.sql import functions as F
 
 FOUND_SCHEMA = "doc_id long, states array<string>, spans int, recovered boolean, restored string"
 
-#: Training text of the clean model: ordinary sentences with the letters and signs of each language.
+#: Training text of the clean model, written for it: everyday sentences with the letters and signs of each language.
 SAMPLES = """
-The café’s naïve façade – “quoted text” — costs 5 € ± 3 % at 20 °C, see § 4 → next • item … it’s don’t can’t we’re ‘single’ 3 µs, 7 µm, ½ cup, 2 × 4 ÷ 8, x² + y³, © 2024 ® ™, résumé, coöperate, über, señor, jalapeño.
-The user’s file isn’t there — the “old” one, not the “new” one. Don’t stop … A → B → C, ± 2 %, 40 µs per call, a naïve version, a café, 100 £, a piñata, « guillemets », ¿qué?, ¡hola!
-├── src/ │ ├── core/ │ └── main └── tests ─── ✓ done ✗ failed ≤ 3 ≥ 4 ≠ 5 ∞ ← → ↑ ↓ √ 2 ∑ π λ α β
-Die Größe der Änderung wird für jede Prüfung geöffnet, über größere Auszüge hinaus; künftig können wir Schlüssel, Behälter und Zähler auswählen. Schöne Grüße, Öl, Übung, Straße, Fußzeile, ungefähr, müssen, während, natürlich, Lösung, gelöscht, häufig, später, Mädchen, böse, schließen, außen, weiß, ähnlich, Ärger, „Anführung“, ‚einfach‘, zurück, fünf, zwölf, Verzögerung, Rückgabe, Übersicht, Blöcke, Gerät, Maß, Einträge, schlägt fehl, wächst, anschließend, ausgewählt, erklärt, verfügbar, Öffnung, Höhe, Hälfte, süß, groß.
-Le paramètre a été supprimé à cause d’une entrée périmée ; où trouve-t-on la requête associée après deux exécutions ? « élève » dépasse le budget prévu, réduisez-la. La forêt est vérifiée une seule fois, puis l’événement précédent est effacé. Ça coûte très cher, peut-être même à Noël, naïf, œuvre, cœur, sœur, garçon, leçon, français, être, fenêtre, bâtiment, île, hôtel, dépôt, mémoire, modèle, clé, portée, décalage, résumé, période, déjà, voilà, là-bas, goût, août, sûr, maïs, aiguë, Édition, À propos, Être, Où, Écrire, l’été, d’où, qu’il, c’était, s’arrête, Événement, Élément, bientôt, plutôt, théâtre, grâce, âge, paraît, connaît, reçu, façon, ça, où, à.
-La opción se comprueba una sola vez y después se borra la más antigua. ¿Por qué falla la búsqueda cuando está vacía? Según la medición, el código creció un 16 % en 2 días. Mañana se añadirá otra función con la señal en español: línea, página, año, tamaño, sesión, índice, árbol, petición, versión, posición, límite, así, también, aquí, además, dirección, número, él, sí, qué, cómo, dónde, pingüino, vergüenza, niño, pequeño, compañía, último, rápido, fácil, difícil, útil, público, método, único, Ábaco, Último, Índice, ¡Atención!, ¿Cuál?, ¿Dónde?, ¿Qué?
-Âmbito: função, configuração e memória. À noite a versão cresce até 47 % e então é executado. A padrão não é lida duas vezes; a edição anterior é apagada. ATENÇÃO: NÃO ALTERE A SEÇÃO SEM REVISÃO DA CONFIGURAÇÃO. POSIÇÃO, TRADUÇÃO, OPERAÇÃO, PÁGINA, MEMÓRIA, ÁRVORE, CÓDIGO, ÍNDICE, REGIÃO, VERSÃO, PADRÃO, EDIÇÃO, FUNÇÃO. Tradução, região, operação, seção, posição, página, árvore, código, índice, coração, ação, órgão, avó, avô, você, três, português, língua, água, família, história, número, está, são, mãe, irmã, lições, ações, põe, às, é, há, já, só, também, ninguém, Índice, Órgão, Ângulo, Êxito, Último, Óleo, Às vezes, Água.
-Если токен пуст, возвращается список длиной 23. Почему не видит индекс после 88 изменений? Этот запрос читается один раз, затем файл закрывается. Ссылка на память, снимок, очередь, дерево, граница, блок, поиск, ключ, бюджет, версия, страница. Съешь же ещё этих мягких французских булок, да выпей чаю. Широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства. Функция, объект, значение, ошибка, система, данные, изменение, проверка, результат, Москва, Россия, Здесь, Когда, Чтобы, Юг, Яблоко, Цель, Хорошо, Жизнь, Щит, Фильтр, Эта, Если, Можно, Только, Быстро, Где, Дом, Как, Лист, Не, Он, Ряд, Сон, Там, Утро. НЕ ИЗМЕНЯТЬ БЕЗ ПРОВЕРКИ. ВНИМАНИЕ!
-Każda wartość jest sprawdzana tylko raz, a później usuwana jest ścieżka. Dlaczego zwraca błąd dla żądania? Po 54 zmianach zasób rośnie o około 13 %. Źródło, łącze, wyjście, wejście, część, ćwiczenie, gałąź, węzeł, klucz główny, ósmy, żółty, źle, ślad, pamięć, długość, wątek, obsługa błędów, większy, mniejszą, są, będzie, może, też, również, Łódź, Święta, Żaden, Ćma, Ósma, Źrebię, Śnieg, zażółć gęślą jaźń, ZAŻÓŁĆ GĘŚLĄ JAŹŃ, „cytat”, dzień, tydzień, kolejność, możliwość, różne, który, którą, dołączać, odłączyć, usunąć, zmienić, cień, koń, ktoś, iść, kość, miłość.
+Grandmother’s café on the corner still sells crème brûlée – “the best in town” — for 4 € 50; she’d never say it’s expensive, and we’re glad … Zoë’s fiancé ordered a soufflé, two éclairs & a piña colada. It wasn’t cold (21 °C ± 1), so we sat outside § 2 • north terrace • till ½ past nine. ‘Naïve’, they’ll say; that’s fine. © 2019 Brontë Ltd ® ™, 3 × 4 = 12, 8 ÷ 2, 5 m² and 6 m³, 250 µs, 12 µm, 30 £, 900 ¥, ¶ 7, déjà vu, smörgåsbord, jalapeño, façade, résumé, über-cool, coöperative. I’d, you’ll, he’s, don’t, can’t, isn’t, doesn’t, won’t, they’ve, let’s. “Yes,” “no” — “maybe”. The ‘quoted’ word. Chapter → section → page, ← back, ↑ up, ↓ down.
+┌──────┬─────┐ │ left │ mid │ ├──────┼─────┤ │ x ≤ y │ a ≥ b │ └──────┴─────┘ ╔══╗ ║ ok ║ ╚══╝ ✓ yes ✗ no ★ ☆ ≠ ≈ ∞ √ ∑ ∫ π λ α β γ δ Ω ■ □ ▪ ● ○ ◆ 😀 🚀 ✅ ❌ ⚠ │ ├── one │ └── two
+Im Frühling blühen überall die Bäume, und die Vögel fliegen zurück über die grünen Hügel. Meine Großmutter backt süße Brötchen mit Käse, während der Großvater draußen die Äpfel pflückt. Natürlich müssen die Kinder früh aufstehen, weil die Schule schon um fünf nach acht anfängt; später dürfen sie spielen, wofür sie sich höflich bedanken. Der Zug nach München fährt heute verspätet ab, da auf der Brücke ein Stück Gleis beschädigt wurde. „Schöne Grüße!“, rief der Bäcker, ‚bis nächste Woche‘. Österreich, Übermut, Ähre, Ölbild, Straße, weiß, heiß, Fuß, Schloß, groß, größer, Maß, außerdem, schließlich, Füße, Geräusch, Träume, Häuser, Mäuse, Löwe, Körper, König, möglich, nötig, gehört, hören, können, könnte, würde, wünschen, Tür, für, über, drüben, Küche, Bücher, Mühle, kühl, glücklich, Stück, Rücken, Lücke, zurückgekehrt, Prüfung, erfüllt, Gefühl, ungefähr, Gewächs, wächst, erzählt, gewählt, Zähne, Nähe, ähnlich, Änderung, ergänzt, längst, Länder, Hände, Wände, vollständig, verfügbar, zuständig, ständig, Größe, löschen, öffnen, Höhe, böse, Verstöße, Übersetzung, ÜBERRASCHUNG, GRÖSSE, ÄNDERUNG, ÖFFNUNG, MÜSSEN, FÜR.
+Hier, à l’aube, un vieux pêcheur a quitté le port de Sète ; il espérait ramener assez de crevettes pour fêter l’anniversaire de sa nièce. « Où vas-tu si tôt ? » lui a demandé le boulanger, très étonné. Après la tempête, la rivière était déjà montée jusqu’à la forêt, où des chênes âgés penchaient. Le maître a répété la leçon à ses élèves : ça n’a guère plu à Noëlle, qui préférait dessiner une île, un château, des bêtes étranges et un cœur. Là-bas, l’été paraît plus léger ; on goûte des pâtes, des gâteaux, du maïs et des mûres sûrement sucrées. Être, même, tête, fenêtre, arrêter, prêt, intérêt, enquête, hôpital, hôte, rôle, bientôt, côté, contrôle, dôme, août, coûter, sûr, dû, reçu, déçu, façade, français, garçon, commerçant, œuvre, sœur, bœuf, vœu, naïf, Haïti, Israël, aiguë, ambiguë, où, à, là, voilà, déjà, deçà, problème, système, deuxième, règle, père, mère, lumière, dernière, première, manière, complète, succès, accès, près, très, après, caractère, modèle, siècle, préféré, créé, année, journée, idée, musée, armée, vérité, société, qualité, sécurité, école, étude, état, était, été, être, égal, élever, énergie, échec, À, É, È, Ê, Ç, Î, Ô, Œ, ÉTÉ, ÉCOLE, À BIENTÔT, FRANÇAIS, « oui », l’eau, d’abord, qu’elle, s’il, n’est, j’ai, aujourd’hui, c’est.
+El año pasado, mi tía Begoña viajó en avión a Canarias; allí conoció a un pingüino pequeño y a un niño muy simpático. ¿Quién llamó ayer por teléfono? ¡Qué lástima que no esté aquí! Después de la tormenta, el jardín quedó húmedo y el árbol más viejo perdió ocho ramas. Mi corazón late rápido cuando oigo una canción de cuna en otoño. Los cigüeñas vuelven en marzo, según contaba el señor Núñez, dueño del café de la esquina. España, mañana, montaña, cabaña, sueño, baño, daño, enseñar, compañero, tamaño, señal, español, cumpleaños, araña, leña, así, aquí, allí, ahí, también, además, jamás, quizás, detrás, atrás, café, bebé, inglés, francés, interés, después, través, algún, ningún, común, según, razón, ratón, camión, estación, atención, lección, acción, información, dirección, conexión, opinión, reunión, decisión, versión, solución, situación, operación, función, número, último, público, música, médico, rápido, técnico, página, fábrica, máquina, cámara, lámpara, sábado, árbol, fácil, difícil, útil, móvil, lápiz, azúcar, día, todavía, país, raíz, oído, tenía, había, sería, podía, María, río, frío, tío, energía, vacío, período, búsqueda, índice, límite, título, capítulo, vehículo, sí, mí, él, tú, qué, cómo, cuándo, dónde, cuál, vergüenza, lingüística, Óscar, Ángel, Él, Índice, Último, ¿Cómo?, ¿Por qué?, ¡Adiós!, AÑO, INFORMACIÓN, ATENCIÓN, PÁGINA, NÚMERO, ESPAÑOL.
+Ontem à noite, o avô do João comprou pão, limões e maçãs na praça; amanhã irá à estação buscar as irmãs. Você já provou a sobremesa que a mãe da Conceição fez no verão? Não há ninguém na rua: só um cão, três pássaros e um violão esquecido. Às vezes chove muito em Março, e então o rio cresce até às árvores da outra margem. Coração, paixão, lição, canção, atenção, estação, informação, educação, situação, solução, opinião, reunião, avião, televisão, decisão, razão, mão, mãos, irmão, verão, são, tão, então, não, chão, botão, portão, leões, ações, lições, opiniões, razões, nações, informações, põe, põem, compõe, mãe, mães, cães, alemães, manhã, lã, irmã, maçã, você, vocês, três, mês, português, inglês, francês, gênero, ciência, experiência, importância, distância, frequência, avó, avô, só, nós, após, história, memória, vitória, necessário, horário, salário, contrário, dicionário, usuário, próprio, próximo, último, número, único, público, médico, música, página, máquina, prática, política, língua, água, área, série, matéria, família, notícia, início, princípio, exercício, edifício, difícil, fácil, possível, disponível, nível, útil, também, alguém, porém, além, até, café, pé, é, há, já, lá, está, estará, será, açúcar, cabeça, força, preço, serviço, almoço, começar, aço, à, às, àquela, ônibus, âncora, lâmpada, câmara, Ângela, Índia, Ásia, Óleo, Última, NÃO, SÃO, ATENÇÃO, EDUCAÇÃO, PÁGINA, MEMÓRIA, NÚMERO, HISTÓRIA, VOCÊ, LÍNGUA, INÍCIO, ÁREA, POSSÍVEL, AÇÕES, SERVIÇO, CÓDIGO, ÚNICO.
+Рано утром старый рыбак вышел на берег и долго смотрел, как поднимается туман над холодной рекой. В нашем саду растут яблони, груши и вишни; осенью мы собираем урожай и варим варенье. Объявление висело у подъезда, но никто его не заметил. Хорошо ли ты знаешь этот город? Ещё вчера здесь шумел рынок, а сегодня тихо, будто все уехали. Цыплёнок испугался щенка и спрятался за ящик. Мой дядя живёт в Екатеринбурге, учит физику и пишет стихи. Жёлтый фонарь освещал мокрую улицу, где юноша ждал последний трамвай. Эти люди всегда помогают друг другу, поэтому их любят соседи. Чем больше читаешь, тем яснее понимаешь мысль автора. Поезд пришёл вовремя, пассажиры вышли, двери закрылись. Для каждого ученика учитель нашёл доброе слово. Зимой озеро покрывается льдом, и дети катаются на коньках. Бабушка испекла пирог с капустой, а дедушка починил забор. Необходимо помнить: время идёт, ничего не возвращается само. Съёмка фильма началась в июле, актёры приехали из Харькова, Одессы и Тюмени. Шёл дождь, гремел гром, сверкали молнии. Вопрос, ответ, ошибка, правило, пример, страница, строка, слово, буква, число, список, порядок, память, работа, время, место, начало, конец, причина, условие, значение, проверка, изменение, состояние, решение, сообщение, который, которая, которые, может, должен, только, если, когда, чтобы, потому, после, перед, между, через, также, без, при, для, или, ещё, уже, её, всё, моё, Наш, Ваш, Его, Она, Они, Это, Этот, Так, Тут, Уже, Фома, Хлеб, Цена, Час, Шаг, Щука, Эхо, Юлия, Яна, Жук, Зонт, Игра, Йод, Книга, Лес, Мир, Ночь, Окно, Пол, Рис, Сад, Три, Ухо. ОТКРЫТО ЕЖЕДНЕВНО. ВХОД ЗАПРЕЩЁН. ОСТОРОЖНО, СКОЛЬЗКО. БЕРЕГИТЕ ЛЕС ОТ ПОЖАРА. ЦЕНЫ СНИЖЕНЫ. ЮЖНЫЙ ФЛОТ. ЭКСПРЕСС. ЩЁЛОЧЬ. ЧУЖИЕ МЫСЛИ. ЖЁЛТЫЕ ЯГОДЫ.
+Wczoraj późnym wieczorem mały chłopiec zgubił się w gęstym lesie, ale dzięki świecącemu księżycowi odnalazł ścieżkę. Babcia Bożena gotuje żurek, piecze sękacz i robi pierogi z gęsią; dziadek łowi ryby w jeziorze Śniardwy. „Cóż to za dźwięk?” – spytała Małgośka, śpiąca jeszcze pod kołdrą. Jesienią żółte liście spadają na ulicę, a dzieci zbierają żołędzie i kasztany. Mój brat źle się czuł, więc poszliśmy do lekarza przy ulicy Łąkowej. Ćwierkanie wróbli budzi mnie każdego dnia o piątej. Gdańsk, Łódź, Kraków, Poznań, Świdnica, Żary, Źródła, Ósemka, Ćmielów, być, iść, robić, mówić, zrobić, pisać, czytać, wiedzieć, widzieć, chcieć, mieć, dać, brać, stać, znać, wziąć, zacząć, zająć, minąć, płynąć, ciągnąć, są, mają, idą, robią, będą, będzie, będę, muszę, mogę, proszę, dziękuję, się, cię, mnię, imię, zwierzę, ręka, ręce, noga, język, książka, księga, święto, święty, szczęście, część, część druga, pamięć, pięć, dziesięć, dziewięć, sześć, gość, kość, złość, miłość, radość, wolność, jakość, wartość, możliwość, odpowiedź, gałęzie, łódka, łatwy, łóżko, mały, stały, cały, był, była, było, byłem, zrobił, mógł, głos, głowa, główny, długi, tłum, słowo, słońce, słoń, koń, dłoń, tydzień, dzień, styczeń, wrzesień, państwo, hiszpański, również, też, już, żeby, że, każdy, może, różny, morze, żaba, żona, życie, duży, środa, środek, śnieg, świat, światło, ścisły, źródło, źrebak, późno, raźno, bliźni, któż, który, która, których, wóz, mróz, góra, córka, stół, szkół, ósmy, ogół, powód, gotów, ŻYCIE, ŚWIAT, ŁĄKA, ŹRÓDŁO, UWAGA: ŚLISKO, WEJŚCIE WZBRONIONE, PROSZĘ NIE DOTYKAĆ, CZĘŚĆ, ĆWICZENIE, GŁÓWNY, „tak”, „nie”, „może”.
 """
 
 _C1 = {b: chr(b) for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
@@ -90,10 +89,13 @@ PAIRS: tuple[tuple[tuple[str, str], ...], ...] = (
 )
 NAMES = ("clean", *("; ".join(f"{t} as {r}" for t, r in p) for p in PAIRS), "replaced")
 
+_ONE_BYTE = frozenset(k for k, p in enumerate(PAIRS, 1) if p[0][0] != "utf-8")
+_SPREAD = 4.0  # how much likelier clean may be where a one-byte state spreads over its line
+
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_ENTITY = re.compile(r"&(?:#(?:[xX][0-9A-Fa-f]{2,5}|[1-9]\d{2,6})|[A-Za-z][A-Za-z0-9]{1,24});")
+_ENTITY = re.compile(r"&(?:amp;)*(?:#(?:[xX][0-9A-Fa-f]{2,5}|[1-9]\d{2,6})|[A-Za-z][A-Za-z0-9]{1,24});")
 #: what the JVM filters on; anything else holds no character a wrong encoding can have made
-SUSPECT_JAVA = r"[^\x00-\x7f]|&#?[A-Za-z0-9]{2,25};"
+SUSPECT_JAVA = r"[^\x00-\x7f]|&#?[A-Za-z0-9]{2,25};"  # an entity escaped again holds one of the form &amp;
 
 
 def _side(c: str) -> str:
@@ -214,7 +216,7 @@ class Detector:
             self._known[key] = found
         return found
 
-    def label(self, text: str) -> list[tuple[int, int, int, str, float]]:
+    def label(self, text: str, cut: float = _CUT) -> list[tuple[int, int, int, str, float]]:
         """Spans (start, end, state, undone text, gain) of a text; gain is against the clean state."""
         plain, starts, ends = _unescape(text)
         runs = list(_RUN.finditer(plain))
@@ -253,6 +255,19 @@ class Detector:
             now = clean_from if now == 0 else came[now]
             path.append(now)
         path.reverse()
+        # one line was mostly read in one way: a one-byte state spreads over its line unless clean is much likelier
+        of_line: dict[int, set[int]] = {}
+        lines = [plain.count("\n", 0, runs[0].start())]
+        for m, n in zip(runs, runs[1:]):
+            lines.append(lines[-1] + plain.count("\n", m.end(), n.start()))
+        for k, s in zip(lines, path):
+            if s in _ONE_BYTE:
+                of_line.setdefault(k, set()).add(s)
+        for n, (k, s, (logs, texts)) in enumerate(zip(lines, path, found)):
+            if s == 0 and len(of_line.get(k, ())) == 1:
+                (t,) = of_line[k]
+                if texts[t] is not None and logs[t] > logs[0] - _SPREAD:
+                    path[n] = t
         out = []
         for m, s, (logs, texts) in zip(runs, path, found):
             if s:
@@ -262,8 +277,21 @@ class Detector:
         # spans of one state together must be much likelier garbled
         gain: dict[int, float] = {}
         for *_, s, _t, g in out:
-            gain[s] = gain.get(s, 0.0) + g
-        return [x for x in out if gain[x[2]] >= _CUT]
+            gain[s] = gain.get(s, 0.0) + max(g, 0.0)
+        return [x for x in out if gain[x[2]] >= cut]
+
+    def leftover(self, text: str, spans: list[tuple[int, int, int, str, float]]) -> bool:
+        """Whether a line with a one-byte span keeps other characters beyond ASCII, of which nobody can say how they were read."""
+        at = {(text.rfind("\n", 0, a), s) for a, _, s, _, _ in spans if s in _ONE_BYTE}
+        for begin in {a for a, _ in at}:
+            end = text.find("\n", begin + 1)
+            inside = sorted((a, b) for a, b, *_ in spans if begin < a and (end < 0 or a < end))
+            rest, last = "", begin + 1
+            for a, b in inside:
+                rest, last = rest + text[last:a], b
+            if _RUN.search(rest + text[last: end if end >= 0 else len(text)]):
+                return True
+        return False
 
 
 def _undo_mixed(text: str, true: str, read: str) -> str | None:
@@ -280,7 +308,9 @@ def _unescape(text: str) -> tuple[str, list[int], list[int]]:
     ends: list[int] = []
     at = 0
     for m in _ENTITY.finditer(text):
-        c = html.unescape(m.group())
+        c = m.group()
+        while len(c) > 1 and (less := html.unescape(c)) != c:
+            c = less
         if len(c) != 1 or ord(c) < 128:
             continue
         out.append(text[at: m.start()])
@@ -301,15 +331,37 @@ def detector() -> Detector:
     return Detector()
 
 
-def restore(text: str) -> tuple[list[str], int, bool, str]:
-    """(names of states, spans, whether all is recovered, restored text)."""
-    spans = detector().label(text)
+def _applied(text: str, spans: list) -> str:
     out, at = [], 0
     for a, b, _, t, _ in spans:
         out += [text[at:a], t]
         at = b
-    out.append(text[at:])
-    return sorted({NAMES[s[2]] for s in spans}), len(spans), all(NAMES[s[2]] != "replaced" for s in spans), "".join(out)
+    return "".join([*out, text[at:]])
+
+
+def restore(text: str) -> tuple[list[str], int, bool, str]:
+    """(names of states, spans of the text, whether all is recovered, restored text).
+
+    What is restored is labelled again until nothing garbled is left, so that text that
+    was decoded wrongly more often than a state knows is unwound step by step; every step
+    but the first shortens the text.  All is recovered if the last text has no place that
+    any state explains better than the clean one, no character was replaced, and no line
+    that one byte a character garbled keeps other characters beyond ASCII.
+    """
+    d = detector()
+    first = spans = d.label(text)
+    names = {NAMES[s[2]] for s in first}
+    again = left = False
+    while spans:
+        left = left or d.leftover(text, spans)
+        better = _applied(text, spans)
+        if better == text or again and len(better) >= len(text):
+            break
+        text, again = better, True
+        spans = d.label(text)
+        names |= {NAMES[s[2]] for s in spans}
+    whole = bool(first) and "replaced" not in names and not left and not d.label(text, 0.0)
+    return sorted(names), len(first), whole, text
 
 
 def find_garbled(documents: DataFrame) -> DataFrame:

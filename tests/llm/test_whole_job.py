@@ -5,9 +5,12 @@ import random
 import warnings
 
 import numpy as np
+import re
+from collections import Counter
+import pandas as pd
 import pytest
 
-from leanspan.llm import credentials, docpairs, provenance
+from leanspan.llm import credentials, docpairs, encoding, provenance
 from leanspan.llm.parsecheck import parses
 
 
@@ -153,3 +156,49 @@ def test_template_literals_hold_expressions(name):
 def test_template_types_hold_types():
     assert parses("type B<T> = T extends `${infer H}.${infer R}` ? H : never;", "typescript") and parses("type C = `${string}px`;", "typescript")
     assert not parses("let b = `${infer H}`;", "typescript") and not parses("type C = `${string +}px`;", "typescript")
+
+
+# --- 8 -----------------------------------------------------------------------
+def _garble(line, pair):
+    for true, read in reversed(pair):
+        data = line.encode(true)
+        line = "".join(encoding._C1.get(c) or bytes([c]).decode("cp1252") for c in data) if read == "cp1252" else data.decode(read)
+    return line
+
+
+def test_recovery_of_documents_damaged_here(data):
+    """Lines of clean documents, none of them training text, damaged at random: how many come back, and what the flag is worth."""
+    texts = pd.read_parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")["text"].dropna()
+    rng = random.Random(5)
+    count = Counter()
+    for text in texts:
+        lines = text.split("\n")
+        at = [k for k, x in enumerate(lines) if len(re.findall(r"[^\x00-\x7f]", x)) >= 3]
+        if not at or "�" in text or encoding.restore(text)[1]:
+            continue
+        k, pair = rng.choice(at), rng.choice(encoding.PAIRS)
+        try:
+            bad = _garble(lines[k], pair)
+        except UnicodeError:
+            continue
+        if bad == lines[k]:
+            continue
+        kind = "utf-8" if pair[0][0] == "utf-8" else "one byte"
+        _, spans, whole, restored = encoding.restore("\n".join([*lines[:k], bad, *lines[k + 1:]]))
+        count[kind, "all"] += 1
+        count[kind, "restored"] += spans > 0 and restored == text
+        count["flagged"] += whole
+        count["flagged right"] += whole and restored == text
+    assert count["utf-8", "all"] > 60 and count["utf-8", "restored"] == count["utf-8", "all"]
+    assert count["one byte", "all"] > 30 and count["one byte", "restored"] >= 0.9 * count["one byte", "all"]
+    assert count["flagged right"] >= 0.97 * count["flagged"]
+
+
+def test_texts_garbled_more_often_than_a_state_knows():
+    four = "Die Größe"
+    for _ in range(4):
+        four = _garble(four, encoding.PAIRS[0])
+    assert encoding.restore("Plain. " + four + " ok")[2:] == (True, "Plain. Die Größe ok")
+    assert encoding.restore("Die Gr&amp;Atilde;&amp;para;&amp;Atilde;&amp;#376;e")[3] == "Die Größe"
+    # what stays on the line could have been anything
+    assert not encoding.restore("ItÕs Ñ ĀĒ")[2]
