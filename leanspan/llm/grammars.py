@@ -14,9 +14,9 @@ suite = stmts ;
 simple_line = simple (';' simple)* ';'? NL ;
 block = simple_line | NL @<suite> ;
 simple = assignment | 'pass' | 'break' | 'continue' | 'return' star_exprs? | 'raise' (expr ('from' expr)?)?
-  | 'global' ident (',' ident)* | 'nonlocal' ident (',' ident)* | 'del' star_exprs
+  | 'global' ident (',' ident)* | 'nonlocal' ident (',' ident)* | 'del' del_targets
   | 'assert' expr (',' expr)? | imports | 'type' ident type_params? '=' expr ;
-assignment = star_exprs ( augassign rhs | ':' expr ('=' rhs)? | ('=' rhs)* ) | yield_expr ;
+assignment = (star_targets '=')* rhs | one_target ( augassign rhs | ':' expr ('=' rhs)? ) ;
 rhs = star_exprs | yield_expr ;
 augassign = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**=' ;
 imports = 'import' dotted ('as' ident)? (',' dotted ('as' ident)?)*
@@ -47,13 +47,23 @@ funcdef = 'async'? 'def' ident type_params? @(params) ('->' exprs)? ':' block ;
 classdef = 'class' ident type_params? @(args)? ':' block ;
 type_params = @[type_param_list] ;
 type_param_list = ('*' | '**')? ident (':' expr)? ('=' expr)? (',' ('*' | '**')? ident (':' expr)? ('=' expr)?)* ','? ;
-params = (param (',' param)* ','?)? ;
-param = '/' | '*' | ('*' | '**')? ident (':' star_expr)? ('=' expr)? ;
-lambda_params = (lambda_param (',' lambda_param)* ','?)? ;
-lambda_param = '/' | '*' | ('*' | '**')? ident ('=' expr)? ;
+params = ( by_place (',' by_name)? ','? | by_name ','? )? ;
+by_place = plain (',' plain)* ( ',' '/' (',' plain)* )? (',' preset)* | plain (',' plain)* (',' preset)+ ',' '/' (',' preset)* | preset (',' preset)* ( ',' '/' (',' preset)* )? ;
+by_name = '*' ident (':' star_expr)? (',' (plain | preset))* (',' '**' plain)? | '*' (',' (plain | preset))+ (',' '**' plain)? | '**' plain ;
+plain = ident (':' expr)? ;
+preset = ident (':' expr)? '=' expr ;
+lambda_params = ( l_by_place (',' l_by_name)? ','? | l_by_name ','? )? ;
+l_by_place = ident (',' ident)* ( ',' '/' (',' ident)* )? (',' l_preset)* | ident (',' ident)* (',' l_preset)+ ',' '/' (',' l_preset)* | l_preset (',' l_preset)* ( ',' '/' (',' l_preset)* )? ;
+l_by_name = '*' ident (',' (ident | l_preset))* (',' '**' ident)? | '*' (',' (ident | l_preset))+ (',' '**' ident)? | '**' ident ;
+l_preset = ident '=' expr ;
 star_targets = star_target (',' star_target)* ','? ;
 star_target = '*'? target ;
-target = primary ;
+target = ident | @(targets) | @[targets] | place ;
+targets = star_targets? ;
+place = atom ( '.' ident | @(args) | @[subscripts] )* ( '.' ident | @[subscripts] ) ;
+one_target = ident | place | @(one_group) ;
+one_group = one_target ;
+del_targets = target (',' target)* ','? ;
 exprs = expr (',' expr)* ','? ;
 star_exprs = star_expr (',' star_expr)* ','? ;
 star_expr = '*'? expr ;
@@ -74,8 +84,9 @@ braces = (dict_item (',' dict_item)* ','?)? | expr ':' expr comp_for | star_name
 comp_for = ('async'? 'for' star_targets 'in' disjunction ('if' disjunction_named)*)+ ;
 disjunction_named = (ident ':=')? expr_nocond ;
 expr_nocond = disjunction | 'lambda' lambda_params ':' expr ;
-args = (arg (',' arg)* ','?)? | named comp_for ;
-arg = '*' expr | '**' expr | ident '=' expr | named ;
+args = ( positional (',' positional)* (',' keywords)? ','? | keywords ','? )? | named comp_for ;
+positional = '*' expr | named ;
+keywords = ident '=' expr (',' ( ident '=' expr | '*' expr ))* (',' '**' expr (',' ( ident '=' expr | '**' expr ))* )? | '**' expr (',' ( ident '=' expr | '**' expr ))* ;
 subscripts = subscript (',' subscript)* ','? ;
 subscript = '*'? named | expr? ':' expr? (':' expr?)? ;
 """
@@ -122,12 +133,14 @@ decorators = ('@' ( ident ('.' name)* @(args)? | @(test) ) NL*)+ ;
 prop_name = name | STR | NUM | @[test] ;
 name = ident | 'this' | 'super' | %KW ;
 expr = assign (',' assign)* ;
-assign = chain | arrow | 'yield' '*'? assign? ;
-arrow = 'async'? ( ident | type_params? @(params) return_type? ) '=>' ( chain | arrow | 'yield' assign? | @{block_items} ) ;
+assign = place assign_op assign | chain | arrow | 'yield' '*'? assign? ;
+place = typed_cast? ( ident | @(test) | @[array] | @{object} | primary tail* ( '.' (name | PRIVATE) | @[test] | typed_place ) ) ;
+assign_op = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??=' | '>' '>' '>'? '=' ;
+arrow = 'async'? ( ident | type_params? @(params) return_type? ) '=>' ( assign | @{block_items} ) ;
 chain = operand op_rest* ;
-op_rest = binop ( operand | arrow | 'yield' assign? ) | '?' assign ':' assign | typed_op ;
-binop = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??=' | '+' | '-' | '*' | '/' | '%' | '**'
-  | '&' | '|' | '^' | '&&' | '||' | '??' | '==' | '!=' | '===' | '!==' | '<' | '<=' | '<<' | '>' '>'? '>'? ('=' | '==' )? | 'in' | 'instanceof' ;
+op_rest = binop operand | '?' assign ':' assign | typed_op ;
+binop = '+' | '-' | '*' | '/' | '%' | '**'
+  | '&' | '|' | '^' | '&&' | '||' | '??' | '==' | '!=' | '===' | '!==' | '<' | '<=' | '<<' | '>' '='? | '>' '>' '>'? | 'in' | 'instanceof' ;
 operand = ( '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' )* prefixed ;
 prefixed = (typed_cast)? ( PRIVATE | primary tail* ('++' | '--')? ) ;
 tail = '.' (name | PRIVATE) | '?.' ( name | PRIVATE | @(args) | @[test] | TPL ) | @(args) | @[test] | TPL | typed_tail ;
@@ -142,7 +155,7 @@ ident = NAME | 'async' | 'of' | 'get' | 'set' | 'static' | 'as' | 'from' | 'type
 """
 JS_ONLY = r"""
 typed_statement = NEVER ; typed_import = NEVER ; typed_default = NEVER ; typed_export = NEVER ; overload = NEVER ; implements = NEVER ;
-index_member = NEVER ; modifier_typed = NEVER ; typed_op = NEVER ; typed_cast = NEVER ; typed_tail = NEVER ; annotation = NEVER ; return_type = NEVER ; type_params = NEVER ;
+index_member = NEVER ; modifier_typed = NEVER ; typed_op = NEVER ; typed_cast = NEVER ; typed_tail = NEVER ; typed_place = NEVER ; annotation = NEVER ; return_type = NEVER ; type_params = NEVER ;
 typed_ident = 'declare' | 'namespace' | 'module' | 'interface' | 'readonly' | 'public' | 'private' | 'protected' | 'override' | 'keyof' | 'infer' | 'is' | 'asserts' | 'unique' | 'satisfies' | 'out' | 'implements' ;
 """
 TS_ONLY = r"""
@@ -159,6 +172,7 @@ modifier_typed = 'public' | 'private' | 'protected' | 'readonly' | 'abstract' |
 typed_op = ('as' | 'satisfies') type | 'as' 'const' ;
 typed_cast = '<' type '>' ;
 typed_tail = '!' | type_args ;
+typed_place = '!' ;
 annotation = ':' type ;
 return_type = ':' type ;
 type_params = '<' type_param (',' type_param)* ','? '>' ;
@@ -219,13 +233,13 @@ method = NAME signature | constraint ;
 block = (statement? ';')* statement? ;
 !statement = decl | NAME ':' statement? | simple | 'return' exprs? | ('break' | 'continue' | 'goto') NAME? | 'fallthrough' | 'go' expr | 'defer' expr
   | @{block} | if_stmt | 'switch' switch_head @{cases} | 'select' @{comms} | 'for' for_head @{block} ;
-simple = expr ('++' | '--') | exprs ( ('=' | ':=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&^=') exprs )? | expr '<-' expr ;
+simple = names ':=' exprs | expr ('++' | '--') | exprs ( ('=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&^=') exprs )? | expr '<-' expr ;
 if_stmt = 'if' (simple? ';')? expr @{block} ('else' (if_stmt | @{block}))? ;
 switch_head = (simple? ';')? ( simple )? ;
 cases = ( ('case' case_list | 'default') ':' (statement? ';')* statement? )* ;
 case_list = (expr | type) (',' (expr | type))* ;
 comms = ( ('case' simple | 'default') ':' (statement? ';')* statement? )* ;
-for_head = ( simple? ';' expr? ';' simple? | expr | (exprs ('=' | ':='))? 'range' expr )? ;
+for_head = ( simple? ';' expr? ';' simple? | expr | (exprs '=' | names ':=')? 'range' expr )? ;
 exprs = expr (',' expr)* ;
 expr = operand (binop operand)* ;
 binop = '||' | '&&' | '==' | '!=' | '<' | '<=' | '>' | '>=' | '+' | '-' | '|' | '^' | '*' | '/' | '%' | '<<' | '>>' | '&' | '&^' ;
@@ -282,7 +296,9 @@ block = (statement)* ;
   | 'do' statement 'while' @(test) ';' | 'for' @(for_head) statement | 'try' @(resources)? @{block} ('catch' @(catch_param) @{block})* ('finally' @{block})?
   | 'switch' @(test) @{switch_body} | 'return' expr? ';' | 'throw' expr ';' | ('break' | 'continue') ident? ';' | 'yield' expr ';' | 'synchronized' @(test) @{block}
   | 'assert' expr (':' expr)? ';' | ident ':' statement | statement_expr ';' ;
-statement_expr = chain ;
+statement_expr = place assign_op expr | ('++' | '--') primary tail* | primary tail* ( '++' | '--' | @(args) | '.' type_args? 'new' creator ) | 'new' creator ;
+place = ident | @(test) | primary tail* ( '.' ident | @[test] ) ;
+assign_op = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>' '>'? '=' ;
 test = expr ;
 for_head = ( ( annotation | 'final' )* (type | 'var') declarators | expr (',' expr)* )? ';' expr? ';' (expr (',' expr)*)? | ( annotation | 'final' )* (type | 'var') ident ':' expr ;
 resources = resource (';' resource)* ';'? ;
@@ -293,13 +309,13 @@ labels = label (',' label)* ('when' expr)? ;
 label = pattern | chain | 'default' ;
 pattern = ( annotation | 'final' )* type ident | type @(pattern_list) ident? ;
 pattern_list = (pattern (',' pattern)*)? ;
-expr = chain | lambda ;
+expr = place assign_op expr | chain | lambda ;
 lambda = ( ident | @(params) | @(lambda_names) ) '->' ( expr | @{block} ) ;
 lambda_names = (lambda_name (',' lambda_name)*)? ;
 lambda_name = 'var'? ident ;
 chain = operand op_rest* ;
 op_rest = binop (operand | lambda) | '?' expr ':' expr | 'instanceof' 'final'? ( type | pattern ) ;
-binop = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '&&' | '||' | '==' | '!=' | '<' | '<=' | '<<' | '>' '>'? '>'? ('=' | '==')? ;
+binop = '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '&&' | '||' | '==' | '!=' | '<' | '<=' | '<<' | '>' '='? | '>' '>' '>'? ;
 operand = ( '+' | '-' | '++' | '--' | '!' | '~' | @(cast) )* primary tail* ('++' | '--')? ;
 cast = type ('&' type)* ;
 primary = ident | literal | 'this' | 'super' | @(test) | 'new' creator | 'switch' @(test) @{switch_body} | primitive dims ( '.' 'class' | '::' ('new' | ident) ) | class_type dims ( '.' 'class' | '::' type_args? ('new' | ident) ) | @(cast) lambda ;
