@@ -42,7 +42,7 @@ pattern_args = (pattern_arg (',' pattern_arg)* ','?)? ;
 pattern_arg = (ident '=')? pattern ;
 pattern_group = patterns? ;
 pattern_map = (pattern_item (',' pattern_item)* ','?)? ;
-pattern_item = pattern_atom ':' pattern | '**' ident ;
+!pattern_item = pattern_atom ':' pattern | '**' ident ;
 funcdef = 'async'? 'def' ident type_params? @(params) ('->' exprs)? ':' block ;
 classdef = 'class' ident type_params? @(args)? ':' block ;
 type_params = @[type_param_list] ;
@@ -132,7 +132,8 @@ modifier = 'static' | modifier_typed ;
 decorators = ('@' ( ident ('.' name)* @(args)? | @(test) ) NL*)+ ;
 prop_name = name | STR | NUM | @[test] ;
 name = ident | 'this' | 'super' | %KW ;
-expr = assign (',' assign)* ;
+expr = assign (',' later)* ;
+!later = assign ;
 assign = place assign_op assign | chain | arrow | 'yield' '*'? assign? ;
 place = typed_cast? ( ident | @(test) | @[array] | @{object} | primary tail* ( '.' (name | PRIVATE) | @[test] | typed_place ) ) ;
 assign_op = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??=' | '>' '>' '>'? '=' ;
@@ -188,7 +189,7 @@ type_name = ident ('.' name)* ;
 type_group = type ;
 index_type = type ;
 tuple = (tuple_item (',' tuple_item)* ','?)? ;
-tuple_item = '...'? (name '?'? ':')? type '?'? ;
+!tuple_item = '...'? (name '?'? ':')? type '?'? ;
 type_members = ( type_member? (';' | ',' | NL) )* type_member? ;
 type_member = ('readonly' | '+' 'readonly' | '-' 'readonly')* ( ('get' | 'set')? prop_name '?'? ( annotation? | type_params? @(params) return_type? ) | type_params? @(params) return_type? | 'new' type_params? @(params) return_type? | @[index_signature] annotation? ) ;
 index_signature = ident ':' type ;
@@ -382,7 +383,8 @@ last_arm = attrs pattern ('if' expr)? '=>' expr ;
 pattern = '|'? pat ('|' pat)* ;
 pat = ident '@' pat | 'ref'? 'mut'? ident ('@' pat)? | '_' | '..' | '&' '&'? 'mut'? pat | @(pat_list) | @[pat_list] | path ( @(pat_list) | @{pat_fields} )? | qualified_path ( @(pat_list) | @{pat_fields} )? | range_end ( ('..=' | '..' | '...') range_end? )? | ('..=' | '..') range_end | 'box' pat | 'const' @{block} | path '!' ( @(any) | @[any] | @{any} ) ;
 range_end = '-'? literal | path | qualified_path ;
-pat_list = (pattern (',' pattern)* ','?)? ;
+pat_list = (pattern (',' later_pattern)* ','?)? ;
+!later_pattern = pattern ;
 pat_fields = (pat_field (',' pat_field)* ','?)? ;
 pat_field = attrs ( '..' | (ident | NUM) ':' pattern | 'ref'? 'mut'? ident ) ;
 qualified_path = '<' type ('as' path)? '>' ('::' path_seg)+ ;
@@ -478,7 +480,8 @@ condition = (simple_init)? cond_expr ;
 simple_init = declaration | expr? ';' ;
 cond_expr = expr | attrs? specifiers declarator ( '=' init | @{init_list} ) ;
 for_head = simple_init expr? ';' expr? | simple_init? attrs? specifiers declarator ':' init ;
-expr = expr_one (',' expr_one)* ;
+expr = expr_one (',' later)* ;
+!later = expr_one ;
 expr_one = operand op_rest* | 'throw' expr_one? | 'co_yield' init ;
 op_rest = binop ( operand | @{init_list} | 'throw' expr_one? ) | '?' expr? ':' (expr_one | @{init_list}) ;
 binop = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '&&' | '||' | '==' | '!=' | '<=>' | '<' | '<=' | '<<' | '>' '>'? ('=' | '==')? | '.*' | '->' '*' ;
