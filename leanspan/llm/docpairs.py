@@ -1,11 +1,13 @@
 """Functions paired with their documentation (problem 1).
 
-For every symbol of kind function or method the code and its documentation are cut
-from the file that its chunks add up to.  The file's language lexer finds the
-comments; the generalised LL parser of :mod:`gll` decides whether what stands between
-a comment and the declaration is nothing but attributes, annotations, decorators or
-template heads, and whether the function itself parses.  Brackets are recognised from
-the inside out, so functions of broken files are still extracted and judged.
+Functions are found by parsing: :mod:`islands` mends a file's brackets and asks the
+generalised LL parser of :mod:`gll`, on its graph-structured stacks, for every function
+that the language's grammar derives, so that the sound functions of broken files are
+found too.  The file's lexer finds the comments; the parser also decides whether what
+stands between a comment and the declaration is nothing but attributes, annotations,
+decorators or template heads.  Pairs are made for the symbols of an index (a symbol that
+no parse reaches, as it is damaged inside, is cut by its recorded range and marked as not
+parsing) and, for files that an indexer skipped, from the files alone.
 
 Defined results for odd input: rows without id, file or byte range, and files that
 have no chunks, give nothing; equal deliveries count once (rows are told apart by id);
@@ -23,12 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import islands
 from .languages import LANGUAGES, Language, Unbalanced, language
 
 #: Words of prose that a documentation needs not to be trivial.
 MIN_WORDS = 5
-#: A description is a template when at least this many functions of different code share its hash, and this part of all pairs.
-TEMPLATE_REPEATS, TEMPLATE_SHARE = 20, 0.002
+#: A description is a template when functions of different code share its hash that are at least this part of all pairs, and several.
+TEMPLATE_SHARE, SEVERAL = 0.0005, 3
 
 PAIR_SCHEMA = "symbol_id long, file_id long, name string, kind string, language string, signature string, code string, description string, prose_words int, parses boolean"
 
@@ -213,10 +216,6 @@ class SourceFile:
     def documentation(self, start: int, end: int) -> str | None:
         return self.docstring(start, end) if self.lang.name == "python" else self.before(start)
 
-    def parses(self, start: int, end: int, method: bool) -> bool:
-        rule = {"python": "file", "javascript": "class_body" if method else "file", "typescript": "class_body" if method else "file", "go": "declarations", "java": "class_body", "rust": "assoc", "cpp": "items"}[self.lang.name]
-        return self.lang.parses(self.text[start:end].lstrip(" \t\f"), rule)
-
 
 def _parameters(lang: str, head: str) -> frozenset[str]:
     m = re.search(r"\((.*?)\)\s*(?:[{:\-=]|$|\w)", head, re.S)
@@ -228,6 +227,7 @@ def pairs_of_file(text: str, lang: Language, symbols: list) -> Iterator[tuple]:
     data = text.encode("utf-8", "surrogatepass")
     plain = len(data) == len(text)
     source = SourceFile(text, lang)
+    found: set[tuple[int, int]] | None = None
 
     def place(at: int) -> int:
         at = max(0, min(at, len(data)))
@@ -240,7 +240,25 @@ def pairs_of_file(text: str, lang: Language, symbols: list) -> Iterator[tuple]:
         doc = source.documentation(a, b)
         head = s["signature"] or text[a: text.find("{", a) if text.find("{", a) > 0 else b]
         n = words(doc, _parameters(lang.name, head), lang.name == "python") if doc else 0
-        yield s, text[a:b], doc, n, source.parses(a, b, s["kind"] == "method")
+        if doc and found is None:
+            found = {(x, y) for x, y, _ in islands.functions(lang, text)}
+        inner = text[a:b]
+        whole = bool(doc) and (a + len(inner) - len(inner.lstrip()), a + len(inner.rstrip())) in found
+        yield s, inner, doc, n, whole
+
+
+def functions_of_file(text: str, lang: Language) -> Iterator[tuple]:
+    """(name, start byte, end byte, code, description, words of prose) of the documented functions that a file's parse finds."""
+    found = islands.functions(lang, text)
+    if not found:
+        return
+    source = SourceFile(text, lang)
+    for a, b, name in found:
+        doc = source.documentation(a, b)
+        if doc:
+            head = text[a: text.find("{", a) if text.find("{", a) > 0 else b]
+            begin = len(text[:a].encode("utf-8", "surrogatepass"))
+            yield name, begin, begin + len(text[a:b].encode("utf-8", "surrogatepass")), text[a:b], doc, words(doc, _parameters(lang.name, head), lang.name == "python")
 
 
 def extract_pairs(symbols: DataFrame, chunks: DataFrame, files: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -278,27 +296,46 @@ def extract_pairs(symbols: DataFrame, chunks: DataFrame, files: DataFrame, min_w
     return joined.mapInPandas(run, PAIR_SCHEMA)
 
 
+FUNCTION_SCHEMA = "file_id long, name string, language string, start_byte long, end_byte long, code string, description string, prose_words int"
+
+
+def extract_functions(files: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """FUNCTION_SCHEMA: documented functions of files by parsing alone, symbols or none; no shuffle."""
+    known = files.filter(F.col("id").isNotNull() & F.col("content").isNotNull() & F.col("language").isin(*LANGUAGES)).select("id", "language", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sys.setrecursionlimit(20_000)
+        for batch in batches:
+            out = []
+            for file, lang, text in zip(batch["id"], batch["language"], batch["content"]):
+                out += [(file, name, lang, a, b, code, doc, n) for name, a, b, code, doc, n in functions_of_file(text, language(lang)) if n >= min_words]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FUNCTION_SCHEMA.split(", ")])
+
+    return known.mapInPandas(run, FUNCTION_SCHEMA)
+
+
 def template_hash(description: str) -> F.Column:
     """A hash of a description with its numbers, code words and case taken out."""
     return F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(F.col(description)), r"`[^`]*`|\b\w*[0-9_]\w*\b", "#"), r"[^\p{L}#]+", " "))
 
 
-def drop_templates(pairs: DataFrame, repeats: int = TEMPLATE_REPEATS, share: float = TEMPLATE_SHARE) -> DataFrame:
+def drop_templates(pairs: DataFrame, share: float = TEMPLATE_SHARE, several: int = SEVERAL) -> DataFrame:
     """Without the pairs whose description is a template of the corpus.
 
-    A description is a template when at least ``repeats`` functions of different code
-    share its hash, and at least ``share`` of all pairs.  One that gets there by copies
-    of the same code only keeps one pair of each code, that of the least symbol_id.
-    Counts are taken over all pairs before any is dropped; only hashes, counts and ids
-    are shuffled, pre-aggregated.
+    A description is a template when functions of different code share its hash and they
+    are at least ``share`` of all different (description, code) pairs, whatever the size of
+    the corpus; ``several`` keeps a corpus of a few functions from being its own template.
+    Copies of the same code count once, and one that is frequent by copies only keeps one
+    pair of each code, that of the least symbol_id.  Counts are taken over all pairs
+    before any is dropped; only hashes, counts and ids are shuffled, pre-aggregated, so
+    that a hash that many share is one row for each code.
     """
     code = F.xxhash64(F.regexp_replace("code", r"\s+", " ")) if "code" in pairs.columns else F.col("symbol_id")
     hashed = pairs.withColumn("template", template_hash("description")).withColumn("fingerprint", code)
     counts = hashed.groupBy("template", "fingerprint").agg(F.count("*").alias("n"), F.min("symbol_id").alias("first"))
-    # both columns are used, so that the exchange of the counts is used again
-    total = counts.agg(F.sum("n").alias("total"), F.min("first").alias("least"))
-    w = Window.partitionBy("template")
-    grouped = counts.withColumn("codes", F.count("*").over(w)).withColumn("members", F.sum("n").over(w)).filter(F.col("members") >= repeats)
-    most = F.greatest(F.lit(float(repeats)), F.col("total") * share)
-    often = grouped.crossJoin(F.broadcast(total)).filter((F.col("members") >= most) & F.col("least").isNotNull()).select("template", "fingerprint", F.when(F.col("codes") < most, F.col("first")).alias("kept"), F.lit(True).alias("often"))
-    return hashed.join(often, ["template", "fingerprint"], "left").filter("often is null or symbol_id = kept").select(*pairs.columns)
+    sizes = counts.groupBy("template").agg(F.count("*").alias("codes"), F.sum("n").alias("members"))
+    total = sizes.agg(F.sum("codes").alias("total"))
+    bound = F.greatest(F.lit(float(several)), F.col("total") * share)
+    often = sizes.crossJoin(F.broadcast(total)).filter(F.col("members") >= bound).select("template", (F.col("codes") >= bound).alias("is_template"))
+    marked = counts.join(often, "template").select("template", "fingerprint", F.when(~F.col("is_template"), F.col("first")).alias("kept"), F.lit(True).alias("often"))
+    return hashed.join(marked, ["template", "fingerprint"], "left").filter("often is null or symbol_id = kept").select(*pairs.columns)

@@ -506,13 +506,15 @@ index = (expr_one | @{init_list}) (',' expr_one)* ;
 ident = NAME | 'final' | 'override' | 'module' | 'import' ;
 """
 
-# What may stand between a documentation comment and its declaration.
+# What may stand between a documentation comment and its declaration, and the functions that are searched for in broken files.
+_METHOD = "modifier* ('get' | 'set')? 'async'? '*'? (prop_name | PRIVATE) '?'? type_params? @(params) return_type? @{block_items}"
 PREFIXES = {
-    "javascript": "prefix = (decorators NL* | modifier | 'export' | 'default' | 'async')* ;",
-    "typescript": "prefix = (decorators NL* | modifier | 'export' | 'default' | 'async')* ;",
-    "java": "prefix = modifiers ;",
-    "rust": "prefix = attrs visibility? ;",
-    "cpp": "prefix = ('template' template_params | attrs | storage)* ;",
-    "go": "prefix = ; declarations = (top ';')* ;",
-    "python": "prefix = NL* ;",
+    name: f"prefix = (decorators NL* | modifier | 'export' | 'default' | 'async')* ; island = ('export' 'default'?)? 'async'? 'function' '*'? ident? type_params? @(params) return_type? @{{block_items}} ; island_method = {_METHOD} ;"
+    for name in ("javascript", "typescript")
+} | {
+    "java": "prefix = modifiers ; island = ( 'public' | 'private' | 'protected' | 'static' | 'final' | 'abstract' | 'native' | 'synchronized' | 'strictfp' | 'default' )* type_params? ( type ident @(params) dims throws? @{block} | ident @(params) throws? @{block} ) ;",
+    "rust": "prefix = attrs visibility? ; island = visibility? function ;",
+    "cpp": "prefix = ('template' template_params | attrs | storage)* ; island = storage* ( type_spec storage* declarator_fn | special_fn ) ctor_inits? ( @{block} | 'try' @{block} handler+ ) ;",
+    "go": "prefix = ; declarations = (top ';')* ; island = function ;",
+    "python": "prefix = NL* ; island = funcdef ;",
 }

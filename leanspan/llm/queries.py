@@ -19,7 +19,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.drop_templates(docpairs.extract_pairs(table(spark, d, "symbols"), table(spark, d, "chunks"), table(spark, d, "files")))
+    """Valid functions only, those of broken files among them, without templates."""
+    return docpairs.drop_templates(docpairs.extract_pairs(table(spark, d, "symbols"), table(spark, d, "chunks"), table(spark, d, "files")).filter("parses"))
+
+
+def p1_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Documented functions by parsing the files alone, those among them that no indexer has seen."""
+    return docpairs.extract_functions(table(spark, d, "files")).distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +99,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_kinds, p2_validation, p3_found, p3_redacted, p4_found, p4_rates, p5_found, p5_pieces, p6_found, p6_items, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p1_functions, p2_found, p2_kinds, p2_validation, p3_found, p3_redacted, p4_found, p4_rates, p5_found, p5_pieces, p6_found, p6_items, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
 
 
 _WS = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

@@ -78,7 +78,7 @@ def test_pairs_come_out_of_broken_files_once(spark):
 def test_templates_are_dropped_by_counts(spark):
     rows = [(n, f"Returns the value {n} of `x{n}` for the caller.") for n in range(30)] + [(99, "Something that is said only once here.")]
     df = spark.createDataFrame(rows, "symbol_id long, description string")
-    assert [r["symbol_id"] for r in docpairs.drop_templates(df, 20).collect()] == [99]
+    assert [r["symbol_id"] for r in docpairs.drop_templates(df, several=20).collect()] == [99]
 
 
 # --- 2 -----------------------------------------------------------------------

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 
 from leanspan.llm import credentials, docpairs, encoding, provenance
+from leanspan.llm.languages import language
 from leanspan.llm.parsecheck import parses
 
 
@@ -20,9 +21,49 @@ def test_copies_are_no_template_and_the_threshold_grows(spark):
     template = [(100 + n, f"Returns the value {n} of the record.", f"def g{n}(): pass") for n in range(25)]
     df = spark.createDataFrame(copies + template + [(999, "Something that is said only once.", "def h(): pass")], "symbol_id long, description string, code string")
     kept = lambda x, **k: sorted(r["symbol_id"] for r in docpairs.drop_templates(x, **k).collect())
-    assert kept(df, repeats=20) == [0, 999]
-    # the same 25 in a larger corpus are no template
-    assert set(range(100, 125)) <= set(kept(df, repeats=20, share=0.5))
+    assert kept(df, several=20) == [0, 999]
+    # the bound is a part of the corpus: of 27 pairs of different code, 25 are more than half
+    assert kept(df, share=0.5) == [0, 999] and set(range(100, 125)) <= set(kept(df, share=0.95))
+
+
+BROKEN = {
+    "python": ("def first(a):\n    \"\"\"Reads the header and checks its digest once.\"\"\"\n    return a\n\n\ndef torn(a:\n    x = (1,\n\n\nasync def last(*, b=1):\n    \"\"\"Writes the footer after all pages are there.\"\"\"\n    return [b]\n", ["first", "last"]),
+    "go": ("package a\n\n// first reads the header and checks its digest.\nfunc first(a int) int { return a }\n\nfunc torn(a int) { if a { \n\n// last writes the footer after all pages are there.\nfunc (s *T) last() error {\n\treturn nil\n}\n", ["first", "last"]),
+    "rust": ("/// Reads the header and checks its digest once.\npub(crate) fn first<'a>(x: &'a str) -> u8 { 1 }\n}\nfn torn( { }\nimpl A {\n    /// Writes the footer after all pages are there.\n    pub fn last(&self) -> u8 { 2 }\n", ["first", "last"]),
+    "javascript": ("/** Reads the header and checks its digest once. */\nexport function first(a) { return `${a}`; }\nfunction torn(a { return ]; }\nclass A {\n  /** Writes the footer after all pages are there. */\n  async last(b = 1) { return b; }\n", ["first", "last"]),
+    "typescript": ("class A {\n  /** Reads the header and checks its digest once. */\n  public first<T>(a: T): T { return a; }\n  torn(a: ) { }\n  /** Writes the footer after all pages are there. */\n  private last?(b: number): void { }\n", ["first", "last"]),
+    "java": ("class A {\n  /** Reads the header and checks its digest once. */\n  @Override\n  public int first(int a) { return a; }\n  int torn(int a) { return (a; }\n  /** Writes the footer after all pages are there. */\n  static <T> List<T> last() { return null; }\n", ["first", "last"]),
+    "cpp": ("/// Reads the header and checks its digest once.\ntemplate <typename T>\nint first(T a) { return 1; }\nint torn(int a) { return (1; }\nclass A {\n  /// Writes the footer after all pages are there.\n  bool last() const { return true; }\n", ["first", "last"]),
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_sound_functions_of_broken_files(name):
+    text, wanted = BROKEN[name]
+    assert not parses(text, name)
+    got = list(docpairs.functions_of_file(text, language(name)))
+    assert [g[0] for g in got] == wanted, got
+    assert all(g[5] >= 5 and text.encode()[g[1]: g[2]].decode() == g[3] for g in got)
+
+
+def test_parsing_finds_every_symbol_of_the_index(spark, data):
+    """The index's ranges and names, in whole and in broken files, and more files than it has read."""
+    from leanspan.sources.tables import table
+
+    d = data.replace("sf0.001", "sf0.01")
+    pairs = docpairs.extract_pairs(table(spark, d, "symbols"), table(spark, d, "chunks"), table(spark, d, "files"), min_words=1).toPandas()
+    assert len(pairs) > 800 and pairs["parses"].mean() > 0.99
+    found = docpairs.extract_functions(table(spark, d, "files"), min_words=1).toPandas()
+    both = pairs[pairs["parses"]].merge(found, on=["file_id", "name", "description"])
+    assert both["symbol_id"].nunique() == pairs["parses"].sum()
+    assert len(set(found["file_id"]) - set(pairs["file_id"])) > 0
+
+
+def test_extract_functions_odd_input(spark):
+    text = BROKEN["python"][0]
+    f = spark.createDataFrame([(1, "python", text, "n"), (2, "python", None, "n"), (None, "python", text, "n"), (3, None, text, "n"), (4, "python", "", "n"), (5, "css", text, "n"), (6, "python", "x = 1\n" * 20_000 + text, "n")], "id long, language string, content string, name string")
+    assert sorted((r["file_id"], r["name"]) for r in docpairs.extract_functions(f).collect()) == [(1, "first"), (1, "last"), (6, "first"), (6, "last")]
+    assert docpairs.extract_functions(f.limit(0)).count() == 0
 
 
 # --- 2 -----------------------------------------------------------------------
