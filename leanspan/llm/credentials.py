@@ -129,7 +129,7 @@ def _login_encoded(v: str) -> bool:
         text = base64.b64decode(v, validate=True).decode("ascii")
     except (binascii.Error, UnicodeDecodeError, ValueError):
         return False
-    m = re.match(r"^([\w.\-@]{2,40}):(\S{6,80})$", text)
+    m = re.match(r"^([\w.\-@]{2,}):(\S{6,})$", text)
     return bool(m) and text.isprintable() and not is_placeholder(m[2])
 
 
@@ -145,10 +145,10 @@ _PEM_OPEN = re.compile(
     r"(?:" + _PEM_GAP + r"(?:[A-Za-z0-9+/]{2,23}={1,2}|[A-Za-z0-9+/]{1,23}(?=\s*\Z)|(?=[a-z0-9+/]*[A-Z])(?=[A-Za-z+/]*\d)(?:[A-Za-z0-9+/]{4}){1,5}(?=\\n|[\s\"'`])))?(?:" + _PEM_GAP + r"=[A-Za-z0-9+/]{4}(?![A-Za-z0-9+/=]))?"
 )
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="
-_URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://([^\s:/@\"'`<>]{0,80}):([^\s/@\"'`<>]{1,200})@(?=[\w\[.\-])")
+_URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://([^\s:/@\"'`<>]*+):([^\s/@\"'`<>]++)@(?=[\w\[.\-])")
 _HEADER = re.compile(r"(?i)\b(?:bearer|token)[ \t]+([A-Za-z0-9\-._~+/]{16,}=*)|\bbasic[ \t]+([A-Za-z0-9+/]{8,}={0,2})|\b(?:x-[a-z\-]*(?:key|token|secret)|private-token)[ \t]*:[ \t]*([^\s\"'`;,]{8,})")
 _PAIR = re.compile(r"(?i)(?<![\w.\-])(password|passwd|pwd|passphrase|accountkey|sharedaccesskey|sharedaccesskeyname|secret|client_secret|api_?key|access_?token|auth_?token|private_?key|secret_?key)[ \t]*=[ \t]*([^\s\"'`;,&<>]{4,})")
-_COMMAND = re.compile(r"(?i)(?:(?<![\w\-])(?:-u|--user|--proxy-user)[ =]['\"]?[\w.\-@]+:([^\s'\"@]{4,})|(?<![\w\-])--?(?:password|passwd|pass|token|api-?key|secret)[ =]['\"]?([^\s'\"]{4,})|\bsshpass[ \t]+-p[ \t]*['\"]?([^\s'\"]{4,})|\b(?:mysql|mysqldump|mariadb)\b[^\n]{0,80}[ \t]-p([^\s'\"]{4,})|\bPGPASSWORD=['\"]?([^\s'\"]{4,}))")
+_COMMAND = re.compile(r"(?i)(?:(?<![\w\-])(?:-u|--user|--proxy-user)[ =]['\"]?[\w.\-@]+:([^\s'\"@]{4,})|(?<![\w\-])--?(?:password|passwd|pass|token|api-?key|secret)[ =]['\"]?([^\s'\"]{4,})|\bsshpass[ \t]+-p[ \t]*['\"]?([^\s'\"]{4,})|\b(?:mysql|mysqldump|mariadb)\b[^\n]*?[ \t]-p([^\s'\"]{4,})|\bPGPASSWORD=['\"]?([^\s'\"]{4,}))")
 _SPOKEN = re.compile(
     r"(?i)\b(?:was|old|new|current|previous|temporary|temp|default|staging|production|prod|dev|test|admin|root|service|use|the|with|set|is|my|our|shared|backup)?[ \t:]*\b((?:[a-z]+[_\-. ]?)?(?:password|passwd|pwd|passphrase|secret|token|credentials?|api[_\- ]?key|access[_\- ]?key|signing[_\- ]?key|private[_\- ]?key|key|login|pat)(?:[_\-][a-z]+)?)\b[ \t]*(?:is|was|=|:|->|→|for[ \t]+[\w.\-]+[ \t]*[:=])?[ \t]*[`'\"(]?([^\s`'\"()<>,;]{8,})"
 )
@@ -265,7 +265,11 @@ def parse_xml(text: str) -> Iterator[Item]:
 
 
 _LITERAL = r"(?:[rbuRBULf8]{0,2}(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)|r#*\"[^\"]*\"#*)"
-_ASSIGNED = re.compile(r"([A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)(?!::)[\"']?\]?[ \t]*(?:<[^<>\n]{0,40}>)?(?:[ \t]*:(?!:)[ \t]*[^=;\n\"'`]{0,60}?)?[ \t]*(?::=|=>|=|:|\()[ \t\n]*(?:concat!\(|String::from\(|std::string\(|new String\(|\()?[ \t\n]*(" + _LITERAL + r"(?:[ \t\n]*[+,]?[ \t\n]*(?:\\\n[ \t]*)?" + _LITERAL + r"){0,8})")
+_ASSIGNED_HEAD = r"([A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)(?!::)[\"']?\]?[ \t]*(?:<[^<>\n]*>)?(?:[ \t]*:(?!:)[ \t]*[^=;\n\"'`]{0,200}?)?[ \t]*(?::=|=>|=|:|\()[ \t\n]*(?:concat!\(|String::from\(|std::string\(|new String\(|\()?[ \t\n]*"
+_ASSIGNED = re.compile(_ASSIGNED_HEAD + "(" + _LITERAL + r"(?:[ \t\n]*[+,]?[ \t\n]*(?:\\\n[ \t]*)?" + _LITERAL + r")*+)")
+#: where such an assignment begins; its literals are read from there, however long they are
+_BEGUN = re.compile(_ASSIGNED_HEAD + r"(?=[rbuRBULf8]{0,2}[\"'`]|r#*\")")
+_NEXT = re.compile(r"\s*(?:(?:concat!|String::from|std::string|new String)?\(\s*)?[rbuRBULf8]{0,2}#*[\"'`]?")
 _PIECE = re.compile(_LITERAL)
 
 
@@ -433,10 +437,12 @@ class Finder:
                 seen.add((a, b))
         joined = self.lines(_JOINED)
         for a, b in sorted(seen | set(joined)):
-            for m in _ASSIGNED.finditer(text, a, min(len(text), b + 400)):
-                if m.start() >= b:
-                    break
-                self.value(*_assigned(m))
+            at, end = a, _NEXT.match(text, b).end()
+            while (m := _BEGUN.search(text, at, end)) and m.start() < b:
+                whole = _ASSIGNED.match(text, m.start())
+                if whole:
+                    self.value(*_assigned(whole))
+                at = whole.end() if whole else m.end()
 
     def forms(self) -> None:
         text = self.text

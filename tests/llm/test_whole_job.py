@@ -1,6 +1,7 @@
 """Cases in which the operators once did less than the whole job."""
 
 import ast
+import base64
 import random
 import warnings
 
@@ -170,6 +171,26 @@ def test_many_key_marks_take_linear_time():
     assert credentials.find("QUJD" * 50_000 + "!\n-----END RSA PRIVATE KEY-----\n", "a.txt") == []
 
 
+def test_nothing_of_long_secrets_is_left(spark):
+    parts = [f"pL{k}x{k * 7919 % 9973:04d}Qz" for k in range(30)]
+    joined = " +\n    ".join(f'"{p}"' for p in parts)
+    long = "Zq9" + "aB3x" * 90
+    texts = {
+        "r/a.py": f"API_TOKEN = (\n    {joined}\n)\nx = 1\n", "r/b.ts": f"const apiKey: Record<string, Partial<Pick<Abcdef, Ghijkl>>> = {joined};\n", "r/c.rs": "const SECRET_KEY: &str = concat!(" + ", ".join(f'"{p}"' for p in parts) + ");\n",
+        "r/d.md": f"Use postgres://app:{long}@db.example/x for it.\n", "r/e.sh": f"mysql --host db {'--opt v ' * 30} -p{long} x\n", "r/f.go": f"var apiToken =\n\n\n{' ' * 500}\"{long}\"\n",
+        "r/g.py": f"AUTH = '{base64.b64encode(('service_account_of_a_long_name_that_says_much@example:' + long).encode()).decode()}'\n", "r/h.js": f"const apiKey = `{long}`; const other = 1;\n",
+    }
+    rows = [(n, n, t, 1, 0) for n, t in enumerate(texts.values(), 1)]
+    c = spark.createDataFrame(rows, "id long, file_id long, content string, start_line long, start_byte long")
+    f = spark.createDataFrame(list(enumerate(texts, 1)), "id long, path string")
+    got = {r["chunk_id"]: r["content"] for r in credentials.redact(c, f).collect()}
+    for n, (path, text) in enumerate(texts.items(), 1):
+        hidden = got[n]
+        assert len(hidden) == len(text) and hidden.count("\n") == text.count("\n"), path
+        for p in (*parts, long[:40], long[-40:], "aB3xaB3x"):
+            assert p not in hidden, (path, p, hidden)
+
+
 # --- 4 -----------------------------------------------------------------------
 @pytest.mark.parametrize("text", [
     'f"{a}"', 'f"{x"', 'f"{a +}"', 'f"{}"', 'f"a}b"', 'f"{{a}}"', 'f"{a!r:>{w}.{p}}"', 'f"{a!z}"', 'f"{a=}"', 'f"{a = !r}"', 'f"{d["k"]}"', 'f"{f"{f"{1}"}"}"', 'f"{lambda x: 1}"', 'f"{(lambda x: 1)}"', 'f"{a:%Y-%m}"', 'f"{a != b}"', 'f"{a:=5}"', 'f"\\N{EM DASH} {a}"',
