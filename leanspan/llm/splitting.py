@@ -1,11 +1,15 @@
 """Splitting oversized items at natural boundaries (problem 5).
 
-A text is parsed into a structure tree (sections by heading or top-level declaration,
-blocks, list items or indented parts, lines, sentences, words, characters).  Sibling
-subtrees are merged from the bottom up while they fit the limit, and only nodes that
-do not fit are descended into.  Every piece but the first begins with the end of its
-predecessor, so that consecutive pieces overlap by up to ``overlap`` tokens, cut at a
-line or word.
+Structure-tree packing.  The lines of a text are parsed into a tree: headings hold what
+follows down to the next heading of their rank, fences hold what they enclose, a line
+holds the deeper lines below it (the body of a declaration, the continuation of a list
+item), a closing bracket belongs to the line that opened, and siblings that blank lines
+part form blocks.  Packing works from the bottom up: neighbouring subtrees are merged
+while they fit the limit, and only a node that does not fit is taken apart; so a cut
+never falls inside a subtree that would have fitted.  A line that does not fit by itself
+is taken apart into sentences, these into words, and these between characters.  Every
+piece but the first begins with the end of its predecessor, so that consecutive pieces
+overlap by up to ``overlap`` tokens, cut at a line or word.
 
 Defined results: null, empty and blank texts and texts within the limit give no
 pieces; equal deliveries of an id count once; null start lines count from line 1; a
@@ -31,10 +35,12 @@ PIECE_SCHEMA = "chunk_id long, file_id long, piece int, content string, start_li
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~)")
 _HEADING = re.compile(r"^(#{1,6})[ \t]+\S")
-_TAG = re.compile(r"^<(h([1-6])|section|article|div|ul|ol|table|body|head|script|style)\b", re.I)
-_ITEM = re.compile(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+")
+_TAG = re.compile(r"^<h([1-6])\b", re.I)
+_CLOSING = re.compile(r"^[ \t]*(?:[)\]}>]|</|end\b|fi\b|done\b|esac\b)")
+_LINE_END = re.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
 _SENTENCE = re.compile(r"(?<=[.!?;:])[ \t]+(?=\S)")
-_WORD_START = re.compile(f"(?:(?<=[{WHITE_SPACE_PY}])|^)(?=[^{WHITE_SPACE_PY}])", re.M)
+_GAP = re.compile(r"(?<=[\s,;(){}\[\]|/=&])(?=\S)")
+_DEEPEST = 400  # indents beyond it count as one
 _STARTS = re.compile(f"(?<![^{WHITE_SPACE_PY}])[^{WHITE_SPACE_PY}]")
 
 
@@ -55,95 +61,130 @@ class _Measure:
         return max(-(-(b - a) // 4), words, 1)
 
 
-def _children(text: str, a: int, b: int, level: int) -> list[int]:
-    """Where the children of text[a:b] begin (a first) for one level of the structure."""
-    cuts = [a]
-    if level <= 1:  # 0 sections by heading, outermost first, or top-level parts; 1 blocks
-        fence, best, marks, blank = None, 9, [], True
-        at = a
-        for line in text[a:b].splitlines(keepends=True):
-            m = _FENCE.match(line)
-            if m:
-                if fence is None:
-                    fence = m[1]
-                elif fence == m[1]:
-                    fence = None
-            if level == 0 and (fence is None or m):
-                h = _HEADING.match(line) if not m else None
-                t = _TAG.match(line)
-                rank = len(h[1]) if h else int(t[2]) if t and t[2] else 6 if t else 7 if blank and line[:1] not in " \t\r\n})]" else None
-                if rank is not None:
-                    marks.append((rank, at))
-            elif level == 1 and fence is None and blank and line.strip():
-                marks.append((0, at))
-            blank = not line.strip()
-            at += len(line)
-        if level == 0 and marks:
-            best = min(r for r, p in marks if p > a) if any(p > a for _, p in marks) else 9
-            marks = [(r, p) for r, p in marks if r == best]
-        cuts += [p for _, p in marks if p > a]
-    elif level == 2:  # list items, or parts by the smallest indentation
-        at, lines = a, []
-        for line in text[a:b].splitlines(keepends=True):
-            lines.append((at, line))
-            at += len(line)
-        items = [p for p, x in lines if _ITEM.match(x)]
-        if len(items) < 2:
-            depth = min((len(x) - len(x.lstrip(" \t")) for _, x in lines if x.strip()), default=0)
-            items = [p for p, x in lines if x.strip() and len(x) - len(x.lstrip(" \t")) == depth and x.lstrip()[:1] not in "})]"]
-        cuts += [p for p in items if p > a]
-    elif level == 3:
-        cuts += [m.end() for m in re.finditer(r"\r\n|[\n\r\v\f\x1c-\x1e\x85  ]", text[a:b])]
-        cuts = [a] + [a + p for p in cuts[1:] if a + p < b]
-    elif level == 4:
-        cuts += [a + m.end() for m in _SENTENCE.finditer(text[a:b]) if m.end() < b - a]
-    elif level == 5:
-        cuts += [a + m.start() for m in re.finditer(r"(?<=[\s,;(){}\[\]|/=&])(?=\S)", text[a:b]) if m.start()]
-    else:
-        cuts += range(a + 1, b)
-    return cuts
-
-
-def _pack(text: str, a: int, b: int, level: int, limit: int, size: _Measure) -> list[tuple[int, int]]:
-    """Cuts text[a:b] into consecutive ranges of at most ``limit`` tokens."""
-    if size(a, b) <= limit:
-        return [(a, b)]
-    while True:
-        cuts = _children(text, a, b, level)
-        if len(cuts) > 1:
-            break
-        level += 1
-    out: list[tuple[int, int]] = []
-    at = a
-    k, n = 0, len(cuts)
-    cuts = cuts + [b]
-    while k < n:
-        # the longest run of siblings from here that fits
-        lo, hi = k, n
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if size(at, cuts[mid]) <= limit:
-                lo = mid
-            else:
-                hi = mid - 1
-        if lo > k:
-            out.append((at, cuts[lo]))
-            k, at = lo, cuts[lo]
+class Node:
+    """A subtree: text[start:end], and its parts in order, which add up to it; a line has none."""
+
+    __slots__ = ("start", "end", "parts")
+
+    def __init__(self, start: int, end: int):
+        self.start, self.end = start, end
+        self.parts: list[Node] = []
+
+
+def tree(text: str) -> Node:
+    """The structure of a text's lines."""
+    root = Node(0, len(text))
+    # open nodes with their depths: headings 1 to 6, others 10 and the width of their indent
+    open_: list[tuple[int, Node]] = [(0, root)]
+    blanks: set[int] = set()  # starts of lines that a blank line precedes
+    fence, base, blank, at = "", 0, False, 0
+    for line in _lines(text):
+        end = at + len(line)
+        if not line.strip():
+            # a blank line ends the line before it
+            blank = True
+            _stretch(open_, end)
+            at = end
+            continue
+        width = len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip())
+        depth = base + 10 + min(width, _DEEPEST)
+        mark = _FENCE.match(line)
+        if fence:
+            if mark and mark[1] == fence:
+                fence, base = "", 0
+                _stretch(open_, end)
+                at, blank = end, False
+                continue
+        elif mark:
+            fence = mark[1]
+        elif h := _HEADING.match(line):
+            depth = len(h[1])
+        elif h := _TAG.match(line):
+            depth = int(h[1])
+        while open_[-1][0] > depth or open_[-1][0] == depth and not _CLOSING.match(line):
+            open_.pop()
+        if open_[-1][0] == depth:
+            # a closing bracket: part of the node that the line before opened at this depth
+            open_[-1][1].parts.append(Node(at, end))
+            _stretch(open_, end)
         else:
-            parts = _pack(text, cuts[k], cuts[k + 1], level + (level > 0), limit, size) if level else _pack_section(text, cuts[k], cuts[k + 1], limit, size, len(cuts) > 2)
-            out += parts
-            k += 1
-            at = cuts[k]
-    return _merge(out, limit, size)
+            node = Node(at, end)
+            node.parts.append(Node(at, end))  # its own line
+            if blank:
+                blanks.add(at)
+            open_[-1][1].parts.append(node)
+            open_.append((depth, node))
+            _stretch(open_, end)
+        if mark and fence:
+            base = depth + 1
+        at, blank = end, False
+    _tidy(root, blanks)
+    return root
 
 
-def _pack_section(text: str, a: int, b: int, limit: int, size: _Measure, shrunk: bool) -> list[tuple[int, int]]:
-    inner = _children(text, a, b, 0)
-    return _pack(text, a, b, 0 if shrunk and len(inner) > 1 else 1, limit, size)
+def _lines(text: str) -> Iterator[str]:
+    at = 0
+    for m in _LINE_END.finditer(text):
+        yield text[at: m.end()]
+        at = m.end()
+    if at < len(text):
+        yield text[at:]
+
+
+def _stretch(open_: list[tuple[int, Node]], end: int) -> None:
+    """Lets the open nodes, and the last line among them, reach to an offset."""
+    for _, n in open_:
+        n.end = max(n.end, end)
+    last = open_[-1][1]
+    if last.parts:
+        last.parts[-1].end = end
+
+
+def _tidy(root: Node, blanks: set[int]) -> None:
+    """Starts at the parent's start, blocks of siblings, and no nodes with a single part."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        while len(node.parts) == 1:
+            node.parts = node.parts[0].parts
+        if node.parts:
+            node.parts[0].start = node.start
+            node.parts[-1].end = node.end
+        groups: list[list[Node]] = []
+        for p in node.parts:
+            if not groups or p.start in blanks:
+                groups.append([])
+            groups[-1].append(p)
+        if 1 < len(groups) < len(node.parts):
+            node.parts = []
+            for g in groups:
+                block = g[0]
+                if len(g) > 1:
+                    block = Node(g[0].start, g[-1].end)
+                    block.parts = g
+                    todo += g
+                else:
+                    todo.append(block)
+                node.parts.append(block)
+        else:
+            todo += node.parts
+
+
+def _apart(text: str, a: int, b: int, limit: int, size: _Measure) -> list[tuple[int, int]]:
+    """A line that does not fit: sentences, words, characters; merged as far as they fit."""
+    for pattern in (_SENTENCE, _GAP):
+        cuts = sorted({a, b, *(a + m.end() for m in pattern.finditer(text[a:b]))})
+        if len(cuts) > 2:
+            out: list[tuple[int, int]] = []
+            for x, y in zip(cuts, cuts[1:]):
+                out += [(x, y)] if size(x, y) <= limit else _apart(text, x, y, limit, size)
+            return _merge(out, limit, size)
+    step = 4 * limit
+    return [(x, min(x + step, b)) for x in range(a, b, step)]
 
 
 def _merge(parts: list[tuple[int, int]], limit: int, size: _Measure) -> list[tuple[int, int]]:
-    """Joins neighbours that fit together, as the leftovers of different subtrees may."""
+    """Joins neighbours, from the left, while they fit together."""
     out: list[tuple[int, int]] = []
     for p in parts:
         if out and size(out[-1][0], p[1]) <= limit:
@@ -153,6 +194,31 @@ def _merge(parts: list[tuple[int, int]], limit: int, size: _Measure) -> list[tup
     return out
 
 
+def pack(text: str, limit: int, size: _Measure) -> list[tuple[int, int]]:
+    """Consecutive ranges of at most ``limit`` tokens that add up to the text.
+
+    A node that fits is one range.  Of one that does not, the parts are packed first and
+    the ranges that come of them are merged with their neighbours.
+    """
+    root = tree(text)
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    done: list[list[tuple[int, int]]] = []
+    while todo:
+        node, packed = todo.pop()
+        if packed:
+            ranges = [r for part in done[len(done) - len(node.parts):] for r in part]
+            del done[len(done) - len(node.parts):]
+            done.append(_merge(ranges, limit, size))
+        elif size(node.start, node.end) <= limit:
+            done.append([(node.start, node.end)])
+        elif not node.parts:
+            done.append(_apart(text, node.start, node.end, limit, size))
+        else:
+            todo.append((node, True))
+            todo += [(p, False) for p in reversed(node.parts)]
+    return done[0]
+
+
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """(start with overlap, start, end) of each piece of a text, in code points."""
     if not 0 <= overlap < limit:
@@ -161,7 +227,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     out: list[tuple[int, int, int]] = []
     lines = [0, *(m.end() for m in re.finditer("\n", text))]
     # one token for a word that the overlap's cut halves
-    for a, b in _pack(text, 0, len(text), 0, max(1, limit - overlap - (overlap > 0)), size):
+    for a, b in pack(text, max(1, limit - overlap - (overlap > 0)), size):
         begin = a
         if out and overlap:
             least = out[-1][1]

@@ -11,7 +11,8 @@ from collections import Counter
 import pandas as pd
 import pytest
 
-from leanspan.llm import credentials, docpairs, encoding, provenance
+from leanspan.functions.tokens import estimate_py
+from leanspan.llm import credentials, docpairs, encoding, provenance, splitting
 from leanspan.llm.languages import language
 from leanspan.llm.parsecheck import parses
 
@@ -264,3 +265,52 @@ def test_texts_garbled_more_often_than_a_state_knows():
     assert encoding.restore("Die Gr&amp;Atilde;&amp;para;&amp;Atilde;&amp;#376;e")[3] == "Die Größe"
     # what stays on the line could have been anything
     assert not encoding.restore("ItÕs Ñ ĀĒ")[2]
+
+
+# --- 5 -----------------------------------------------------------------------
+def _adds_up(node):
+    if node.parts:
+        assert node.parts[0].start == node.start and node.parts[-1].end == node.end
+        assert all(a.end == b.start for a, b in zip(node.parts, node.parts[1:]))
+        for p in node.parts:
+            _adds_up(p)
+
+
+def _holder(node, at, limit, size):
+    """The outermost subtree that fits the limit and has the place inside it, if any."""
+    while node and size(node.start, node.end) > limit:
+        node = next((p for p in node.parts if p.start < at < p.end), None)
+    return node
+
+
+def test_trees_follow_headings_indents_fences_and_blank_lines():
+    text = "# a\nx\n## b\ny\n\nz\n# c\n```\n# no heading\n\nq\n```\ndef f():\n    if x:\n        y\n    z\n}\n"
+    root = splitting.tree(text)
+    _adds_up(root)
+    cut = lambda n: [text[p.start: p.end] for p in n.parts]
+    assert cut(root) == [text[: text.index("# c")], text[text.index("# c"):]]
+    first, second = root.parts
+    assert cut(first) == ["# a\n", "x\n", "## b\ny\n\nz\n"]
+    assert any(x.startswith("```\n# no heading") and x.endswith("```\n") for x in cut(second))
+    assert any(x.startswith("def f") and x.endswith("}\n") for x in cut(second))
+
+
+def test_no_cut_inside_a_subtree_that_fits(data):
+    """Brute force over the oversized chunks, and over random texts with small limits."""
+    rng = random.Random(1)
+    made = ["".join(rng.choice(["\n", "\n", "  ", "- ", "# h", "## a", "}", "{", "word ", "a.b ", "```", "\t", "x" * rng.randrange(30), "é. ", "\r\n", " "]) for _ in range(rng.randrange(80))) for _ in range(1500)]
+    chunks = pd.read_parquet(data.replace("sf0.001", "sf0.01") + "/chunks.parquet")["content"]
+    texts = [(x, rng.randrange(2, 30), None) for x in made] + [(x, splitting.LIMIT, splitting.OVERLAP) for x in chunks if (estimate_py(x) or 0) > splitting.LIMIT]
+    cuts = at_lines = 0
+    for text, limit, overlap in texts:
+        overlap = rng.randrange(limit) if overlap is None else overlap
+        got = splitting.split_text(text, limit, overlap)
+        assert "".join(text[a:b] for _, a, b in got) == text and all(estimate_py(text[s:b]) <= limit for s, _, b in got)
+        root, size, room = splitting.tree(text), splitting._Measure(text), max(1, limit - overlap - (overlap > 0))
+        _adds_up(root)
+        assert all(_holder(root, a, room, size) is None for _, a, _ in got[1:])
+        if limit == splitting.LIMIT:
+            longest = max(map(len, text.split("\n")))
+            cuts += len(got) - 1 if longest < limit else 0
+            at_lines += sum(text[a - 1] == "\n" for _, a, _ in got[1:]) if longest < limit else 0
+    assert cuts and at_lines == cuts  # texts of ordinary lines are cut between lines
