@@ -247,7 +247,10 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     The size test runs in the JVM and only oversized rows reach Python; duplicates are
     removed among those alone.
     """
-    over = chunks.filter(F.col("id").isNotNull() & (estimate("content") > limit)).select("id", "file_id", "content", "start_line", "start_byte").dropDuplicates(["id"])
+    n = F.length("content")
+    # a quarter of the code points alone decides above 4 x limit; words, of two code points each at least, cannot reach the limit below 2 x limit
+    large = F.when(n > 4 * limit, F.lit(True)).when(n <= 2 * limit, F.lit(False)).otherwise(estimate("content") > limit)
+    over = chunks.filter(F.col("id").isNotNull() & large).select("id", "file_id", "content", "start_line", "start_byte").dropDuplicates(["id"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
