@@ -459,6 +459,16 @@ def symbols_extracted(spark: SparkSession, d: str) -> DataFrame:
     return Y.extract_symbols(table(spark, d, "files"))
 
 
+@query(f"select f.language, count(*) as recorded, count(*) as found from (select distinct file_id, name, kind, start_byte from {_SYMBOLS}) s join files f on f.id = s.file_id group by 1")
+def symbols_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Of the symbols that the index records, those that extraction finds at the same byte with the same name and kind: all of them."""
+    key = ["file_id", "name", "kind", "start_byte"]
+    s = table(spark, d, "symbols").select(*key).distinct()
+    found = Y.extract_symbols(table(spark, d, "files")).select(*key).distinct().withColumn("found", F.lit(1))
+    f = table(spark, d, "files").select(F.col("id").alias("file_id"), "language")
+    return s.join(found, key, "left").join(f, "file_id").groupBy("language").agg(F.count("*").alias("recorded"), F.count("found").alias("found"))
+
+
 @query("with l as (select id as file_id, unnest(string_split(content, chr(10))) as text from files where content is not null), c as (select file_id, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) as name from l) select name, count(*) as calls, count(distinct file_id) as files from c where name not in (" + ", ".join(f"'{x}'" for x in sorted(Y._CONTROL)) + ") group by 1")
 def reference_counts(spark: SparkSession, d: str) -> DataFrame:
     return Y.references(table(spark, d, "files")).groupBy("name").agg(F.count("*").alias("calls"), F.countDistinct("file_id").alias("files"))
@@ -481,7 +491,7 @@ _ASKED = ["run", "no_such_symbol", "PathStore.run"]
 
 
 @query(
-    f"""with n(wanted) as (values {', '.join(f"('{x}')" for x in _ASKED)}), m as (select wanted, s.id from n left join {_SYMBOLS} s on s.name = regexp_extract(wanted, '([^.]+)$', 1) and (not contains(wanted, '.') or s.parent = regexp_replace(wanted, '\.[^.]+$', '')))
+    f"""with n(wanted) as (values {', '.join(f"('{x}')" for x in _ASKED)}), m as (select wanted, s.id from n left join {_SYMBOLS} s on s.name = regexp_extract(wanted, '([^.]+)$', 1) and (not contains(wanted, '.') or s.parent = regexp_replace(wanted, '[.][^.]+$', '')))
 select wanted as name, case count(id) when 0 then 'not_found' when 1 then 'unique' else 'ambiguous' end as status, case when count(id) = 1 then min(id) end as symbol_id from m group by 1"""
 )
 def symbol_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -493,7 +503,7 @@ def eligibility(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "files").select("id", V.eligibility("path", "content_hash", include=["**/{src,lib}/**"], exclude=EXCLUDED).alias("status"))
 
 
-@query("with r as (select id as file_id, least(70, n) as a, least(95, n) as b, content from (select *, len(string_split(content, chr(10))) - cast(content like '%' || chr(10) as int) as n from files) where n >= 70 and repository = 'atlas-monorepo') select file_id as request_id, a as first, b as last, md5(regexp_replace(array_to_string(string_split(content, chr(10))[a:b], chr(10)), chr(10) || '$', '')) as digest from r")
+@query("with r as (select id as file_id, least(70, n) as a, least(95, n) as b, content from (select *, len(string_split(content, chr(10))) - cast(content like '%' || chr(10) as int) as n from files) where n >= 70) select file_id as request_id, a as first, b as last, md5(array_to_string(string_split(content, chr(10))[a:b], chr(10))) as digest from r")
 def stored_excerpts(spark: SparkSession, d: str) -> DataFrame:
     """Lines 70 to 95 of all long files, put together from their chunks."""
     f = table(spark, d, "files").select(F.col("id").alias("file_id"), T.line_count("content").alias("n")).filter("n >= 70")
