@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +49,35 @@ def unique_key_join(left: DataFrame, right: DataFrame, keys: list[str], value: s
 
 
 def simhash(tokens: Column) -> Column:
-    """64-bit signature of an array of tokens, by sign of the votes of each bit of md5; null below three tokens.
+    """64-bit signature of an array of tokens, by sign of the votes of each bit of md5; null below three tokens of three bytes.
 
-    Equal tokens vote as often as they occur; one JVM expression, one pass over the tokens.
+    Equal tokens vote as often as they occur.  The votes of a text are one matrix
+    operation in Arrow batches; hashes of tokens are kept by each worker.
     """
-    long_enough = F.filter(tokens, lambda t: F.octet_length(t) >= 3)
-    numbers = F.transform(long_enough, lambda t: F.conv(F.substring(F.md5(t), 1, 16), 16, -10).cast("long"))
-    bits = F.sequence(F.lit(0), F.lit(63))
-    votes = F.aggregate(numbers, F.array_repeat(F.lit(0), 64), lambda acc, n: F.zip_with(acc, bits, lambda v, b: v + F.getbit(n, b).cast("int") * 2 - 1))
-    word = F.aggregate(F.zip_with(votes, bits, lambda v, b: F.when(v >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
-    return F.when(F.size(long_enough) >= 3, word)
+
+    @F.pandas_udf("long")
+    def signature(joined: pd.Series) -> pd.Series:
+        known: dict[str, bytes] = {}
+        out: list[int | None] = []
+        for text in joined:
+            rows = []
+            for t in text.split("\x00") if text else ():
+                h = known.get(t)
+                if h is None:
+                    data = t.encode("utf-8", "surrogatepass")
+                    h = known[t] = hashlib.md5(data).digest()[:8] if len(data) >= 3 else b""
+                rows.append(h)
+            if len(known) > 500_000:
+                known.clear()
+            bits = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, 8)
+            if len(bits) < 3:
+                out.append(None)
+                continue
+            votes = np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+            out.append(int(np.packbits(2 * votes >= len(bits)).view(">i8")[0]))
+        return pd.Series(out, dtype="Int64")
+
+    return signature(F.array_join(tokens, "\x00"))
 
 
 #: Two 64-bit words within 8 bits agree up to two bits in one of these blocks.
@@ -82,14 +105,17 @@ def near_signatures(df: DataFrame, signature: str, distance: int = 8, within: li
 
     keys = s.select(*of, "s", F.explode(F.concat(*[offer(n, at, width) for n, (at, width) in enumerate(BLOCKS)])).alias("k"))
     x, y = keys.select(*of, "k", F.col("s").alias("left")), keys.select(*of, "k", F.col("s").alias("right"))
-    hit = x.join(y, [*of, "k"]).filter((F.col("left") < F.col("right")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
+    # both sides grow with the data and are the same exchange, so neither may be broadcast
+    hit = x.join(y.hint("merge"), [*of, "k"]).filter((F.col("left") < F.col("right")) & (F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= distance))
     return hit.select(*of, "left", "right").distinct()
 
 
 def near_duplicate_classes(df: DataFrame, key: str, signature: str, distance: int = 8) -> DataFrame:
-    """One row for each item: its class (the signature), the class's size, and its number of near classes."""
-    pairs = near_signatures(df, signature, distance)
-    links = pairs.select(F.col("left").alias("class")).unionByName(pairs.select(F.col("right").alias("class"))).groupBy("class").agg(F.count("*").alias("near_classes"))
+    """One row for each item: its class (the signature), the class's size, and its number of near classes.
+
+    Items are reduced to their classes first; pairs are made of classes only and counted at both ends in one pass.
+    """
     items = df.select(key, F.col(signature).alias("class"))
-    sizes = items.filter("class is not null").groupBy("class").agg(F.count("*").alias("members")).join(links, "class", "left")
-    return items.join(sizes, "class", "left").select(key, "class", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("near_classes", F.lit(0)).alias("near_classes"))
+    sizes = items.filter("class is not null").groupBy("class").agg(F.count("*").alias("members"))
+    links = near_signatures(sizes, "class", distance).select(F.explode(F.array("left", "right")).alias("class")).groupBy("class").agg(F.count("*").alias("near_classes"))
+    return items.join(sizes.join(links, "class", "left"), "class", "left").select(key, "class", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("near_classes", F.lit(0)).alias("near_classes"))

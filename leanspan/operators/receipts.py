@@ -34,7 +34,8 @@ def decisions(requests: DataFrame) -> DataFrame:
         return out.select("session", "position", known.otherwise("return").alias("decision"))
     signed = r.filter("signature is not null").groupBy("session", "signature").agg(F.min("position").alias("at"))
     pairs = near_signatures(signed, "signature", NEAR_BITS, ["session"])
-    both = pairs.select("session", F.col("left").alias("signature"), F.col("right").alias("other")).unionByName(pairs.select("session", F.col("right").alias("signature"), F.col("left").alias("other")))
+    ends = F.explode(F.array(F.struct(F.col("left").alias("signature"), F.col("right").alias("other")), F.struct(F.col("right").alias("signature"), F.col("left").alias("other"))))
+    both = pairs.select("session", ends.alias("e")).select("session", "e.signature", "e.other")
     near = both.join(signed.select("session", F.col("signature").alias("other"), "at"), ["session", "other"]).select("session", "signature", "at").unionByName(signed).groupBy("session", "signature").agg(F.min("at").alias("near_position"))
     return out.join(near, ["session", "signature"], "left").select("session", "position", known.when(F.col("near_position") < F.col("position"), "near_duplicate").otherwise("return").alias("decision"))
 

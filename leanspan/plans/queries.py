@@ -304,7 +304,18 @@ def owner_tests(spark: SparkSession, d: str) -> DataFrame:
     return X.owner_tests(table(spark, d, "files"))
 
 
-@query(None)
+_SIGNED = f"""with t as (select doc_id, unnest(list_filter({_terms('text')}, lambda x: strlen(x) >= 3)) as term from documents), h as (select doc_id, md5(term) as m from t), n as (select doc_id, count(*) as n from h group by 1),
+v as (select doc_id, w, b, sum(case when (('0x' || substr(m, 4 * w + 1, 4))::int >> b) & 1 = 1 then 1 else -1 end) as v from h, range(4) r(w), range(16) q(b) group by 1, 2, 3),
+s as (select doc_id, w, sum(case when v >= 0 then 1 << b else 0 end)::bigint as x from v group by 1, 2),
+signed as (select d.doc_id, case when n >= 3 then (select ('0x' || string_agg(printf('%04x', x), '' order by w))::ubigint from s where s.doc_id = d.doc_id) end as u from documents d left join n on n.doc_id = d.doc_id)"""
+
+
+@query(
+    _SIGNED
+    + """, classes as (select u, count(*) as members from signed where u is not null group by 1),
+links as (select a.u, count(*) as near from classes a join classes b on a.u <> b.u and bit_count(xor(a.u, b.u)) <= 8 group by 1)
+select doc_id, cast(case when s.u >= 9223372036854775808 then s.u::hugeint - 18446744073709551616 else s.u end as bigint) as "class", coalesce(members, 1) as members, coalesce(near, 0) as near_classes from signed s left join classes c on c.u = s.u left join links l on l.u = s.u"""
+)
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", J.simhash(T.token_terms("text")).alias("signature"))
     return J.near_duplicate_classes(docs, "doc_id", "signature")

@@ -1,8 +1,11 @@
-"""Versioned tables: write a generation beside the last, then swing one manifest.
-
-A generation is a directory of Parquet tables; the manifest names the current one.  A
-publication checks the generation it was based on, writes the next under a temporary
-name and renames the manifest in one step, so readers see the old or the new whole.
+"""Versioned tables: write a generation under a name of its own, then claim its number.
+
+A generation is a set of Parquet tables and a manifest that names them.  A publication
+checks the generation that it was based on, writes its tables into a folder that nobody
+else writes to, and renames its manifest, whole, to the manifest of the next number.
+That rename does not replace: of two writers with the same base one gets the number and
+the other StaleBaseline, and neither touches what the other or any earlier generation
+wrote.  A writer that dies leaves a folder that no manifest names and blocks nobody.
 Publishing what is already there keeps the generation.  All paths go through Hadoop's
 file system, so a shared store works as well as a local folder.
 """
@@ -10,7 +13,10 @@ file system, so a shared store works as well as a local folder.
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,18 +33,20 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def manifest(spark: SparkSession, root: str) -> dict:
-    """generation (0 if none), tables and digests."""
+def manifest(spark: SparkSession, root: str, generation: int | None = None) -> dict:
+    """generation (0 if none), tables with their folders, and digests of the current (or a given) generation."""
     fs, path = _fs(spark, root)
-    p = path(f"{root}/manifest.json")
-    if not fs.exists(p):
-        return {"generation": 0, "tables": [], "digests": {}}
-    return json.loads("\n".join(r["value"] for r in spark.read.text(f"{root}/manifest.json").collect()))
+    if generation is None:
+        names = [x.getPath().getName() for x in fs.listStatus(path(root))] if fs.exists(path(root)) else []
+        generation = max((int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n))), default=0)
+    if not generation:
+        return {"generation": 0, "tables": {}, "digests": {}}
+    return json.loads("\n".join(r["value"] for r in spark.read.text(f"{root}/manifest-{generation}.json").collect()))
 
 
 def read(spark: SparkSession, root: str, name: str, generation: int | None = None) -> DataFrame:
     """A table of the current (or a given) generation, pinned when called."""
-    return spark.read.parquet(f"{root}/gen={generation or manifest(spark, root)['generation']}/{name}")
+    return spark.read.parquet(f"{root}/{manifest(spark, root, generation)['tables'][name]}")
 
 
 def table_digest(df: DataFrame) -> str:
@@ -57,24 +65,23 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], baseli
     digests = {n: table_digest(df) for n, df in tables.items()}
     if digests == now["digests"]:
         return baseline, False
-    fs, path = _fs(spark, root)
-    generation = baseline + 1
+    generation, own = baseline + 1, f"tables-{uuid.uuid4().hex}"
     for n, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/gen={generation}/{n}")
-    text = json.dumps({"generation": generation, "tables": sorted(tables), "digests": digests}, sort_keys=True)
-    # the claim of this generation can be created once only
-    claim = path(f"{root}/claim={generation}")
-    if not fs.createNewFile(claim):
-        raise StaleBaseline(f"generation {generation} is being published")
-    out = fs.create(path(f"{root}/manifest.next"), True)
+        df.write.mode("errorifexists").parquet(f"{root}/{own}/{n}")
+    text = json.dumps({"generation": generation, "tables": {n: f"{own}/{n}" for n in sorted(tables)}, "digests": digests}, sort_keys=True)
+    fs, path = _fs(spark, root)
+    staged = path(f"{root}/{own}/manifest.json")
+    out = fs.create(staged, False)
     out.write(bytearray(text.encode()))
     out.close()
-    # one step, replacing what is there
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    mode = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    modes = gateway.new_array(mode, 1)
-    modes[0] = mode.OVERWRITE
-    target = fs.makeQualified(path(f"{root}/manifest.json"))
+    target = fs.makeQualified(path(f"{root}/manifest-{generation}.json"))
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(fs.makeQualified(path(f"{root}/manifest.next")), target, modes)
+    try:
+        # without OVERWRITE this fails when somebody has the number already
+        context.rename(fs.makeQualified(staged), target, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e):
+            raise
+        raise StaleBaseline(f"generation {generation} was published meanwhile") from e
     return generation, True

@@ -179,6 +179,23 @@ def test_generations(spark, tmp_path):
     assert pinned.count() == 5 and generation.read(spark, root, "t").count() == 6
 
 
+def test_two_writers_with_one_base(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/g"
+    generation.publish(spark, root, {"t": spark.range(3)}, 0)
+    before = generation.manifest(spark, root)
+    assert generation.publish(spark, root, {"t": spark.range(4)}, 1) == (2, True)
+    # a second writer that read the manifest before the first one published
+    monkeypatch.setattr(generation, "manifest", lambda *a: before)
+    with pytest.raises(generation.StaleBaseline):
+        generation.publish(spark, root, {"t": spark.range(5)}, 1)
+    monkeypatch.undo()
+    assert generation.manifest(spark, root)["generation"] == 2
+    assert [generation.read(spark, root, "t", g).count() for g in (1, 2)] == [3, 4]
+    # a writer that died before the rename blocks nobody
+    spark.range(9).write.parquet(f"{root}/tables-dead/t")
+    assert generation.publish(spark, root, {"t": spark.range(6)}, 2) == (3, True)
+
+
 def test_discovery(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "node_modules").mkdir()
