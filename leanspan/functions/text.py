@@ -16,9 +16,9 @@ EXTENSION_LANGUAGES = {
 # Languages whose files count as production code.
 PROGRAMMING = ("c", "csharp", "cpp", "java", "rust", "python", "php", "ruby", "javascript", "typescript", "tsx", "go", "html", "css")
 # Patterns of the path classes, matched on lower-case paths in this order.
-AUXILIARY_PATH = r"^\.agents/|^fixtures/|/fixtures/|(^|/)testdata(/|$)|^benchmarks/reports/|/snapshots/|\.snap$|/requests/|/schema/"
+AUXILIARY_PATH = r"^fixtures/|/fixtures/|(^|/)testdata(/|$)|/snapshots/|\.snap$|/requests/|/schema/"
 TEST_PATH = (
-    r"(^|/)conftest\.py$|^tests?/|^spec/|/tests?/|/spec/|/test-suite/|(^|/)__tests__(/|$)|(^|/)test_[^/]*(/|$)|\.(test|spec)(-d)?(\.[^./]*)?$"
+    r"(^|/)conftest\.py$|^tests?/|^spec/|/tests?/|/spec/|(^|/)__tests__(/|$)|(^|/)test_[^/]*(/|$)|\.(test|spec)(-d)?(\.[^./]*)?$"
     r"|(^|/)tests?(\.[^/]*)?$|_spec\.rb$|\.spec\.rb$|(^|/)[^/.]*_tests?(\.[^/]*)?$"
 )
 SUPPORTING_PATH = r"(^|/)docs/|(^|/)examples?/|(^|/)benches/|(^|/)benchmarks/|^scripts/|^tools/"
@@ -50,7 +50,7 @@ def language_of(path: Column | str) -> Column:
 def path_class(path: Column | str) -> Column:
     """production, test, auxiliary or supporting."""
     p = F.lower(_col(path))
-    root_markdown = ~p.contains("/") & p.rlike(r"\.mdx?$") & ~p.isin("readme.md", "agents.md", "contributing.md")
+    root_markdown = ~p.contains("/") & p.rlike(r"\.mdx?$") & ~p.isin("readme.md", "contributing.md")
     csharp_project = language_of(path).isin("java", "csharp") & (_col(path).rlike(CLASS_TEST_PATH) | p.rlike(r"\.tests(/|$)"))
     return (
         F.when(p.rlike(AUXILIARY_PATH) | root_markdown, "auxiliary").when(csharp_project | p.rlike(TEST_PATH), "test").when(p.rlike(SUPPORTING_PATH), "supporting")

@@ -186,15 +186,15 @@ class Packer:
                 self.first_path.setdefault(c, x.path)
 
     def _owner(self, pool: list[Item], cls: str) -> Item | None:
+        """The item that the change is most likely in: named exactly, or else of the leading view the one that meets most of what the change names."""
+        named = lambda x: x.facet_values("primary_change")
         fitting = [x for x in pool if x.cls == cls and self.fits(x) and x.has("primary_change")]
-        exact = next((x for x in fitting if x.exact_atom), None)
-        if exact or not fitting:
-            return exact
-        specific = [x for x in fitting if x.facet_values("primary_change")]
-        group = specific or fitting
-        base = group[0]
-        same = [x for x in group if x.view == base.view and base.facet_values("primary_change") <= x.facet_values("primary_change")]
-        return max(enumerate(same), key=lambda e: (len(e[1].facet_values("primary_change")), -e[0]))[1] if same else base
+        if not fitting:
+            return None
+        lead = min(fitting, key=lambda x: (not x.exact_atom, not named(x)))
+        if lead.exact_atom:
+            return lead
+        return max((x for x in fitting if x.view == lead.view and named(lead) <= named(x)), key=lambda x: len(named(x)))
 
     def run(self, items: list[Item]) -> tuple[list[Item], list[Item]]:
         pool = sorted(items, key=lambda x: x.utility)

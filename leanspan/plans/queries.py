@@ -67,7 +67,7 @@ def _path_class(c: str) -> str:
     low = f"lower({c})"
     prog = ", ".join(f"'{x}'" for x in T.PROGRAMMING)
     return (
-        f"case when regexp_matches({low}, '{T.AUXILIARY_PATH}') or (not contains({low}, '/') and regexp_matches({low}, '\\.mdx?$') and {low} not in ('readme.md', 'agents.md', 'contributing.md')) then 'auxiliary' "
+        f"case when regexp_matches({low}, '{T.AUXILIARY_PATH}') or (not contains({low}, '/') and regexp_matches({low}, '\\.mdx?$') and {low} not in ('readme.md', 'contributing.md')) then 'auxiliary' "
         f"when (({_language(c)}) in ('java', 'csharp') and (regexp_matches({c}, '{T.CLASS_TEST_PATH}') or regexp_matches({low}, '\\.tests(/|$)'))) or regexp_matches({low}, '{T.TEST_PATH}') then 'test' "
         f"when regexp_matches({low}, '{T.SUPPORTING_PATH}') then 'supporting' when ({_language(c)}) in ({prog}) then 'production' else 'supporting' end"
     )
