@@ -109,6 +109,8 @@ _IMPORTS = {
     "go": r"(?m)^(?:import[ \t]+|[ \t]+)(?:[\w.]+[ \t]+)?\"([\w./\-]+)\"[ \t]*\r?$",
     "java": r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+)(?:\.\*)?[ \t]*;",
     "cpp": r"(?m)^[ \t]*#[ \t]*include[ \t]*[\"<]([^\">\n]+)[\">]",
+    "html": r"(?i)<(?:script|link|img)\b[^>]*?\b(?:src|href)=[\"']([^\"'>]+)[\"']",
+    "latex": r"\\(?:input|include|subfile)\{([^}]+)\}",
 }
 _IMPORTS["typescript"] = _IMPORTS["tsx"] = _IMPORTS["javascript"]
 
@@ -121,11 +123,15 @@ def raw_imports(files: DataFrame) -> DataFrame:
         pattern = F.when(lang == name, F.lit(p.replace("(?m)", ""))).otherwise(pattern)
     lines = files.filter(lang.isin(*_IMPORTS) & F.col("content").isNotNull()).select(F.col("id").alias("file_id"), "path", lang.alias("language"), pattern.alias("pattern"), F.posexplode(F.split("content", "\n")).alias("at", "text"))
     # the line must look like an import before the regular expression runs
-    likely = lines.filter(F.col("text").rlike(r"import|from|require|use |mod |include|^\s+\"|export"))
+    likely = lines.filter(F.col("text").rlike(r"import|from|require|use |mod |include|^\s+[\w.]*\s*\"|export|src=|href=|\\input|\\subfile"))
     hit = likely.filter(F.expr("text rlike pattern")).withColumn("groups", F.expr("coalesce(nullif(regexp_extract(text, pattern, 1), ''), case when language in ('python', 'javascript', 'typescript', 'tsx', 'rust') then regexp_extract(text, pattern, 2) end)"))
     return hit.filter(F.coalesce("groups", F.lit("")) != "").select("file_id", "path", "language", F.col("groups").alias("raw_target"), (F.col("at") + 1).cast("long").alias("line"))
 
 
+# What a compiler of TypeScript puts in the place of a written extension, in this order.
+_SUBSTITUTES = {"": ["ts", "tsx", "d.ts", "js", "jsx"], "js": ["ts", "tsx", "d.ts", "js", "jsx"], "jsx": ["tsx", "d.ts", "jsx"], "mjs": ["mts", "d.mts", "mjs"], "cjs": ["cts", "d.cts", "cjs"]}
+
+
 def import_candidates(path: str, target: str, language: str, root_packages: tuple[str, ...] = ()) -> list[str]:
     """Ordered paths that an import may mean, at most MAX_CANDIDATES."""
     here = posixpath.dirname(path)
@@ -142,22 +148,29 @@ def import_candidates(path: str, target: str, language: str, root_packages: tupl
         bases = ["/".join(here.split("/")[: len(here.split("/")) - dots + 1])] if dots else list(dict.fromkeys([here, *_ancestors(here), ""]))
         for base in bases:
             stem = posixpath.join(base, *parts) if parts else base
-            for suffix in ("/__init__.py", ".py", ".pyi"):
+            for suffix in ("/__init__.py", "/__init__.pyi", ".py", ".pyi"):
                 put(stem + suffix)
     elif language in ("javascript", "typescript", "tsx"):
         if target.startswith("."):
             stem = posixpath.join(here, target)
-            known = re.search(r"\.(m|c)?jsx?$", stem)
-            order = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs") if language != "javascript" else ("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts")
-            if known:
-                for e in [known.group()[1:].replace("js", "ts"), known.group()[1:]] if language != "javascript" else [known.group()[1:]]:
-                    put(stem[: known.start()] + "." + e)
+            written = posixpath.splitext(stem)[1][1:]
+            if language == "javascript":
+                ends = [] if written else ["js", "mjs", "cjs", "jsx"]
             else:
-                put(stem) if "." in posixpath.basename(stem) else None
-                for e in order:
-                    put(f"{stem}.{e}")
-                for e in order:
-                    put(f"{stem}/index.{e}")
+                ends = _SUBSTITUTES.get(written, []) if not (written == "" and path.endswith(".mts")) else None
+            if ends == []:
+                put(stem)
+            for e in ends or ():
+                put((posixpath.splitext(stem)[0] if written else stem) + "." + e)
+            for e in (ends or ()) if not written else ():
+                put(f"{stem}/index.{e}")
+    elif language == "html":
+        if target.startswith(".") and "?" not in target and "#" not in target:
+            put(posixpath.join(here, target))
+    elif language == "latex":
+        stem = posixpath.join(here, target)
+        for e in [""] if posixpath.splitext(stem)[1] else [".tex", ".ltx"]:
+            put(stem + e)
     elif language == "rust":
         parts = [x for x in target.split("::") if x]
         base = here if posixpath.basename(path) in ("mod.rs", "lib.rs", "main.rs") else path[:-3]
@@ -190,6 +203,26 @@ def _ancestors(directory: str) -> list[str]:
     return out
 
 
+def go_packages(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """file_id, raw_target, candidates: the source files of the packages that Go imports name, by the innermost module around the importer.
+
+    A module is a folder with a go.mod and the path that it declares.  Importers offer
+    their ancestors, modules meet them by folder, packages meet the files by folder; the
+    files of a folder are cut to MAX_CANDIDATES, first by name, as every import's are.
+    """
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    modules = files.filter(F.col("path").rlike(r"(^|/)go\.mod$") & F.col("content").isNotNull()).select(folder.alias("root"), F.regexp_extract("content", r"(?m)^[ \t]*module[ \t]+\"?([^\s\"]+)", 1).alias("module")).filter("module <> ''").distinct()
+    up = imports.filter("language = 'go'").select("file_id", "raw_target", F.explode(F.array_union(F.array(F.lit("")), parent_directories("path"))).alias("root")).distinct()
+    inside = up.join(modules, "root").filter((F.col("raw_target") == F.col("module")) | F.col("raw_target").startswith(F.concat("module", F.lit("/"))))
+    package = inside.groupBy("file_id", "raw_target").agg(F.max_by(F.struct("root", "module"), F.length("root")).alias("m"))
+    rest = F.expr("substring(raw_target, length(m.module) + 2)")
+    package = package.select("file_id", "raw_target", F.array_join(F.filter(F.array(F.col("m.root"), rest), lambda x: x != ""), "/").alias("folder"))
+    wanted = package.select("folder").distinct()
+    sources = files.filter(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go")).select(folder.alias("folder"), "path").distinct().join(wanted, "folder")
+    first = top_n(sources, ["folder"], [F.asc("path")], MAX_CANDIDATES).groupBy("folder").agg(F.sort_array(F.collect_list("path")).alias("candidates"))
+    return package.join(first, "folder").select("file_id", "raw_target", "candidates")
+
+
 def resolve_imports(files: DataFrame) -> DataFrame:
     """file_id, path, raw_target, line, candidates, resolved_path: the first candidate that exists.
 
@@ -202,12 +235,15 @@ def resolve_imports(files: DataFrame) -> DataFrame:
     def candidates(path: pd.Series, target: pd.Series, language: pd.Series) -> pd.Series:
         return pd.Series([import_candidates(p, t, x) for p, t, x in zip(path, target, language)])
 
-    raw = raw.withColumn("candidates", candidates("path", "raw_target", "language"))
-    known = files.filter(F.col("path").isNotNull()).select(F.col("path").alias("candidate")).distinct()
-    key = ["file_id", "path", "raw_target", "line"]
-    hits = raw.select(*key, F.posexplode("candidates").alias("priority", "candidate")).join(known, "candidate")
-    best = hits.groupBy(*key).agg(F.min_by("candidate", "priority").alias("resolved_path"))
-    return raw.join(best, key, "left").select("file_id", "path", "language", "raw_target", "line", "candidates", "resolved_path")
+    packages = go_packages(files, raw).withColumnRenamed("candidates", "of_package")
+    made = raw.withColumn("candidates", candidates("path", "raw_target", "language")).join(packages, ["file_id", "raw_target"], "left").withColumn("candidates", F.coalesce("of_package", "candidates")).drop("of_package")
+    known = files.filter(F.col("path").isNotNull()).select(F.col("path").alias("candidate"), F.lit(True).alias("there")).distinct()
+    key = ["file_id", "path", "language", "raw_target", "line"]
+    # one pass: every candidate, then all of an import's together with the first that exists
+    each = made.select(*key, F.posexplode_outer("candidates").alias("priority", "candidate")).join(known, "candidate", "left")
+    return each.groupBy(*key).agg(
+        F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("priority", "candidate"))), lambda x: x["candidate"])).alias("candidates"), F.min_by("candidate", F.when(F.col("there"), F.col("priority"))).alias("resolved_path"), F.max(F.coalesce("there", F.lit(False))).alias("found")
+    ).select(*key, "candidates", F.when(F.col("found"), F.col("resolved_path")).alias("resolved_path"))
 
 
 def parents_by_containment(symbols: DataFrame) -> DataFrame:

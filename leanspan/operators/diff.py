@@ -93,15 +93,25 @@ def hunks_of(diffs: DataFrame, text: str = "diff") -> DataFrame:
 
 
 def owner_tests(files: DataFrame) -> DataFrame:
-    """path, test, affinity: production files and the tests that share their stem within a repository (4 in one directory, else 2).
+    """path, test, affinity: production files and the tests of their repository that name them.
 
-    An equality join on repository and stem; stems shorter than four letters pair within a directory only.
+    4: the same stem in the same folder; 2: the same stem elsewhere (of four letters or
+    more); 1: the owner's stem, of three letters or more, stands in the test's as whole
+    words.  Tests offer every run of the words of their stems, so both sides meet by
+    equality of repository and run.
     """
     f = files.filter("path is not null").select("path", F.split("path", "/")[0].alias("repository"), F.regexp_replace("path", r"/[^/]*$", "").alias("directory"), source_stem("path").alias("stem"), path_class("path").alias("class"))
-    owners, tests = f.filter("class = 'production'"), f.filter("class = 'test'").select(F.col("path").alias("test"), "repository", F.col("directory").alias("test_directory"), "stem")
-    j = owners.join(tests, ["repository", "stem"])
-    affinity = F.when(F.col("directory") == F.col("test_directory"), 4).when(F.length("stem") >= 4, 2).otherwise(0)
-    return j.select("path", "test", affinity.alias("affinity")).filter("affinity > 0")
+    owners = f.filter((F.col("class") == "production") & (F.length("stem") > 0))
+    words = F.filter(F.split("stem", r"[_.\-]+"), lambda w: w != "")
+    n = F.size("words")
+    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    runs = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(a, F.greatest(n, F.lit(1))), lambda b: F.array_join(F.slice("words", a, b - a + 1), "_"))))
+    tests = f.filter("class = 'test'").select(F.col("path").alias("test"), "repository", F.col("directory").alias("test_directory"), F.col("stem").alias("test_stem"), words.alias("words"))
+    offers = tests.select("test", "repository", "test_directory", "test_stem", F.explode(F.array_distinct(F.concat(F.array("test_stem"), runs))).alias("key"))
+    j = owners.withColumn("key", F.when(F.col("stem").rlike(r"[_.\-]"), F.regexp_replace("stem", r"[_.\-]+", "_")).otherwise(F.col("stem"))).join(offers, ["repository", "key"])
+    same = F.col("stem") == F.col("test_stem")
+    affinity = F.when(same & (F.col("directory") == F.col("test_directory")), 4).when(same & (F.length("stem") >= 4), 2).when(~same & (F.length("stem") >= 3), 1).otherwise(0)
+    return j.groupBy("path", "test").agg(F.max(affinity).alias("affinity")).filter("affinity > 0")
 
 
 def read_delta(old: str | None, new: str, name: str = "file", context: int = 3) -> tuple[str, str]:
