@@ -11,23 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leanspan.functions.text import token_terms
+from leanspan.sources.index import Index
 
 K1, B = 1.2, 0.75
 
 
-def word_postings(chunks: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    """term, key, tf: counted within each text before anything is shuffled."""
-    words = chunks.select(F.col(key).alias("key"), token_terms(text).alias("words"))
-    return words.select("key", F.explode(F.array_distinct("words")).alias("term"), "words").select("term", "key", F.size(F.filter("words", lambda w: w == F.col("term"))).cast("long").alias("tf"))
-
-
 def term_statistics(chunks: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """term, df, tf over all texts; partial sums are made before the shuffle."""
     words = chunks.select(F.col(key).alias("key"), F.explode(token_terms(text)).alias("term"))
     return words.groupBy("term", "key").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, key: str = "id", text: str = "content", k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(chunks: DataFrame | Index, queries: DataFrame, key: str = "id", text: str = "content", k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, key, score, position: the k best texts of each query (query_id, terms array).
 
     Only the terms of the queries are counted: texts are reduced to their length and
@@ -35,10 +30,14 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "id", text: str = "co
     Queries are request parameters, broadcast only because the caller passes them in.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    terms = F.broadcast(wanted.select("term").distinct())
-    docs = chunks.select(F.col(key).alias("key"), token_terms(text).alias("words")).withColumn("length", F.size("words"))
-    size = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    tf = docs.select("key", "length", F.explode("words").alias("term")).join(terms, "term").groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    if isinstance(chunks, Index):
+        # the index holds counts and lengths: only the postings of the queries' terms are read
+        tf, size = chunks.postings([r["term"] for r in wanted.select("term").distinct().collect()]), chunks.sizes
+    else:
+        docs = chunks.select(F.col(key).alias("key"), token_terms(text).alias("words")).withColumn("length", F.size("words"))
+        size = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+        terms = F.broadcast(wanted.select("term").distinct())
+        tf = docs.select("key", "length", F.explode("words").alias("term")).join(terms, "term").groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     # df has at most one row a query term
     weighted = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(size)).withColumn("w", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean"))))
@@ -103,24 +102,32 @@ def prefilter(text: Column, pattern: str, case_sensitive: bool = True) -> Column
     return out
 
 
-def regex_search(chunks: DataFrame, pattern: str, case_sensitive: bool = True, use_prefilter: bool = True, text: str = "content") -> DataFrame:
+def regex_search(chunks: DataFrame | Index, pattern: str, case_sensitive: bool = True, use_prefilter: bool = True, text: str = "content") -> DataFrame:
     """Texts that match; the literal condition runs before the expression and is always verified."""
     c = F.col(text)
+    if isinstance(chunks, Index):
+        plan = required_literals(pattern, case_sensitive)
+        chunks = chunks.fetch(chunks.matching(plan) if plan else None)
     hit = chunks.filter(prefilter(c, pattern, case_sensitive)) if use_prefilter else chunks
     return hit.filter(c.rlike(pattern if case_sensitive else f"(?i){pattern}"))
 
 
-def substring_search(chunks: DataFrame, needle: str, case_sensitive: bool = False, text: str = "content") -> DataFrame:
+def substring_search(chunks: DataFrame | Index, needle: str, case_sensitive: bool = False, text: str = "content") -> DataFrame:
     """Texts that hold the needle; fewer than three characters match nothing, as with a trigram index."""
+    if isinstance(chunks, Index):
+        chunks = chunks.fetch(chunks.holding(needle)) if len(needle) >= 3 else chunks.texts
     if len(needle) < 3:
         return chunks.limit(0)
     c = F.col(text)
     return chunks.filter(c.contains(needle) if case_sensitive else F.lower(c).contains(needle.lower()))
 
 
-def phrase_search(chunks: DataFrame, phrase: str, text: str = "content") -> DataFrame:
+def phrase_search(chunks: DataFrame | Index, phrase: str, text: str = "content") -> DataFrame:
     """Texts that hold the words of the phrase one after another."""
     words = [w for w in re.split(r"[^\w]+", phrase.lower()) if w]
+    if isinstance(chunks, Index):
+        held = chunks.postings(sorted(set(words))).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") == len(set(words))).select("key")
+        chunks = chunks.fetch(held)
     if not words:
         return chunks.limit(0)
     joined = F.concat(F.lit(" "), F.array_join(token_terms(text), " "), F.lit(" "))

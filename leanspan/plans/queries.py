@@ -17,8 +17,10 @@ from leanspan.operators import jsonops as S
 from leanspan.operators import ranking as K
 from leanspan.operators import receipts as P
 from leanspan.operators import retrieval as R
+from leanspan.operators import search as H
 from leanspan.operators import serving as V
 from leanspan.operators import symbols as Y
+from leanspan.sources import index as N
 from leanspan.sources.discovery import page_after, read_lines
 from leanspan.sources.tables import table
 from leanspan.streaming import changes as C
@@ -348,22 +350,22 @@ select query_id, id as "key", score, position from (select *, row_number() over
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     q = spark.createDataFrame(SEARCHES, "query_id string, terms array<string>")
-    return R.bm25(_distinct(spark, d, "chunks"), q).select("query_id", "key", "score", "position")
+    return R.bm25(N.index_of(spark, d), q).select("query_id", "key", "score", "position")
 
 
 @query(f"select id, file_id from {_CHUNKS} where contains(lower(content), 'falls back to a full scan')")
 def substring_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.substring_search(_distinct(spark, d, "chunks"), "Falls back to a FULL scan").select("id", "file_id")
+    return R.substring_search(N.index_of(spark, d), "Falls back to a FULL scan").select("id", "file_id")
 
 
 @query(f"select id from {_CHUNKS} where contains(' ' || array_to_string({_terms('content')}, ' ') || ' ', ' holds fewer than ')")
 def phrase_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.phrase_search(_distinct(spark, d, "chunks"), "holds fewer than").select("id")
+    return R.phrase_search(N.index_of(spark, d), "holds fewer than").select("id")
 
 
 @query(f"select id, file_id from {_CHUNKS} where regexp_matches(content, '(?i){PATTERN}')")
 def regex_search(spark: SparkSession, d: str) -> DataFrame:
-    return R.regex_search(_distinct(spark, d, "chunks"), PATTERN, case_sensitive=False).select("id", "file_id")
+    return R.regex_search(N.index_of(spark, d), PATTERN, case_sensitive=False).select("id", "file_id")
 
 
 @query(f"select file_id, count(*) as matches from (select file_id, unnest(regexp_extract_all(content, '[Cc]omputes how many [a-z]+')) from {_CHUNKS}) group by 1")
@@ -416,6 +418,61 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return R.fusion(ranked).select("path", "keys", F.round("boost", 6).alias("boost"))
 
 
+@query(f"select count(distinct id) as texts, cast((select count(*) from (select distinct id, unnest({_terms('content')}) as term from {_CHUNKS})) as bigint) as postings, cast((select count(*) from (select distinct id, unnest(list_transform(range(1, length(lower(content)) - 1), lambda i: substring(lower(content), i, 3))) as g from {_CHUNKS})) as bigint) as gram_postings from chunks")
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index, built if need be, and what it holds."""
+    x = N.index_of(spark, d)
+    return x.texts.agg(F.count("*").alias("texts")).crossJoin(x.words.agg(F.count("*").alias("postings"))).crossJoin(x.grams.agg(F.sum(F.size("keys")).cast("long").alias("gram_postings")))
+
+
+@query(f"with t as (select term, id as key, count(*) as tf, any_value(n) as length from (select id, unnest({_terms('content')}) as term, len({_terms('content')}) as n from {_CHUNKS}) where term in ('cursor', 'ledger', 'overflow') group by 1, 2) select * from t")
+def index_postings(spark: SparkSession, d: str) -> DataFrame:
+    return N.index_of(spark, d).postings(["cursor", "ledger", "overflow"]).select("term", "key", "tf", "length")
+
+
+def _search(spark: SparkSession, d: str, text: str, mode: str, **more) -> DataFrame:
+    refs = Y.references(table(spark, d, "files")) if H.route(text, mode)[0] in ("identifier", "reference") else None
+    return H.search(N.index_of(spark, d), table(spark, d, "symbols"), table(spark, d, "files"), text, mode, references=refs, **more)
+
+
+_TEXT_HITS = "select f.path, c.start_line + len(string_split(b, chr(10))) - 1 as start_line, 'text' as kind, round(3 + n / (n + 3.0), 6) as score from (select *, {before} as b, {count} as n from " + _CHUNKS + ") c join files f on f.id = c.file_id where n > 0"
+
+
+@query(_TEXT_HITS.format(before="substr(content, 1, instr(lower(content), 'full scan') - 1)", count="len(string_split(lower(content), 'full scan')) - 1"))
+def search_text(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, "full SCAN", "text").select("path", "start_line", "kind", F.round("score", 6).alias("score"))
+
+
+@query(_TEXT_HITS.format(before="string_split_regex(content, '[Cc]omputes how many [a-z]+')[1]", count="len(regexp_extract_all(content, '[Cc]omputes how many [a-z]+'))"))
+def search_regex(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, "[Cc]omputes how many [a-z]+", "regex", case_sensitive=True).select("path", "start_line", "kind", F.round("score", 6).alias("score"))
+
+
+@query(f"select path, s.start_line, s.start_byte, case when name = 'run' then 10.0::double else 7.0::double end + case when path like 'atlas-monorepo/%' then 2 else 0 end as score, name from {_SYMBOLS} s join files f on f.id = s.file_id where contains(lower(name), 'run')")
+def search_symbol(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, "run", "symbol", focus=["atlas-monorepo/**"]).select("path", "start_line", "start_byte", "score", "name")
+
+
+_CALLS = "(select distinct f.path, l.line, c.name from (select id, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from files where content is not null) l, (select unnest(regexp_extract_all(l.text, '([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) as name) c join files f on f.id = l.id)"
+
+
+@query(f"select path, line as start_line, max(case when name = 'run' then 8.0::double else 5.0::double end) as score from {_CALLS} where contains(lower(name), 'run') and name not in ({', '.join(chr(39) + x + chr(39) for x in sorted(Y._CONTROL))}) group by 1, 2")
+def search_reference(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, "run", "reference").select("path", "start_line", "score")
+
+
+@query(None)
+def search_auto(spark: SparkSession, d: str) -> DataFrame:
+    """One word is an identifier: its definitions, calls and texts, merged, first page."""
+    return H.ordered(_search(spark, d, "run", "auto", exclude=EXCLUDED), 100)
+
+
+@query(None)
+def search_coverage(spark: SparkSession, d: str) -> DataFrame:
+    hits = _search(spark, d, "run", "auto", exclude=EXCLUDED)
+    return H.coverage(hits, H.ordered(hits, 100))
+
+
 # --- ranking and packing -----------------------------------------------------
 @query(None)
 def task_plan(spark: SparkSession, d: str) -> DataFrame:

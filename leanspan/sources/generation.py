@@ -41,7 +41,11 @@ def manifest(spark: SparkSession, root: str, generation: int | None = None) -> d
         generation = max((int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n))), default=0)
     if not generation:
         return {"generation": 0, "tables": {}, "digests": {}}
-    return json.loads("\n".join(r["value"] for r in spark.read.text(f"{root}/manifest-{generation}.json").collect()))
+    stream = fs.open(path(f"{root}/manifest-{generation}.json"))
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def read(spark: SparkSession, root: str, name: str, generation: int | None = None) -> DataFrame:
@@ -57,17 +61,21 @@ def table_digest(df: DataFrame) -> str:
     return f"{got[0]['entries']}:{got[0]['digest']}" if got else "0:"
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], baseline: int) -> tuple[int, bool]:
-    """(generation, whether anything was published)."""
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], baseline: int, digests: dict[str, str] | None = None, partitions: dict[str, list[str]] | None = None) -> tuple[int, bool]:
+    """(generation, whether anything was published).
+
+    ``digests`` may name what the tables are made of; without it their rows are digested.
+    ``partitions`` are the folder columns of tables.
+    """
     now = manifest(spark, root)
     if now["generation"] != baseline:
         raise StaleBaseline(f"based on {baseline}, current is {now['generation']}")
-    digests = {n: table_digest(df) for n, df in tables.items()}
+    digests = digests or {n: table_digest(df) for n, df in tables.items()}
     if digests == now["digests"]:
         return baseline, False
     generation, own = baseline + 1, f"tables-{uuid.uuid4().hex}"
     for n, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{root}/{own}/{n}")
+        df.write.mode("errorifexists").partitionBy(*(partitions or {}).get(n, [])).parquet(f"{root}/{own}/{n}")
     text = json.dumps({"generation": generation, "tables": {n: f"{own}/{n}" for n in sorted(tables)}, "digests": digests}, sort_keys=True)
     fs, path = _fs(spark, root)
     staged = path(f"{root}/{own}/manifest.json")
