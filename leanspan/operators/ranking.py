@@ -281,12 +281,13 @@ def items_of(frame: pd.DataFrame) -> list[Item]:
     return out
 
 
-def pack(candidates: DataFrame, budget: int, fragments: int = FRAGMENTS) -> DataFrame:
-    """PACKED_SCHEMA: the selected fragments of every task, in order, within the budget."""
+def pack(candidates: DataFrame, budget: int, fragments: int = FRAGMENTS, demands: dict[int, tuple] | None = None) -> DataFrame:
+    """PACKED_SCHEMA: the selected fragments of every task, in order, within the budget; demands: task -> (paths, symbols, evidence)."""
+    demands = demands or {}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         task = int(frame["task_id"].iloc[0])
-        chosen, _ = pack_items(items_of(frame), budget, fragments)
+        chosen, _ = pack_items(items_of(frame), budget, fragments, *demands.get(task, ()))
         return pd.DataFrame([(task, k, x.path, x.start, x.end, x.tokens, round(x.score, 4), x.content, x.kinds, x.concepts) for k, x in enumerate(chosen)], columns=[c.split()[0] for c in PACKED_SCHEMA.split(", ")])
 
     return scored(candidates).groupBy("task_id").applyInPandas(run, PACKED_SCHEMA)

@@ -25,7 +25,7 @@ from leanspan.sources.discovery import page_after, read_lines
 from leanspan.sources.tables import table
 from leanspan.streaming import changes as C
 
-from .context import candidates, context, task_queries
+from .context import Demand, candidates, context, seed_paths, task_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, tuple[Query, str | None]] = {}
@@ -35,6 +35,7 @@ TASKS = [
     (2, "Find where the ledger snapshot is compared and add a regression test for the token budget"),
     (3, "Why does the parser fail with a timeout in `scan_registry` instead of returning the stale catalog?"),
 ]
+DEMANDS = {2: Demand(paths=("atlas-monorepo/docs",), evidence=("falls back to a full scan",), focus=("atlas-monorepo/**",)), 3: Demand(symbols=("run",))}
 SEARCHES = [("overflow", ["cursor", "ledger", "overflow"]), ("header", ["reads", "header", "digest"]), ("lock", ["callers", "must", "hold", "lock"])]
 PATTERN = r"(compute|count)s? how many [a-z]+ entries"
 EXCLUDED = ["**/vendor/**", "**/third_party/**"]
@@ -481,11 +482,31 @@ def task_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    return context(spark, TASKS, table(spark, d, "files"), table(spark, d, "chunks"), table(spark, d, "symbols"))
+    x = N.index_of(spark, d)
+    return context(spark, TASKS, table(spark, d, "files"), x, table(spark, d, "symbols"), demands=DEMANDS, edges=x.edges, changed=_lately(spark, d))
+
+
+def _lately(spark: SparkSession, d: str) -> DataFrame:
+    """The files that changed in the last seven days of the log and are still there."""
+    last = X.latest_changes(table(spark, d, "changes")).filter("kind <> 'deleted'")
+    return last.crossJoin(F.broadcast(last.agg(F.max("ts").alias("end")))).filter("ts >= end - interval 7 days").select("path")
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return candidates(task_queries(spark, TASKS), table(spark, d, "files"), table(spark, d, "chunks"), table(spark, d, "symbols"))
+    x = N.index_of(spark, d)
+    return candidates(task_queries(spark, TASKS), table(spark, d, "files"), x, table(spark, d, "symbols"), demands=DEMANDS, edges=x.edges, changed=_lately(spark, d))
+
+
+@query(None)
+def import_seeds(spark: SparkSession, d: str) -> DataFrame:
+    return seed_paths(_candidates(spark, d))
+
+
+@query(None)
+def candidate_signals(spark: SparkSession, d: str) -> DataFrame:
+    """For each task and channel: candidates, and of how many each signal is set."""
+    c = _candidates(spark, d)
+    return c.groupBy("task_id", "representation").agg(F.count("*").alias("candidates"), *[F.sum((F.col(k) != 0).cast("long")).alias(k) for k in K.SIGNALS if k != "size_score"])
 
 
 @query(None)

@@ -1,10 +1,11 @@
 """A stored word and trigram index of chunks, published as one generation.
 
-Four tables are made of the chunks:
+Five tables are made of the chunks and their files:
 
 * ``texts``: each chunk once, ordered by id, so that a few ids are read from few row groups;
 * ``words``: term, key, tf and the text's length, in buckets of the term's hash, ordered by term;
 * ``grams``: three lower-case characters and, block by block of the ids, the keys that hold them;
+* ``edges``: imports of files that resolve;
 * ``sizes``: how many texts there are and their mean length, one row.
 
 A search reads the buckets of its terms, never the texts; what the index proposes is
@@ -67,6 +68,7 @@ class Index:
     words: DataFrame
     grams: DataFrame
     sizes: DataFrame
+    edges: DataFrame | None = None  # imports of the files, where there are files
 
     def postings(self, terms: list[str]) -> DataFrame:
         """term, key, tf, length of the terms: a parameter list, pushed into the scan with its buckets."""
@@ -124,7 +126,7 @@ def _gram_rows(texts: DataFrame) -> DataFrame:
     return texts.select("id", "content").mapInPandas(run, "gram string, block long, keys array<long>")
 
 
-def build(spark: SparkSession, chunks: DataFrame, root: str, fingerprint: str) -> None:
+def build(spark: SparkSession, chunks: DataFrame, root: str, fingerprint: str, files: DataFrame | None = None) -> None:
     """Builds and publishes the index; somebody who published the same meanwhile has done the work."""
     own = chunks.filter("id is not null and content is not null").dropDuplicates(["id"])
     texts = own.repartitionByRange("id").sortWithinPartitions("id")
@@ -139,8 +141,13 @@ def build(spark: SparkSession, chunks: DataFrame, root: str, fingerprint: str) -
     words = each.groupBy("bucket", "salt", "term", "key").agg(F.count("*").alias("tf"), F.first("length").alias("length")).sortWithinPartitions("bucket", "term").drop("salt")
     grams = _gram_rows(stored).withColumn("bucket", _bucket("gram")).groupBy("bucket", "gram", "block").agg(F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys")).sortWithinPartitions("bucket", "gram")
     sizes = terms.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    more = {}
+    if files is not None:
+        from leanspan.operators.derive import resolve_imports
+
+        more["edges"] = resolve_imports(files).filter("resolved_path is not null").select("path", "raw_target", "line", "resolved_path")
     try:
-        generation.publish(spark, f"{root}/terms", {"words": words, "grams": grams, "sizes": sizes}, 0, {"terms": fingerprint}, {"words": ["bucket"], "grams": ["bucket"]})
+        generation.publish(spark, f"{root}/terms", {"words": words, "grams": grams, "sizes": sizes} | more, 0, {"terms": fingerprint}, {"words": ["bucket"], "grams": ["bucket"]})
     except generation.StaleBaseline:
         pass
 
@@ -158,12 +165,14 @@ def source_fingerprint(spark: SparkSession, path: str) -> str:
 
 def index_of(spark: SparkSession, directory: str, root: str | None = None) -> Index:
     """The index of a directory's chunks, built when there is none for the files as they are."""
-    source = f"{directory}/chunks.parquet"
-    fingerprint = source_fingerprint(spark, source)
+    source, files = f"{directory}/chunks.parquet", f"{directory}/files.parquet"
+    fs, hadoop = generation._fs(spark, files)
+    has_files = fs.exists(hadoop(files))
+    fingerprint = source_fingerprint(spark, source) + (source_fingerprint(spark, files)[:16] if has_files else "")
     root = f"{root or index_folder(spark)}/{fingerprint}"
     terms = generation.manifest(spark, f"{root}/terms")["tables"]
     if not terms:
-        build(spark, spark.read.parquet(source), root, fingerprint)
+        build(spark, spark.read.parquet(source), root, fingerprint, spark.read.parquet(files) if has_files else None)
         terms = generation.manifest(spark, f"{root}/terms")["tables"]
     texts = spark.read.parquet(f"{root}/texts/{generation.manifest(spark, f'{root}/texts')['tables']['texts']}")
-    return Index(texts, *(spark.read.parquet(f"{root}/terms/{terms[n]}") for n in ("words", "grams", "sizes")))
+    return Index(texts, *(spark.read.parquet(f"{root}/terms/{terms[n]}") for n in ("words", "grams", "sizes", *(["edges"] if "edges" in terms else []))))
