@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leanspan.streaming.changes import shared_folder
+
 from . import islands
 from .languages import LANGUAGES, Language, Unbalanced, language
 
@@ -330,6 +332,10 @@ def drop_templates(pairs: DataFrame, share: float = TEMPLATE_SHARE, several: int
     before any is dropped; only hashes, counts and ids are shuffled, pre-aggregated, so
     that a hash that many share is one row for each code.
     """
+    spark = pairs.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    pairs = pairs.checkpoint()  # the pairs are made once, and survive an executor
     code = F.xxhash64(F.regexp_replace("code", r"\s+", " ")) if "code" in pairs.columns else F.col("symbol_id")
     hashed = pairs.withColumn("template", template_hash("description")).withColumn("fingerprint", code)
     counts = hashed.groupBy("template", "fingerprint").agg(F.count("*").alias("n"), F.min("symbol_id").alias("first"))
