@@ -105,6 +105,16 @@ class SourceFile:
                     if text.startswith(("//", "/*"), a):
                         self.comments.append((a, m.end(k)))
 
+    def documents(self) -> bool:
+        """Whether anything in the file can be a documentation."""
+        name, text = self.lang.name, self.text
+        if name == "python":
+            return '"' in text or "'" in text
+        if name == "go":
+            return bool(self.comments)
+        marks = {"rust": ("///", "/**"), "cpp": ("/**", "/*!", "///", "//!")}.get(name, ("/**",))
+        return any(text.startswith(marks, a) for a, _ in self.comments) or name == "rust" and bool(_DOC_ATTR.search(text))
+
     def _alone(self, at: int) -> bool:
         return not self.text[self.text.rfind("\n", 0, at) + 1: at].strip(" \t\f﻿")
 
@@ -249,13 +259,18 @@ def pairs_of_file(text: str, lang: Language, symbols: list) -> Iterator[tuple]:
         yield s, inner, doc, n, whole
 
 
+#: what every function of a language has somewhere
+_HEAD = {"python": re.compile(r"\bdef\b[^\n]"), "go": re.compile(r"\bfunc\b"), "rust": re.compile(r"\bfn\b"), **{k: re.compile(r"\)[^;{}()]*\{") for k in ("java", "cpp")}, **{k: re.compile(r"\(") for k in ("javascript", "typescript")}}
+
+
 def functions_of_file(text: str, lang: Language) -> Iterator[tuple]:
     """(name, start byte, end byte, code, description, words of prose) of the documented functions that a file's parse finds."""
-    found = islands.functions(lang, text)
-    if not found:
+    if not _HEAD[lang.name].search(text):
         return
     source = SourceFile(text, lang)
-    for a, b, name in found:
+    if not source.documents():
+        return
+    for a, b, name in islands.functions(lang, text):
         doc = source.documentation(a, b)
         if doc:
             head = text[a: text.find("{", a) if text.find("{", a) > 0 else b]
