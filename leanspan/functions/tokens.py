@@ -11,15 +11,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code points with the Unicode property White_Space, as Java and Python regex class bodies (fixed values).
-WHITE_SPACE_JAVA = r"\x09-\x0d\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Code points with the Unicode property White_Space, as a Python regex class body (fixed values); Java knows them by name, many times faster than as a class.
 WHITE_SPACE_PY = "\t-\r \x85\xa0  -     　"
 _WORDS = re.compile(f"[^{WHITE_SPACE_PY}]+")
 
 
 def word_count(text: Column | str) -> Column:
     """Words separated by Unicode white space; null for null."""
-    return F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(f"[^{WHITE_SPACE_JAVA}]+")).cast("long")
+    return F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"\P{IsWhite_Space}++")).cast("long")
 
 
 def estimate(text: Column | str) -> Column:

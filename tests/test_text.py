@@ -86,3 +86,12 @@ def test_text_kind(spark):
     rows = col(spark, ["abc", "a\0", "\x01\x02a", "", None]).select(T.text_kind("t").alias("k")).collect()
     assert [r["k"] for r in rows] == ["text", "binary", "binary", "text", None]
     assert F is not None
+
+
+def test_white_space_is_the_same_set_in_the_jvm_and_in_python(spark):
+    from leanspan.functions.tokens import estimate, estimate_py, word_count
+
+    points = [c for c in range(1, 0x11000) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame([(c, f"a{chr(c)}b") for c in points], "c int, t string").select("c", word_count("t").alias("n"), estimate("t").alias("e"), "t")
+    rows = df.collect()
+    assert [r["e"] for r in rows] == [estimate_py(r["t"]) for r in rows] and sum(r["n"] == 2 for r in rows) == 25
