@@ -107,7 +107,7 @@ def regex_search(chunks: DataFrame | Index, pattern: str, case_sensitive: bool =
     c = F.col(text)
     if isinstance(chunks, Index):
         plan = required_literals(pattern, case_sensitive)
-        chunks = chunks.fetch(chunks.matching(plan) if plan else None)
+        chunks = chunks.fetch(chunks.matching(plan) if plan and not chunks.small else None)
     hit = chunks.filter(prefilter(c, pattern, case_sensitive)) if use_prefilter else chunks
     return hit.filter(c.rlike(pattern if case_sensitive else f"(?i){pattern}"))
 
@@ -115,7 +115,7 @@ def regex_search(chunks: DataFrame | Index, pattern: str, case_sensitive: bool =
 def substring_search(chunks: DataFrame | Index, needle: str, case_sensitive: bool = False, text: str = "content") -> DataFrame:
     """Texts that hold the needle; fewer than three characters match nothing, as with a trigram index."""
     if isinstance(chunks, Index):
-        chunks = chunks.fetch(chunks.holding(needle)) if len(needle) >= 3 else chunks.texts
+        chunks = chunks.fetch(chunks.holding(needle)) if len(needle) >= 3 and not chunks.small else chunks.texts
     if len(needle) < 3:
         return chunks.limit(0)
     c = F.col(text)

@@ -56,10 +56,10 @@ def text_hits(index: Index, query: str, mode: str, how: str, case_sensitive: boo
     elif mode == "regex":
         pattern = query
         plan = required_literals(query, case_sensitive)
-        texts = index.fetch(index.matching(plan) if plan else None)
+        texts = index.fetch(index.matching(plan) if plan and not index.small else None)
     else:
         pattern = r"\Q" + query.replace(r"\E", r"\E\\E\Q") + r"\E"
-        texts = index.fetch(index.holding(query) if how == "trigram" else None)
+        texts = index.fetch(index.holding(query) if how == "trigram" and not index.small else None)
     pattern = pattern if case_sensitive else f"(?iu){pattern}"
     n = F.regexp_count("content", F.lit(pattern))
     # the text before the first match; offsets of matches would count UTF-16 units

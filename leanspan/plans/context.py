@@ -131,12 +131,18 @@ def candidates(
         F.array_distinct(F.flatten(F.collect_list(kinds))).alias("match_kinds"), F.collect_set("fusion_key").alias("concepts"), F.max(F.coalesce("concept_weight", F.lit(1.0))).alias("concept_weight"), F.max("symbol_name").alias("symbol_name"),
         *[F.first(x).alias(x) for x in ("file_id", "content", "start_line", "end_line")],
     )
+    texts = content.select("id", "content")
+    # as few rows as there were proposals, and without their texts: what follows looks at them several times
+    few = merged.drop("content")
+    merged = spark.createDataFrame(few.collect(), few.schema).coalesce(1)
     task_words = words.groupBy("task_id").agg(F.collect_set(F.when(F.length("term") > 2, F.col("term"))).alias("task_words"))
     paths = files.filter("id is not null and path is not null").select(F.col("id").alias("file_id"), "path")
-    rows = merged.join(paths, "file_id").join(F.broadcast(task_words), "task_id", "left")
-    rows = _boosted(rows, demands, edges, changed)
+    rows = paths.join(F.broadcast(merged), "file_id").join(F.broadcast(task_words), "task_id", "left")
+    rows = _boosted(spark.createDataFrame(rows.collect(), rows.schema).coalesce(1), demands, edges, changed)
+    plain = rows.join(texts, "id")
+    rows = plain
     if edges is not None:
-        rows = rows.unionByName(_imported(rows, edges, paths, s, lines, c, chunks), allowMissingColumns=True).withColumn("focus_boost", F.coalesce("focus_boost", F.lit(0.0))).withColumn("change_boost", F.coalesce("change_boost", F.lit(0.0)))
+        rows = plain.unionByName(_imported(plain.drop("content"), edges, paths, s, lines, c, chunks), allowMissingColumns=True).withColumn("focus_boost", F.coalesce("focus_boost", F.lit(0.0))).withColumn("change_boost", F.coalesce("change_boost", F.lit(0.0)))
     kind = F.when(F.col("symbol") > 0, "definition").when(F.col("reference") > 0, "reference").when(F.col("bm25") > 0, "text").when(F.col("import_boost") > 0, "import").otherwise("required")
     words_of_task = F.coalesce("task_words", F.array().cast("array<string>"))
     return rows.select(

@@ -19,6 +19,7 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leanspan.operators.aggregates import ordered_digest
 
@@ -40,7 +41,7 @@ def manifest(spark: SparkSession, root: str, generation: int | None = None) -> d
         names = [x.getPath().getName() for x in fs.listStatus(path(root))] if fs.exists(path(root)) else []
         generation = max((int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n))), default=0)
     if not generation:
-        return {"generation": 0, "tables": {}, "digests": {}}
+        return {"generation": 0, "tables": {}, "schemas": {}, "digests": {}}
     stream = fs.open(path(f"{root}/manifest-{generation}.json"))
     try:
         return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -50,7 +51,12 @@ def manifest(spark: SparkSession, root: str, generation: int | None = None) -> d
 
 def read(spark: SparkSession, root: str, name: str, generation: int | None = None) -> DataFrame:
     """A table of the current (or a given) generation, pinned when called."""
-    return spark.read.parquet(f"{root}/{manifest(spark, root, generation)['tables'][name]}")
+    return open_table(spark, root, manifest(spark, root, generation), name)
+
+
+def open_table(spark: SparkSession, root: str, of: dict, name: str) -> DataFrame:
+    """A table that a manifest names, with the schema it was written with: no file is opened to find it out."""
+    return spark.read.schema(StructType.fromJson(of["schemas"][name])).parquet(f"{root}/{of['tables'][name]}")
 
 
 def table_digest(df: DataFrame) -> str:
@@ -76,7 +82,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], baseli
     generation, own = baseline + 1, f"tables-{uuid.uuid4().hex}"
     for n, df in tables.items():
         df.write.mode("errorifexists").partitionBy(*(partitions or {}).get(n, [])).parquet(f"{root}/{own}/{n}")
-    text = json.dumps({"generation": generation, "tables": {n: f"{own}/{n}" for n in sorted(tables)}, "digests": digests}, sort_keys=True)
+    text = json.dumps({"generation": generation, "tables": {n: f"{own}/{n}" for n in sorted(tables)}, "schemas": {n: df.schema.jsonValue() for n, df in tables.items()}, "digests": digests}, sort_keys=True)
     fs, path = _fs(spark, root)
     staged = path(f"{root}/{own}/manifest.json")
     out = fs.create(staged, False)

@@ -31,7 +31,9 @@ from leanspan.functions.text import token_terms
 
 from . import generation
 
+FORMAT = 2  # of the stored tables; an index of another one is built anew
 BUCKETS, SALTS, BLOCK = 32, 8, 8192
+SCAN_BYTES = 64_000_000  # of compressed texts: a few seconds of one core
 FEW = 500  # ids that are pushed into the scan as literals; more are joined
 
 
@@ -69,6 +71,12 @@ class Index:
     grams: DataFrame
     sizes: DataFrame
     edges: DataFrame | None = None  # imports of the files, where there are files
+    text_bytes: int = 1 << 62  # of the stored texts
+
+    @property
+    def small(self) -> bool:
+        """Whether reading all texts costs less than a lookup does; the result is the same."""
+        return self.text_bytes <= SCAN_BYTES
 
     def postings(self, terms: list[str]) -> DataFrame:
         """term, key, tf, length of the terms: a parameter list, pushed into the scan with its buckets."""
@@ -163,16 +171,27 @@ def source_fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:32]
 
 
+#: indexes that this application has opened; a folder's content never changes
+_OPEN: dict[tuple[str, str], Index] = {}
+
+
 def index_of(spark: SparkSession, directory: str, root: str | None = None) -> Index:
     """The index of a directory's chunks, built when there is none for the files as they are."""
     source, files = f"{directory}/chunks.parquet", f"{directory}/files.parquet"
     fs, hadoop = generation._fs(spark, files)
     has_files = fs.exists(hadoop(files))
     fingerprint = source_fingerprint(spark, source) + (source_fingerprint(spark, files)[:16] if has_files else "")
-    root = f"{root or index_folder(spark)}/{fingerprint}"
-    terms = generation.manifest(spark, f"{root}/terms")["tables"]
-    if not terms:
+    root = f"{root or index_folder(spark)}/{FORMAT}-{fingerprint}"
+    known = _OPEN.get((spark.sparkContext.applicationId, root))
+    if known:
+        return known
+    terms = generation.manifest(spark, f"{root}/terms")
+    if not terms["generation"]:
         build(spark, spark.read.parquet(source), root, fingerprint, spark.read.parquet(files) if has_files else None)
-        terms = generation.manifest(spark, f"{root}/terms")["tables"]
-    texts = spark.read.parquet(f"{root}/texts/{generation.manifest(spark, f'{root}/texts')['tables']['texts']}")
-    return Index(texts, *(spark.read.parquet(f"{root}/terms/{terms[n]}") for n in ("words", "grams", "sizes", *(["edges"] if "edges" in terms else []))))
+        terms = generation.manifest(spark, f"{root}/terms")
+    texts = generation.manifest(spark, f"{root}/texts")
+    size = fs.getContentSummary(hadoop(f"{root}/texts/{texts['tables']['texts']}")).getLength()
+    tables = [generation.open_table(spark, f"{root}/terms", terms, n) for n in ("words", "grams", "sizes", *(["edges"] if "edges" in terms["tables"] else []))]
+    made = Index(generation.open_table(spark, f"{root}/texts", texts, "texts"), *tables, *([None] if len(tables) == 3 else []), int(size))
+    _OPEN[spark.sparkContext.applicationId, root] = made
+    return made

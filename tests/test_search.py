@@ -36,8 +36,9 @@ def test_buckets_are_those_of_the_column(spark):
 
 def test_index_answers_as_a_scan(made, monkeypatch):
     index, chunks, _, _ = made
-    for few in (N.FEW, 3):  # by literals, and by a join
+    for few, scan in ((N.FEW, 0), (3, 0), (3, 1 << 40)):  # by literals, by a join, and by reading all
         monkeypatch.setattr(N, "FEW", few)
+        monkeypatch.setattr(N, "SCAN_BYTES", scan)
         for needle in ("cursor Ledger", "STRASSE", "Straße ü", "x=1 ", "\U0001F600", "эхо э", "no such text", "of", "I'm\n"):
             assert ids(R.substring_search(index, needle)) == ids(R.substring_search(chunks, needle)), needle
         for pattern in (r"cursor\s+(of|A)", r"(Ledger|lock_table) x", r"\d+", r"[a-z]+_table", "nothing here"):
