@@ -116,10 +116,11 @@ def candidates(
 
     # each channel gives a bounded number of ids for each query or demand of the request, so they are few whatever the texts
     proposals = reduce(DataFrame.unionByName, found)
-    both = spark.createDataFrame(proposals.collect(), proposals.schema).coalesce(1)
+    proposed = proposals.collect()
+    both = spark.createDataFrame(proposed, proposals.schema).coalesce(1)
     ranked = both.join(q.select("task_id", "query", "weight", "concept_weight", "fusion_key", "exact", "facets", "value", "low"), ["task_id", "query"], "left")
-    proposed = ranked.select("id").distinct()
-    content = (chunks.fetch(proposed.select(F.col("id").alias("key"))) if isinstance(chunks, Index) else c.join(proposed, "id", "left_semi")).select("id", "file_id", "content", "start_line", "end_line")
+    ids = sorted({r["id"] for r in proposed})
+    content = (chunks.pick(ids) if isinstance(chunks, Index) else c.join(both.select("id").distinct(), "id", "left_semi")).select("id", "file_id", "content", "start_line", "end_line")
     full = ranked.join(content, "id")
     called = F.contains(F.lower("content"), F.concat("low", F.lit("(")))
     full = full.filter((F.col("reference") == 0) | called)
@@ -132,17 +133,16 @@ def candidates(
         *[F.first(x).alias(x) for x in ("file_id", "content", "start_line", "end_line")],
     )
     texts = content.select("id", "content")
-    # as few rows as there were proposals, and without their texts: what follows looks at them several times
-    few = merged.drop("content")
-    merged = spark.createDataFrame(few.collect(), few.schema).coalesce(1)
     task_words = words.groupBy("task_id").agg(F.collect_set(F.when(F.length("term") > 2, F.col("term"))).alias("task_words"))
     paths = files.filter("id is not null and path is not null").select(F.col("id").alias("file_id"), "path")
-    rows = paths.join(F.broadcast(merged), "file_id").join(F.broadcast(task_words), "task_id", "left")
-    rows = _boosted(spark.createDataFrame(rows.collect(), rows.schema).coalesce(1), demands, edges, changed)
+    # as few rows as there were proposals, and without their texts: what follows looks at them several times
+    few = merged.drop("content").join(paths, "file_id").join(F.broadcast(task_words), "task_id", "left")
+    rows = _boosted(spark.createDataFrame(few.collect(), few.schema).coalesce(1), demands, edges, changed)
     plain = rows.join(texts, "id")
+    imported = _imported(rows, edges, paths, s, lines, c, chunks) if edges is not None else None
     rows = plain
-    if edges is not None:
-        rows = plain.unionByName(_imported(plain.drop("content"), edges, paths, s, lines, c, chunks), allowMissingColumns=True).withColumn("focus_boost", F.coalesce("focus_boost", F.lit(0.0))).withColumn("change_boost", F.coalesce("change_boost", F.lit(0.0)))
+    if imported is not None:
+        rows = plain.unionByName(imported, allowMissingColumns=True).withColumn("focus_boost", F.coalesce("focus_boost", F.lit(0.0))).withColumn("change_boost", F.coalesce("change_boost", F.lit(0.0)))
     kind = F.when(F.col("symbol") > 0, "definition").when(F.col("reference") > 0, "reference").when(F.col("bm25") > 0, "text").when(F.col("import_boost") > 0, "import").otherwise("required")
     words_of_task = F.coalesce("task_words", F.array().cast("array<string>"))
     return rows.select(
@@ -168,7 +168,7 @@ def _demanded(spark: SparkSession, demands: dict[int, Demand], s: DataFrame, lin
     for t, d in demands.items():
         for n, literal in enumerate(d.evidence):
             if isinstance(chunks, Index):
-                texts = chunks.fetch(chunks.holding(literal)).filter("file_id is not null")
+                texts = (chunks.texts if chunks.small else chunks.fetch(chunks.holding(literal))).filter("file_id is not null")
             else:
                 texts = c
             held = texts.filter(F.contains(F.lower("content"), F.lit(literal.lower()))).select("id").orderBy("id").limit(PER_DEMAND)  # a demand is met by the first
@@ -201,8 +201,8 @@ def _boosted(rows: DataFrame, demands: dict[int, Demand], edges: DataFrame | Non
     return rows.withColumn("change_boost", F.coalesce("is_changed", F.lit(0.0)) + F.coalesce("imports_changed", F.lit(0.0))).drop("is_changed", "imports_changed")
 
 
-def _imported(rows: DataFrame, edges: DataFrame, paths: DataFrame, s: DataFrame, lines: DataFrame, c: DataFrame, chunks: DataFrame | Index) -> DataFrame:
-    """The import channel: of the first three imports of each seed the chunks of the first two symbols."""
+def _imported(rows: DataFrame, edges: DataFrame, paths: DataFrame, s: DataFrame, lines: DataFrame, c: DataFrame, chunks: DataFrame | Index) -> DataFrame | None:
+    """The import channel: of the first three imports of each seed the chunks of the first two symbols; None if there are none."""
     seeds = seed_paths(rows)
     e = edges.filter("resolved_path is not null").select(F.col("path").alias("from"), "resolved_path", "line")
     first = top_n(e.join(seeds.select(F.col("path").alias("from")).distinct(), "from", "left_semi"), ["from"], [F.asc("line"), F.asc("resolved_path")], 3).select("from", F.col("resolved_path").alias("path"))
@@ -211,7 +211,11 @@ def _imported(rows: DataFrame, edges: DataFrame, paths: DataFrame, s: DataFrame,
     hit = target.join(heads, "file_id").join(lines, "file_id").filter("a <= start_line and start_line <= b")
     hit = top_n(hit, ["task_id"], [F.asc("path"), F.asc("start_line")], SEEDS).groupBy("task_id", "id", "path").agg(F.first("name").alias("symbol_name"), F.flatten(F.collect_list("concepts")).alias("concepts"))
     hit = hit.join(rows.select("task_id", "id"), ["task_id", "id"], "left_anti")
-    texts = chunks.fetch(hit.select(F.col("id").alias("key")).distinct()) if isinstance(chunks, Index) else c
+    got = hit.collect()  # at most SEEDS a task
+    if not got:
+        return None
+    hit = rows.sparkSession.createDataFrame(got, hit.schema).coalesce(1)
+    texts = chunks.pick(sorted({r["id"] for r in got})) if isinstance(chunks, Index) else c
     full = hit.join(texts.select("id", "content", "start_line", "end_line"), "id")
     zero = F.lit(0.0)
     return full.select(

@@ -110,6 +110,13 @@ class Index:
                 out = any_of if out is None else out.join(any_of, "key", "left_semi")
         return out
 
+    def pick(self, ids: list[int]) -> DataFrame:
+        """The texts of ids that the caller holds already."""
+        if len(ids) > FEW:
+            wanted = self.texts.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+            return self.texts.filter(F.col("id").between(min(ids), max(ids))).join(F.broadcast(wanted), "id", "left_semi")
+        return self.texts.filter(F.col("id").isin(ids)) if ids else self.texts.limit(0)
+
     def fetch(self, keys: DataFrame | None) -> DataFrame:
         """The texts of the keys: of a few by literals in the scan, of more by a join; of None all."""
         if keys is None:
