@@ -16,8 +16,10 @@ from leanspan.sources.index import Index
 K1, B = 1.2, 0.75
 
 
-def term_statistics(chunks: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
+def term_statistics(chunks: DataFrame | Index, key: str = "id", text: str = "content") -> DataFrame:
     """term, df, tf over all texts; partial sums are made before the shuffle."""
+    if isinstance(chunks, Index):
+        return chunks.words.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
     words = chunks.select(F.col(key).alias("key"), F.explode(token_terms(text)).alias("term"))
     return words.groupBy("term", "key").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 

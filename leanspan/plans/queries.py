@@ -12,6 +12,7 @@ from leanspan.functions.tokens import estimate
 from leanspan.operators import aggregates as A
 from leanspan.operators import derive as D
 from leanspan.operators import diff as X
+from leanspan.operators import evidence as G
 from leanspan.operators import joins as J
 from leanspan.operators import jsonops as S
 from leanspan.operators import ranking as K
@@ -185,7 +186,10 @@ def symbol_parents(spark: SparkSession, d: str) -> DataFrame:
     return D.parents_by_containment(table(spark, d, "symbols"))
 
 
-@query(None)
+@query(
+    """with c as (select distinct file_id, start_line, end_line, start_byte, end_byte, start_line + greatest(len(content) - len(replace(content, chr(10), '')) - cast(content like '%' || chr(10) as int), 0) as e from chunks)
+select file_id, start_line, e as end_line, start_byte, end_byte, 'left' as side from c where e <> end_line union all select file_id, start_line, end_line, start_byte, end_byte, 'right' from c where e <> end_line"""
+)
 def projection_integrity(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that the files give and the table lacks, or the other way round; none when the index is sound."""
     cols = ["file_id", "start_line", "end_line", "start_byte", "end_byte"]
@@ -337,7 +341,7 @@ def simhash(spark: SparkSession, d: str) -> DataFrame:
 # --- retrieval ---------------------------------------------------------------
 @query(f"with t as (select id, unnest({_terms('content')}) as term from {_CHUNKS}) select term, count(distinct id) as df, count(*) as tf from t group by term")
 def word_postings(spark: SparkSession, d: str) -> DataFrame:
-    return R.term_statistics(_distinct(spark, d, "chunks"))
+    return R.term_statistics(N.index_of(spark, d))
 
 
 _SEARCH_ROWS = ", ".join(f"('{q}', '{t}')" for q, ts in SEARCHES for t in ts)
@@ -374,9 +378,16 @@ def occurrence_counts(spark: SparkSession, d: str) -> DataFrame:
     return R.occurrences(_distinct(spark, d, "chunks"), r"[Cc]omputes how many [a-z]+").groupBy("file_id").agg(F.count("*").alias("matches"))
 
 
-@query(None)
+_STATES = "[A-Z][a-z]+(?:State|Store|Pool)"
+
+
+@query(
+    f"""with m as (select id, file_id, start_line, start_byte, regexp_extract_all(content, '\\b{_STATES}\\b') as ms, string_split_regex(content, '\\b{_STATES}\\b') as ps from {_CHUNKS}), k as (select *, unnest(range(1, len(ms) + 1)) as k from m where len(ms) > 0),
+p as (select *, ms[k] as "match", array_to_string(list_transform(range(1, k + 1), lambda i: ps[i] || case when i < k then ms[i] else '' end), '') as pre from k)
+select id, file_id, start_line + len(string_split(pre, chr(10))) - 1 as line, len(string_split(pre, chr(10))[-1]) + 1 as "column", start_byte + strlen(pre) as start_byte, start_byte + strlen(pre) + strlen("match") as end_byte, "match" from p"""
+)
 def exhaustive_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    return R.occurrences(_distinct(spark, d, "chunks"), r"\b[A-Z][a-z]+(?:State|Store|Pool)\b")
+    return R.occurrences(_distinct(spark, d, "chunks"), rf"\b{_STATES}\b")
 
 
 @query(f"select id, name, parent, name = 'run' and parent is not null as exact from {_SYMBOLS} where contains(lower(name), 'run')")
@@ -542,6 +553,39 @@ def outline_pack(spark: SparkSession, d: str) -> DataFrame:
     return K.outline(table(spark, d, "symbols"), 200)
 
 
+@query(
+    "with c as (select distinct path, lower(trim(kind)) as kind, ts from changes where path is not null), l as (select path, arg_max(kind, (ts, kind)) as kind, max(ts) as ts from c group by 1), x as (select path from l where kind <> 'deleted' and ts >= (select max(ts) from l where kind <> 'deleted') - interval 7 days) "
+    f"select status, count(*) as paths from (select path, case when {_path_class('path')} <> 'production' then 'unknown' else 'known' end as status from x) group by 1"
+)
+def changed_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Of the files that changed lately those whose owner tests can be told at all."""
+    c = G.owner_coverage(_lately(spark, d), X.owner_tests(table(spark, d, "files")))
+    return c.groupBy(F.when(F.col("status") == "unknown", "unknown").otherwise("known").alias("status")).agg(F.count("*").alias("paths"))
+
+
+@query(None)
+def owner_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return G.owner_coverage(_lately(spark, d), X.owner_tests(table(spark, d, "files")))
+
+
+@query(None)
+def diff_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The files that changed lately, whole, with their symbols, callers, importers and tests."""
+    f = table(spark, d, "files").select(F.col("id").alias("file_id"), "path", T.line_count("content").cast("long").alias("n"))
+    hunks = f.join(_lately(spark, d), "path", "left_semi").select("path", F.lit(1).cast("long").alias("a"), F.greatest("n", F.lit(1)).alias("b"))
+    s = _distinct(spark, d, "symbols").join(f, "file_id").select("path", "name", "kind", "start_line", "end_line")
+    refs = Y.references(table(spark, d, "files")).join(f.select("file_id", "path"), "file_id").select("path", "line", "name")
+    edges = N.index_of(spark, d).edges.select("path", "resolved_path", "line")
+    return G.diff_evidence(hunks, s, refs, edges, X.owner_tests(table(spark, d, "files")), table(spark, d, "files"))
+
+
+@query("select count(*) as files from files where regexp_matches(path, '(?i)\\.(json|toml|ini|cfg|properties|env|conf)$|(^|/)\\.env[\\w.]*$') and content is not null and content <> ''")
+def config_files(spark: SparkSession, d: str) -> DataFrame:
+    """How many configuration files give settings or are named as not parsing."""
+    found = G.settings(table(spark, d, "files").filter("content <> ''"))
+    return found.agg(F.countDistinct("path").alias("files"))
+
+
 # --- structure and serving ---------------------------------------------------
 @query(None)
 def symbols_extracted(spark: SparkSession, d: str) -> DataFrame:
