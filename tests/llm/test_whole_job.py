@@ -112,7 +112,10 @@ def test_the_threshold_tells_validation_files_apart():
     groups = rng.integers(0, 50, 400)
     c = provenance.fit(x, y, groups)
     held = groups % 5 == 0
-    assert ((c.score(x)[held] > c.threshold) == (y[held] > 0)).mean() > 0.98 and -1 <= c.threshold <= 1
+    assert ((c.score(x)[held] > c.threshold) == (y[held] > 0)).mean() > 0.98 and -1 <= c.threshold <= 0
+    # labels that miss positives do not raise it
+    y[(y > 0) & (rng.random(400) < 0.1)] = -1
+    assert provenance.fit(x, y, groups).threshold <= 0
 
 
 def test_heads_are_read_whole():
