@@ -2,6 +2,7 @@
 
 import random
 
+from leanspan.operators import joins as J
 from leanspan.operators import receipts as P
 from leanspan.plans import queries as Q
 from leanspan.streaming import changes as C
@@ -57,3 +58,27 @@ def test_bursts_count_deliveries_once_and_paths_exactly(spark):
     assert (r["events"], r["action"]) == (1000, "paths")
     for most, action in ((999, "full"), (1000, "paths"), (1001, "paths")):
         assert [(x["events"], x["action"]) for x in C.bursts(c.unionByName(c), most=most).collect()] == [(2000, action)]
+
+
+def test_near_classes_are_counted_without_a_row_for_each_pair(spark):
+    rng = random.Random(7)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    base = [rng.getrandbits(64) for _ in range(3)]
+    words = list({flip(b, rng.choice([1, 2, 3, 4, 5, 6])) for b in base for _ in range(500)} | {rng.getrandbits(64) for _ in range(100)})
+    want = {signed(x): sum(0 < (x ^ y).bit_count() <= 8 for y in words) for x in words}
+    assert sum(want.values()) > 150 * len(words)
+    d = spark.createDataFrame([(n, signed(x)) for n, x in enumerate(words + words[:9])] + [(-1, None)], "id long, s long").repartition(3)
+    sc, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+    before = shuffled()
+    got = J.near_duplicate_classes(d, "id", "s").collect()
+    assert len(got) == len(words) + 10 and all(r["near_classes"] == want.get(r["class"], 0) and r["members"] == 1 + (r["class"] in map(signed, words[:9])) for r in got)
+    assert shuffled() - before < 60 * len(words)
+    in_parts = J.near_counts(d, "s", most=120).collect()
+    assert {r["s"]: r["near"] for r in in_parts} == {x: n for x, n in want.items() if n} and len(in_parts) == len({r["s"] for r in in_parts})
