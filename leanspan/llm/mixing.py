@@ -31,8 +31,13 @@ from leanspan.functions.tokens import estimate
 BIN_DIGITS = 3  # hash bins of a source: 16 ** BIN_DIGITS
 
 
+#: The Unicode space separators, which are what the SQL's trim takes away; Spark's takes the plain blank alone.
+_BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def _norm(c: str | Column) -> Column:
-    return F.lower(F.trim(c))
+    """Trimmed and in lower case, letter by letter as in the SQL: Java's rule for the last sigma of a word and its two characters for one of İ would part equal names."""
+    return F.lower(F.translate(F.btrim(c, F.lit(_BLANKS)), "Σİ", "σi"))
 
 
 def source_tokens(documents: DataFrame) -> DataFrame:

@@ -317,3 +317,13 @@ def test_no_cut_inside_a_subtree_that_fits(data):
             cuts += len(got) - 1 if longest < limit else 0
             at_lines += sum(text[a - 1] == "\n" for _, a, _ in got[1:]) if longest < limit else 0
     assert cuts and at_lines == cuts  # texts of ordinary lines are cut between lines
+
+
+def test_sources_are_the_same_whatever_blanks_and_capitals_they_have(spark):
+    from leanspan.llm import mixing
+
+    names = [" Docs", "docs　", "  DOCS ", "İssues", "issues", "ΣΑΣ", "σασ", "do cs", "docs\t"]
+    d = spark.createDataFrame([(n, s, "abcd") for n, s in enumerate(names)], "doc_id long, source string, text string")
+    t = spark.createDataFrame([("Docs", 1.0, 1), ("Issues ", 1.0, 1), ("Σασ", 1.0, 1)], "source string, weight double, max_repeats int")
+    assert {r["source"]: r["documents"] for r in mixing.mixture_plan(d, t).collect()} == {"Docs": 3, "Issues ": 2, "Σασ": 2}
+    assert sorted(r["doc_id"] for r in mixing.sample_mixture(d, t).collect()) == list(range(7))
